@@ -36,6 +36,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+#: Every window of 50 words against the least document that has it.
+SUBSTRING_DEDUP = f"""
+WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format('text')} AS w FROM documents),
+win AS (SELECT rid, doc_id, i, sha256(array_to_string(w[i:i+49], ' ')) AS h
+        FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM rows)),
+late AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY h) AS f FROM win) WHERE doc_id > f),
+gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 50)) AS p FROM late)),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM rows),
+kept AS (SELECT word.rid, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN gone USING (rid, p) GROUP BY word.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM rows LEFT JOIN kept USING (rid)
+"""
+
 ORACLE_SQL = {
     "op2_quality_rules": QUALITY_RULES,
+    "op6_substring_dedup": SUBSTRING_DEDUP,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ann, jaccard_join, line_dedup, mixing, packing, quality_rules, substring_dedup, warc
+from lodestone.llm import ann, jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_license_scan": op7_license_scan,
+        "op8_quality_model": op8_quality_model,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_warc": op10_warc,
     }

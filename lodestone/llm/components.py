@@ -26,16 +26,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node points to one node, which points to none."""
+    ends = links.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(links.select(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 OR (out > 0 AND in > 0)").isEmpty()
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: any order, repeats allowed); component is the least node reachable."""
     spark = links.sparkSession
-    ordered = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = cut(ordered, label), None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen:
-            break
-        seen, old = state, now
-        now = cut(_small_star(_large_star(old)), label)
+    now = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = cut(_small_star(now), label)
+    while not _is_forest_of_stars(now):
+        old, now = now, cut(_small_star(_large_star(now)), label)
         release(spark, old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -9,17 +9,23 @@ at least ``o = ceil(percent n / 100)`` tokens, so among the ``n - o + 1`` first
 stands a common one: these prefixes are the index. Posting lists are worked off so that hot
 ones never make all their pairs:
 
-1. Stars: each class is paired with one pivot in each of its lists, the member whose
-   prefix others share most. Verified links give first components; a large group of near
-   copies is one component from then on, and a list within one component needs nothing more.
-2. Lists with few pairs across components emit these pairs.
-3. Tokens of other lists are the frequent class. For the documents concerned the order is
+1. Each class is paired with one pivot in each of its lists, the member whose prefix
+   others share most; short lists also give all their pairs. Verified links make first
+   components: copies of one text are mostly one component from then on, and a list within
+   one component needs nothing more.
+2. Of the other lists those with few pairs across components emit these.
+3. Tokens of the lists left are the frequent class. For the documents concerned the order is
    changed: rare tokens first, then frequent ones. Rare tokens are indexed singly. If they
-   do not fill the prefix it is extended by frequent tokens until ``rare + (frequent - 1)``
-   covers it, and pairs of those (k = 2 combinations) are indexed: sets that share no rare
-   prefix token share two frequent ones. Pairs with a document outside this set have a
-   common rare token and were met in step 2. This is repeated while new tokens prove
-   frequent; what combinations leave is emitted as it is, without a cap.
+   do not fill the prefix it is extended by frequent tokens, which are dealt by hash to
+   ``G`` token classes; pairs (k = 2 combinations) within a class are indexed. Without a common
+   signature a set lacks all its rare prefix tokens and all but one of each class, so the
+   prefix is long enough when ``rare + sum(max(0, frequent in the class - 1))`` is. ``G`` follows
+   the size in octaves, and a set is indexed for the octaves that its partners can have, so
+   signatures stay in proportion to the set. Pairs with a document outside those concerned
+   have a common rare token and were met before.
+4. Lists that stay long are families of texts close to the threshold, such as copies with
+   many edits each. They are joined in blocks of bounded size: a block pair counts common tokens
+   from an inverted file in memory, and returns a spanning forest of its links, never pairs.
 
 All candidates are verified exactly on whole sets; components come from verified links.
 Shingles are told apart by 64-bit hashes, classes by a 128-bit digest.
@@ -35,7 +41,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +54,10 @@ from lodestone.llm.wordhash import hashed, mix, run_hashes
 SHINGLE, PERCENT = 5, 80
 #: Pairs across components up to which a list emits them at once; beyond it is frequent.
 LIST_PAIRS = 2000
-ROUNDS = 4
+#: Ids or tokens up to which a table is sent to all executors (some 16 MB); beyond it both sides are shuffled.
+SENT_ROWS = 500_000
+#: Frequent tokens that a token class holds of one prefix, about; classes of one block.
+CLASS_TOKENS, BLOCK = 8, 256
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -87,7 +95,7 @@ def _binary(column) -> list[bytes | None]:
 
 
 def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, key, tokens): size and digest of each document's set, and the tokens of its prefix."""
+    """(doc_id, th, n, key, tokens): a hash of the text, size and digest of its set, and the tokens of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,46 +104,86 @@ def profiles(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                 n.append(len(s))
                 key.append(_digest(s))
                 tokens.append(_tokens(s[: prefix_length(len(s), percent)]) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), _lists(tokens)], ["doc_id", "n", "key", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), _lists(tokens)], ["doc_id", "th", "n", "key", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, tokens array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, key binary, tokens array<long>")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(c, n, s): the whole sorted set of each wanted class (c, rep, key), read again from its representative."""
+def _send(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if it has been counted to be small enough."""
+    return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
+
+
+def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(c, key, text) of the representatives of the wanted classes (c)."""
+    named = cut(classes.select("c", "rep", "key").join(_send(wanted), "c", "left_semi"), "members")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("text IS NOT NULL")
+    small = _send(named)
+    return texts.join(small, texts["rep"].eqNullSafe(small["rep"])).select("c", "key", "text")
+
+
+def _read_sets(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of the rows whose text has the digest asked for: a repeated id may stand for other texts."""
+    keys = b.column("key").to_pylist()
+    for i, s in enumerate(_sets(_binary(b.column("text")), k)):
+        if _digest(s) == keys[i]:
+            yield i, s
+
+
+def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(c, n, s): the whole sorted set of each wanted class, read again from its representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, keys = list(_sets(_binary(b.column("text")), k)), b.column("key").to_pylist()
-            good = [i for i, s in enumerate(sets) if _digest(s) == keys[i]]
-            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(good, pa.int64())), pa.array([len(sets[i]) for i in good], pa.int64()), _lists([sets[i].view(np.int64) for i in good])], ["c", "n", "s"])
+            good = list(_read_sets(b, k))
+            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array([i for i, _ in good], pa.int64())), pa.array([len(s) for _, s in good], pa.int64()), _lists([s.view(np.int64) for _, s in good])], ["c", "n", "s"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("text IS NOT NULL")
-    on = texts["rep"].eqNullSafe(wanted["rep"])
-    return texts.join(wanted, on).select("c", "key", "text").mapInArrow(run, "c long, n long, s array<long>")
+    return cut(_members(docs, classes, wanted).mapInArrow(run, "c long, n long, s array<long>"), "sets")
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose whole sets are similar enough."""
-    left, right = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those that sizes and prefixes leave possible, without reading whole sets.
+
+    Up to the lesser of the two prefixes' last tokens all tokens of both sets are known: with
+    ``i`` common ones there, the sets cannot share more than ``i`` and the lesser of the numbers left.
+    """
+    left, right = (classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").filter(_near_size("na", "nb", percent))
+    last = F.least(F.element_at("ta", -1), F.element_at("tb", -1))
+    upto = lambda t: F.size(F.filter(t, lambda x: x <= F.col("_last"))).cast("long")
+    both = both.withColumn("_last", last).withColumn("_i", F.size(F.array_intersect("ta", "tb")).cast("long"))
+    most = F.col("_i") + F.least(F.col("na") - upto("ta"), F.col("nb") - upto("tb"))
+    return both.withColumn("_most", most).filter((100 + percent) * F.col("_most") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose whole sets are similar enough, as a table."""
+    pairs = cut(pairs, "pairs")
+    ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
+    some = classes.select("c", "n", "tokens").join(_send(cut(ends(pairs), "pair-ends")), "c", "left_semi")
+    near = cut(_near(pairs, some, percent), "near-pairs")
+    sets = _whole_sets(docs, classes, cut(ends(near), "near-ends"), k)
+    left, right = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = near.join(left, "a").join(right, "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    out = cut(both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
+    release(docs.sparkSession, pairs, sets)
+    return out
 
 
-def _stars(postings: DataFrame) -> DataFrame:
-    """Each class with the best-shared class of each of its lists (n: sizes)."""
+def _stars(postings: DataFrame, percent: int) -> DataFrame:
+    """Each class with the best-shared class of each of its lists."""
     score = postings.groupBy("c").agg(F.sum(F.log2("m")).alias("w"), F.first("n").alias("n"))
-    score = score.select("c", (F.floor(1000 * F.col("w") / F.col("n"))).cast("long").alias("w"))
-    ranked = postings.join(score, "c")
+    score = score.select("c", (F.floor(1000 * F.col("w") / F.col("n"))).cast("long").alias("w"), F.col("n").alias("np"))
+    ranked = postings.join(score.drop("np"), "c")
     top = ranked.groupBy("tok").agg(F.max("w").alias("w"))
     pivot = ranked.join(top, ["tok", "w"]).groupBy("tok").agg(F.min("c").alias("p"))
-    pairs = postings.join(pivot, "tok").filter("c <> p")
-    return pairs.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
+    pairs = postings.join(pivot, "tok").filter("c <> p").select("c", "n", "p").distinct().join(score.select(F.col("c").alias("p"), "np"), "p")
+    return pairs.filter(_near_size("n", "np", percent)).select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
 
 
 def _with_component(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -150,42 +198,127 @@ def _open_lists(postings: DataFrame) -> DataFrame:
     return size.filter("k > 1").select("tok", "pairs")
 
 
-def _pairs_across(postings: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components within the given lists, by their sizes."""
-    rows = postings.join(lists.select("tok"), "tok")
+def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components within the lists of ``rows``, as far as their sizes allow."""
     left, right = (rows.select("tok", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"k{x}")) for x in "ab")
     met = left.join(right, "tok").filter("a > b AND ka <> kb").filter(_near_size("na", "nb", percent))
     return met.select("a", "b").distinct()
 
 
-def _combined(sets: DataFrame, frequent: DataFrame, concerned: DataFrame, percent: int) -> DataFrame:
-    """(tok, c, n): the index entries of the classes concerned under the order rare before frequent; combinations are negative."""
-    mine = sets.join(concerned, "c", "left_semi")
-    tokens = mine.select("c", F.explode("s").alias("h")).select("c", F.shiftrightunsigned("h", 16).alias("tok"))
-    held = tokens.join(frequent, "tok", "left_semi").groupBy("c").agg(F.collect_set("tok").alias("f"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i in range(b.num_rows):
-                s = b.column("s")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                f = b.column("f")[i]
-                often = np.sort(f.values.to_numpy(zero_copy_only=False)) if f.is_valid else np.empty(0, np.int64)
-                all_tokens = (s >> np.uint64(16)).view(np.int64)
-                rare = all_tokens[~np.isin(all_tokens, often)]
-                p = prefix_length(len(s), percent)
-                tokens = rare[:p]
-                if len(rare) < p:
-                    more = all_tokens[np.isin(all_tokens, often)][: p - len(rare) + 1]
-                    two = np.array(list(combinations(more.tolist(), 2)) or np.empty((0, 2)), np.uint64)
-                    tokens = np.concatenate([tokens, mix(mix(two[:, 0]) + two[:, 1]).view(np.int64) | np.int64(-(1 << 63))])
-                out.append(np.unique(tokens))
-            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), _lists(out)], ["c", "n", "t"])
-
-    rows = mine.join(held, "c", "left").select("c", "n", "s", "f").mapInArrow(run, "c long, n long, t array<long>")
+def _octaves(n: int, percent: int) -> list[int]:
+    """The octaves of the sizes that can link with size ``n``."""
+    return list(range(max(1, -(-n * percent // 100)).bit_length(), (n * 100 // percent).bit_length() + 1))
+
+
+def _signatures(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The index entries of a set (sorted hashes) when ``often`` are frequent; combinations are negative."""
+    tokens, p = (s >> np.uint64(16)).view(np.int64), prefix_length(len(s), percent)
+    common = np.isin(tokens, often)
+    rare, frequent = tokens[~common], tokens[common]
+    parts = [rare[:p]]
+    for octave in _octaves(len(s), percent) if len(rare) < p else []:
+        classes = max(1, (1 << octave) * (100 - percent) // 100 // CLASS_TOKENS)
+        at = (mix(frequent.view(np.uint64)) % np.uint64(classes)).view(np.int64)
+        seen, gain, use = set(), len(rare), 0
+        for x in at.tolist():
+            if gain >= p:
+                break
+            gain += x in seen
+            seen.add(x)
+            use += 1
+        order = np.argsort(at[:use], kind="stable")
+        for own in np.split(frequent[:use][order], np.flatnonzero(np.diff(at[:use][order])) + 1):
+            i, j = np.triu_indices(len(own), 1)
+            two = mix(mix(own[i].view(np.uint64) + np.uint64(octave << 48)) + own[j].view(np.uint64))
+            parts.append(two.view(np.int64) | np.int64(-(1 << 63)))
+    return np.unique(np.concatenate(parts))
+
+
+def _combined(docs: DataFrame, classes: DataFrame, frequent: DataFrame, concerned: DataFrame, k: int, percent: int) -> DataFrame:
+    """(tok, c, n): the index entries of the classes concerned under the order rare before frequent."""
+    columns = ["c", "n", "t"]
+    if frequent.count() <= SENT_ROWS:
+        often = np.sort(np.array([r["tok"] for r in frequent.collect()], np.int64))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = list(_read_sets(b, k))
+                yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array([i for i, _ in good], pa.int64())), pa.array([len(s) for _, s in good], pa.int64()), _lists([_signatures(s, often, percent) for _, s in good])], columns)
+
+        rows = _members(docs, classes, concerned).mapInArrow(run, "c long, n long, t array<long>")
+    else:
+        sets = _whole_sets(docs, classes, concerned, k)
+        tokens = sets.select("c", F.explode("s").alias("h")).select("c", F.shiftrightunsigned("h", 16).alias("tok"))
+        held = tokens.join(frequent, "tok", "left_semi").groupBy("c").agg(F.collect_set("tok").alias("f"))
+
+        def run_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for s, f in zip(b.column("s"), b.column("f"), strict=True):
+                    own = f.values.to_numpy(zero_copy_only=False) if f.is_valid else np.empty(0, np.int64)
+                    out.append(_signatures(s.values.to_numpy(zero_copy_only=False).view(np.uint64), own, percent))
+                yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), _lists(out)], columns)
+
+        rows = sets.join(held, "c", "left").select("c", "n", "s", "f").mapInArrow(run_held, "c long, n long, t array<long>")
     return rows.select(F.explode("t").alias("tok"), "c", "n")
 
 
+def _forest(ids: np.ndarray, parts: np.ndarray, known: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among ``ids`` that connect what all links and ``known`` components connect; ``parts`` (0, 1): if both occur, only links between them."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    tokens, owner = flat[order], np.repeat(np.arange(len(ids)), size)[order]
+    root = {int(k): int(k) for k in known}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, two = [], parts.min() != parts.max()
+    for i in range(len(ids)):
+        if two and parts[i]:
+            continue
+        lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        step = np.ones(int((hi - lo).sum()), np.int64)  # all places of the runs [lo, hi)
+        heads = np.cumsum(hi - lo)[:-1]
+        step[0] = lo[0]
+        step[heads] = lo[1:] - hi[:-1] + 1
+        both = np.bincount(owner[np.cumsum(step)], minlength=len(ids))
+        hit = 100 * both >= percent * (size + size[i] - both)
+        for j in np.flatnonzero(hit & ((parts == 1) if two else (np.arange(len(ids)) > i))).tolist():
+            x, y = find(int(known[i])), find(int(known[j]))
+            if x != y:
+                root[x] = y
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _family_links(held: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links within the families that the lists of ``held`` form, block by block."""
+    sets = _whole_sets(docs, classes, cut(held.select("c").distinct(), "family-members"), k)
+    first = held.groupBy("tok").agg(F.min("c").alias("b"))
+    family = components(held.join(first, "tok").select(F.col("c").alias("a"), "b"), "families")
+    family = family.select(F.col("node").alias("c"), F.col("component").alias("family")).distinct()
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    known = held.select("c", "component").distinct()
+    rows = family.join(blocks, "family").join(known, "c").join(sets, "c")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "part": (F.col("own") > F.col("other")).cast("int")})
+
+    def run(t: pa.Table) -> pa.Table:
+        cols = {n: t.column(n).to_numpy() for n in ("c", "component", "part", "x", "y")}
+        found = _forest(cols["c"], cols["part"], cols["component"], [s.values.to_numpy(zero_copy_only=False) for s in t.column("s")], percent)
+        if cols["x"][0] != cols["y"][0] and cols["part"].min() == cols["part"].max():
+            found = []  # the other block is empty
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.select("family", "x", "y", "c", "component", "part", "s").groupBy("family", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): verified links that connect exactly what all links connect."""
     spark = docs.sparkSession
@@ -194,50 +327,44 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     postings = cut(entries.join(shared, "tok"), "postings")
     del entries, shared
     release(spark)
-    active = postings.select("c").distinct()
-    sets = cut(_whole_sets(docs, classes.select("c", "rep", "key").join(active, "c", "left_semi"), k), "sets")
-    del active
-    release(spark)
-    links = [cut(verified(_stars(postings), sets, percent), "links")]
-    comps = components(links[0])
-
-    index, frequent = postings.select("tok", "c", "n"), None
-    for turn in range(ROUNDS):
-        index = cut(_with_component(index, comps), "index")
-        lists = cut(_open_lists(index), "lists")
-        few = F.col("pairs") <= LIST_PAIRS
-        if turn:  # combinations are not split further
-            few = few | (F.col("tok") < 0)
-        if turn == ROUNDS - 1:
-            few = F.lit(True)
-        links.append(cut(verified(_pairs_across(index, lists.filter(few), percent), sets, percent), "links"))
-        hot = lists.filter(~few).select("tok")
-        if hot.isEmpty():
-            break
-        concerned = cut(index.join(hot, "tok").select("c").distinct(), "concerned")
-        frequent = cut(hot if frequent is None else hot.unionByName(frequent), "frequent")
-        release(spark, index)
-        index = _combined(sets, frequent, concerned, percent)
-    release(spark)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+    short = F.col("m") * (F.col("m") - 1) <= 2 * LIST_PAIRS
+    alone = postings.filter(short).withColumn("component", F.col("c"))
+    links = verified(_stars(postings, percent).unionByName(_pairs_across(alone, percent)).distinct(), docs, classes, k, percent)
+
+    rest = postings.filter(~short)
+    if rest.isEmpty():
+        return links
+    comps = components(links)
+    few = F.col("pairs") <= LIST_PAIRS
+    index = _with_component(rest.select("tok", "c", "n"), comps)
+    index = cut(index.join(_open_lists(index), "tok"), "index")
+    pairs, hot = _pairs_across(index.filter(few), percent), cut(index.filter(~few), "hot")
+    if hot.isEmpty():
+        return links.unionByName(verified(pairs, docs, classes, k, percent))
+    frequent, concerned = cut(hot.select("tok").distinct(), "frequent"), cut(hot.select("c").distinct(), "concerned")
+    again = cut(_with_component(_combined(docs, classes, frequent, concerned, k, percent), comps), "index")
+    again = cut(again.join(_open_lists(again), "tok"), "index")
+    pairs = pairs.unionByName(_pairs_across(again.filter(few), percent)).distinct()
+    links = links.unionByName(verified(pairs, docs, classes, k, percent))
+    long = again.filter(~few)
+    if not long.isEmpty():
+        links = links.unionByName(cut(_family_links(long, docs, classes, k, percent), "links"))
+    return links
 
 
 def grouped(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, key (digest of the set), component_id."""
+    """Per row of ``docs``: doc_id, th (hash of the text), n_shingles, key (digest of the set), group (null for the empty set), component_id."""
     rows = cut(profiles(docs, k, percent), "profiles")
     own = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = cut(own.withColumn("c", F.monotonically_increasing_id()), "classes")
-    comps = components(_links(docs, classes, k, percent))
-    named = classes.select("c", "key", "rep").join(comps.withColumnRenamed("node", "c"), "c")
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    moved = named.join(least, "component").select("key", "least")
-    by_key = classes.select("key", "rep").join(moved, "key", "left").select("key", F.coalesce("least", "rep").alias("found"))
-    by_key = cut(by_key, "groups")
-    out = rows.select("doc_id", "n", "key").join(by_key, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "key", F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
+    wide, rows = rows, cut(rows.drop("tokens"), "set-keys")
+    release(docs.sparkSession, wide)
+    comps = components(_links(docs, classes, k, percent)).distinct()
+    named = classes.select("c", "key", "rep").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("group", F.coalesce("component", "c"))
+    least = named.groupBy("group").agg(F.min("rep").alias("found"))
+    by_key = cut(named.join(least, "group").select("key", "group", "found"), "groups")
+    out = rows.select("doc_id", "th", "n", "key").join(by_key, "key", "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "key", "group", F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def digest(documents: DataFrame) -> DataFrame:
@@ -246,8 +373,11 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: those whose id names their component; of rows that repeat an id, one."""
-    ids = grouped(docs).filter("doc_id IS NULL OR n_shingles = 0 OR doc_id = component_id")
-    keep = ids.filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """``docs`` with one document of each group, that with the least id; documents with the empty set stay, rows that are alike count once."""
+    rows = grouped(docs)
+    first = rows.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "key", "th")).alias("x"))
+    keep = first.select("x.doc_id", "x.th").unionByName(rows.filter("n_shingles = 0").select("doc_id", "th")).distinct()
+    keep = keep.select(F.col("doc_id").alias("_id"), F.col("th").alias("_kept"))
+    named = docs.withColumn("_th", F.xxhash64("text"))
+    named = named.join(keep, named["doc_id"].eqNullSafe(keep["_id"]) & (named["_th"] == keep["_kept"]), "left_semi")
+    return named.dropDuplicates(["doc_id", "_th"]).drop("_th")

@@ -64,7 +64,9 @@ def bm25_scores(passages: DataFrame, questions: DataFrame, field: str = "text",
     sizes = base.select(F.size(terms(F.col(field))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     asked = questions.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()
-    each = passages.select("hash_id", F.size(terms(F.col(field))).alias("dl"), F.explode(terms(F.col(field))).alias("term"))
+    # the length is taken before the words are exploded, or it would be found again for each word
+    split = passages.select("hash_id", terms(F.col(field)).alias("w")).select("hash_id", "w", F.size("w").alias("dl"))
+    each = split.select("hash_id", "dl", F.explode("w").alias("term"))
     postings = each.join(wanted, "term", "left_semi").groupBy("term", "hash_id", "dl").agg(F.count("*").alias("tf"))
     if statistics is None:
         df = postings.groupBy("term").agg(F.count("*").alias("df"))

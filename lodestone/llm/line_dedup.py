@@ -48,7 +48,7 @@ def line_text(docs: DataFrame) -> DataFrame:
     ids = F.transform(lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("id"), F.hash(x).alias("id2"), F.char_length(x).alias("chars")))
     rows = docs.filter("text IS NOT NULL").select("doc_id", _text_hash(F.col("text")).alias("th"), ids.alias("ls")).dropDuplicates(["doc_id", "th"])
     rows = rows.repartitionByRange(F.col("doc_id"), F.col("th")).sortWithinPartitions("doc_id", "th")
-    rows = rows.select("doc_id", "th", F.size("ls").alias("n"), F.posexplode("ls").alias("pos", "l")).withColumn("g", F.monotonically_increasing_id())
+    rows = rows.withColumn("n", F.size("ls")).select("doc_id", "th", "n", F.posexplode("ls").alias("pos", "l")).withColumn("g", F.monotonically_increasing_id())
     return rows.select("g", (F.col("g") - F.col("pos") + F.col("n") - 1).alias("last"), "doc_id", "th", "pos", "l.id", "l.id2", "l.chars")
 
 

@@ -338,12 +338,16 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     few = F.col("pairs") <= LIST_PAIRS
     index = _with_component(rest.select("tok", "c", "n"), comps)
     index = cut(index.join(_open_lists(index), "tok"), "index")
-    pairs, hot = _pairs_across(index.filter(few), percent), cut(index.filter(~few), "hot")
+    release(spark, postings)
+    pairs, hot = cut(_pairs_across(index.filter(few), percent), "pairs"), index.filter(~few)
     if hot.isEmpty():
         return links.unionByName(verified(pairs, docs, classes, k, percent))
     frequent, concerned = cut(hot.select("tok").distinct(), "frequent"), cut(hot.select("c").distinct(), "concerned")
-    again = cut(_with_component(_combined(docs, classes, frequent, concerned, k, percent), comps), "index")
-    again = cut(again.join(_open_lists(again), "tok"), "index")
+    release(spark, index)
+    wide = cut(_combined(docs, classes, frequent, concerned, k, percent), "combined")
+    lists = cut(_open_lists(_with_component(wide, comps)), "open-lists")
+    again = cut(_with_component(wide.join(lists, "tok"), comps), "index")
+    release(spark, wide, lists)
     pairs = pairs.unionByName(_pairs_across(again.filter(few), percent)).distinct()
     links = links.unionByName(verified(pairs, docs, classes, k, percent))
     long = again.filter(~few)

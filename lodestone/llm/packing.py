@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.scratch import cut
-from lodestone.llm.tokens import WordTokens
+from lodestone.llm.tokens import worker_tokens
 
 CAPACITY = 2048
 END = np.zeros(1, "<u4").tobytes()
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     """(doc_id, piece, start, length, ids_crc32) of every document of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = worker_tokens(tokenizer)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             texts = b.column("text").cast(pa.large_binary())

@@ -118,5 +118,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     rows = _applied(rows, removals(docs)).withColumn("_text", F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")))
-    rows = rows.filter((F.size("_kept") == F.size("_all")) | (F.translate("_text", GAP_CHARS, "") != ""))
+    stays = (F.size("_kept") == F.size("_all")) | (F.translate("_text", GAP_CHARS, "") != "")
+    # the generated id keeps the filter above this projection; below it the lines would be cut anew for each use
+    rows = rows.select("_row", "_text", stays.alias("_stays"), F.monotonically_increasing_id().alias("_at")).filter("_stays AND _at >= 0")
     return rows.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in names])

@@ -25,8 +25,8 @@ from lodestone.llm.scratch import cut
 from lodestone.llm.textops import GAP_CHARS, count_chars, lines, whole, words
 
 SYMBOLS = "#*$%&|<>"
-#: Rows that the cost estimate may look at.
-SAMPLE_ROWS = 2000
+#: Share of the rows that the cost estimate draws from, and rows that it may look at.
+SAMPLE_SHARE, SAMPLE_ROWS = 0.02, 2000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -90,8 +90,11 @@ def base_failed() -> Column:
 
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by share rejected per second over at most ``sample_rows`` rows of ``df`` (with metrics)."""
-    sample = cut(df.limit(sample_rows), "rule-sample")
+    """The rules by share rejected per second over at most ``sample_rows`` rows of ``df`` (``_in``: the text).
+
+    The rows are drawn before their metrics are computed.
+    """
+    sample = cut(with_metrics(df.sample(SAMPLE_SHARE, 7).limit(sample_rows), "_in"), "rule-sample")
     total = max(1, sample.count())
     ranked = []
     for rule in rules:
@@ -113,7 +116,7 @@ def cascade(rules: list[Rule]) -> tuple[Column, Column]:
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``df`` with the metrics, ``base_failed``, ``kept`` and ``failed_rule`` (``base`` or a rule's name)."""
     full = with_metrics(df, text)
-    _, failed = cascade(order_rules(full, rules, sample_rows))
+    _, failed = cascade(order_rules(df.select(F.col(text).alias("_in")), rules, sample_rows))
     full = full.withColumn("base_failed", base_failed())
     full = full.withColumn("failed_rule", F.when(F.col("base_failed"), "base").otherwise(failed))
     return full.withColumn("kept", F.col("failed_rule").isNull()).drop("_text", "_n_lines")
@@ -129,4 +132,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns and nothing else."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_in"))
-    return judge(packed, text="_in").filter("kept").select(*[F.col("_row")[c].alias(c) for c in names])
+    # a filter that were pushed below the metrics would compute words anew for each of their uses;
+    # it stays above a projection with a generated id that it reads
+    judged = judge(packed, text="_in").select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    return judged.filter("kept AND _at >= 0").select(*[F.col("_row")[c].alias(c) for c in names])

@@ -125,10 +125,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
     release(spark, own)
     each = found.filter("hashes IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("row", "doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     first = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "first")
-    later = each.join(first, "hash").filter("doc_id > first")
+    first = cut(first, "first-windows")  # as a table, so that the join's very common windows can be split
+    later = cut(each.join(first, "hash").filter("doc_id > first").select("row", "start"), "later-windows")
+    release(spark, first)
     removed = cut(later.groupBy("row").agg(F.collect_list("start").alias("removed")), "removed-windows")
-    del each, first, later
-    release(spark)
+    release(spark, later)
     return found.drop("starts", "hashes").join(removed, "row", "left")
 
 

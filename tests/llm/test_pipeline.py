@@ -9,7 +9,7 @@ import corpus_pipeline
 
 def test_stages(spark, tmp_path):
     rng = np.random.default_rng(3)
-    words = [f"word{i}" for i in range(500)]
+    words = [f"word{chr(97 + i // 25)}{chr(97 + i % 25)}" for i in range(500)]
     rows = [(i, " ".join(rng.choice(words, 90)) + "\n" + "the same long boilerplate line in all of the documents", "en", f"s{i % 3}", 0) for i in range(60)]
     rows += [(100, rows[0][1], "en", "s0", 0), (101, " ".join(rows[1][1].split()[:-1]), "en", "s1", 0), (102, "*** $$$ &&& " * 60, "en", "s2", 0), (103, None, None, None, None), (104, "short", "en", "s0", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))

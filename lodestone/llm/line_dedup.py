@@ -13,7 +13,8 @@ back are ones that Spark can split. Only numbers move; texts stay where they are
 Suffixes of one rank stand side by side in the suffix array with a longest common prefix of at
 least ``h`` lines: they are one of its intervals. Of each interval the first suffix in the
 text is the original. A repeated run counts from ``min_lines`` lines, or as one line of
-at least ``min_chars`` characters, and the lines of all its later copies are deleted. As each part of
+at least ``min_chars`` characters, or as a shorter one of ``min_words`` words that ``min_docs`` documents
+of the whole table hold; the lines of all its later copies are deleted. As each part of
 ``min_lines`` lines of a longer run is repeated too, the intervals at ``min_lines`` settle what
 is deleted; the rounds beyond tell how long the longest repeat is (``longest``, to a power of two).
 
@@ -31,25 +32,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.scratch import cut, release
-from lodestone.llm.textops import GAP_CHARS, lines
+from lodestone.llm.textops import GAP_CHARS, lines, n_words
 
 MIN_LINES, MIN_CHARS = 2, 40
+#: For single lines under ``MIN_CHARS`` characters.
+MIN_WORDS, MIN_DOCS = 2, 3
 
 
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(text, F.char_length(text))
 
 
-def line_text(docs: DataFrame) -> DataFrame:
-    """(g, last, doc_id, th, pos, id, id2, chars): a row for each line, numbered in the order of the text.
+def line_text(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(g, last, doc_id, th, pos, id, id2, chars, words): a row for each line, numbered in the order of the text.
 
-    ``last`` is the number of the document's last line.
+    ``last`` is the number of the document's last line; ``words`` are counted under ``min_chars`` characters only.
     """
-    ids = F.transform(lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("id"), F.hash(x).alias("id2"), F.char_length(x).alias("chars")))
+    ids = F.transform(lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("id"), F.hash(x).alias("id2"), F.char_length(x).alias("chars"), F.when(F.char_length(x) < min_chars, n_words(x)).alias("words")))
     rows = docs.filter("text IS NOT NULL").select("doc_id", _text_hash(F.col("text")).alias("th"), ids.alias("ls")).dropDuplicates(["doc_id", "th"])
     rows = rows.repartitionByRange(F.col("doc_id"), F.col("th")).sortWithinPartitions("doc_id", "th")
     rows = rows.withColumn("n", F.size("ls")).select("doc_id", "th", "n", F.posexplode("ls").alias("pos", "l")).withColumn("g", F.monotonically_increasing_id())
-    return rows.select("g", (F.col("g") - F.col("pos") + F.col("n") - 1).alias("last"), "doc_id", "th", "pos", "l.id", "l.id2", "l.chars")
+    return rows.select("g", (F.col("g") - F.col("pos") + F.col("n") - 1).alias("last"), "doc_id", "th", "pos", "l.id", "l.id2", "l.chars", "l.words")
 
 
 def _ranked(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -65,12 +68,20 @@ def _pairs(ranks: DataFrame, step: int) -> DataFrame:
     return ranks.filter(F.col("g") + step <= F.col("last")).join(far, "g").select("g", "last", F.col("r").alias("r1"), "r2")
 
 
-def repeated(text: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def _widespread(ranks: DataFrame, text: DataFrame, min_words: int, min_docs: int) -> DataFrame:
+    """g of the later copies of short lines of ``min_words`` words that ``min_docs`` documents hold."""
+    short = cut(ranks.join(text.filter(F.col("words") >= min_words).select("g"), "g", "left_semi"), "short-lines")
+    held = short.select("r", "last").distinct().groupBy("r").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    return short.filter("g <> first").join(held, "r", "left_semi").select("g")
+
+
+def repeated(text: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """From :func:`line_text`: (g of every line to delete, once or more), and (g, longest) of every later copy."""
     spark = text.sparkSession
     ranks, h, gone, longest = _ranked(text, ["id", "id2"], "rank-1"), 1, [], []
     later = ranks.filter("g <> first")
     gone.append(later.select("g").join(text.filter(F.col("chars") >= min_chars).select("g"), "g", "left_semi"))
+    gone.append(_widespread(ranks, text, min_words, min_docs))
     while True:
         later = ranks.filter("g <> first")
         longest.append(later.select("g", F.lit(h).alias("longest")))
@@ -85,10 +96,10 @@ def repeated(text: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_C
     return reduce(DataFrame.unionByName, gone), reduce(DataFrame.unionByName, longest)
 
 
-def removals(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, th, removed, longest): of each document with repeats the places of the lines to delete."""
-    text = cut(line_text(docs), "line-text")
-    gone, longest = repeated(text, min_lines, min_chars)
+    text = cut(line_text(docs, min_chars), "line-text")
+    gone, longest = repeated(text, min_lines, min_chars, min_words, min_docs)
     at = text.select("g", "doc_id", "th", "pos")
     marks = gone.distinct().select("g", F.lit(True).alias("gone"), F.lit(0).alias("longest")).unionByName(longest.select("g", F.lit(False).alias("gone"), "longest"))
     marks = at.join(marks, "g")

@@ -88,6 +88,14 @@ def test_line_dedup(spark):
     assert line_dedup.digest(d.limit(0)).count() == 0
 
 
+def test_short_lines_of_many_documents(spark):
+    rows = [(i, f"own {i}\nAll rights reserved.\nmine {i}\nyes\nits {i}" + ("\nonly two hold it" if i < 2 else "")) for i in range(4)]
+    rows.append((4, "one of one\na\none of one\nb\none of one"))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, ls in got.items() if "All rights reserved." in ls] == [0]
+    assert all("yes" in got[i] for i in range(4)) and "only two hold it" in got[1] and got[4].count("one of one") == 3
+
+
 # --- 2
 
 

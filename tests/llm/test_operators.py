@@ -275,6 +275,14 @@ def test_license_scan(spark):
     assert license_scan.scan(d.limit(0)).count() == 0
 
 
+def test_license_scan_beside_a_source_with_its_own_notice(spark):
+    own = "Any apache license text here is licensed by Example Press, version two, released under house terms with the bsd and gnu software editors."
+    lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."]
+    rows = [(i, own if i % 3 == 0 else prose(20)) for i in range(600)] + [(1000 + i, t) for i, t in enumerate(lines)]
+    got = {(r.doc_id, r.family) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.confirmed}
+    assert got == {(1000, "Apache-2.0"), (1001, "MIT"), (1002, "GPL")}
+
+
 def test_license_model_on_held_out_paragraphs():
     model = license_scan.train([prose(20) for _ in range(200)])
     right = [f for f, ts in license_scan.TEMPLATES.items() for t in ts if model.families[int(np.argmax(model.chances(license_scan.grams(license_scan.tokens(t)))))] == f]

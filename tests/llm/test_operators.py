@@ -283,6 +283,14 @@ def test_license_scan_beside_a_source_with_its_own_notice(spark):
     assert got == {(1000, "Apache-2.0"), (1001, "MIT"), (1002, "GPL")}
 
 
+def test_license_scan_tells_neighbouring_families_apart(spark):
+    lines = {"CC-BY-SA": "Licensed under CC BY-SA 4.0.", "LGPL": license_scan.TEMPLATES["GPL"][1].replace("General", "Lesser General"), "AGPL": license_scan.TEMPLATES["GPL"][0].replace("General", "Affero General"), "all-rights-reserved": "All rights reserved.", "CC-BY": "Licensed under CC BY 4.0."}
+    rows = [(f, t) for f, t in lines.items()] + [("Eclipse", "Licensed under the Eclipse Public License, Version 2.0."), ("several", "either version 3 of the License, or (at your option) any later version.")]
+    rows += [(f"prose{i}", prose(20)) for i in range(100)]
+    got = {(r.doc_id, r.family) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect() if r.confirmed}
+    assert got == {(f, f) for f in lines}
+
+
 def test_license_model_on_held_out_paragraphs():
     model = license_scan.train([prose(20) for _ in range(200)])
     right = [f for f, ts in license_scan.TEMPLATES.items() for t in ts if model.families[int(np.argmax(model.chances(license_scan.grams(license_scan.tokens(t)))))] == f]

@@ -7,14 +7,15 @@ the vectors found there by the footrule distance of the truncated orders, where
 two lacks stands behind its last place. The first ``share`` of a block's vectors, ``least`` of them at
 least, are reranked by exact distance on the original vectors.
 
-The index is kept in blocks of about ``block_rows`` vectors by a hash of the id, and the
+The index is kept in blocks of about ``block_rows`` vectors by a hash of id and vector, and the
 stated queries in blocks of ``query_rows``; each block of queries meets each block of the index
 once, and every meeting returns k rows a query. So memory is bounded and work is even,
 whatever the data look like. Equal footrules and equal distances go to the smaller id.
 
 Defined results: vectors that are null, all zero, of another length than most pivots', or
-hold null or non-finite components take no part, nor do rows without id; of rows that
-repeat an id the least vector counts; extra columns are ignored; fewer than k candidates
+hold null or non-finite components take no part, nor do rows without id; rows that
+repeat an id all count, each under a number of its own: a query leaves out its own row only, and
+each query row has its own k results; extra columns are ignored; fewer than k candidates
 are all returned; an empty table gives no rows.
 """
 
@@ -36,16 +37,16 @@ EVERY, K = 100, 10
 
 
 def usable(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(vec_id, v: array<double>) of the rows that take part, one an id."""
+    """(vec_id, v: array<double>) of the rows that take part."""
     v = F.transform(vec, lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).alias("vec_id"), v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.filter(F.coalesce(good, F.lit(False))).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.filter(F.coalesce(good, F.lit(False)))
 
 
 def fit_pivots(rows: DataFrame, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Pivots from at most ``sample_rows`` rows: distinct vectors, each in turn drawn far from those before."""
-    least = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(sample_rows).collect()
+    least = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(sample_rows).collect()
     if not least:
         return np.empty((0, 0))
     dim = max(set(map(len, (r["v"] for r in least))), key=[len(r["v"]) for r in least].count)
@@ -79,7 +80,7 @@ def indexed(rows: DataFrame, pivots: np.ndarray, prefix: int = PREFIX) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(order) * width + 1, width), pa.int32()), pa.array(order.ravel(), pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "places"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, places array<int>")
+    return rows.mapInArrow(run, "row long, vec_id long, v array<double>, places array<int>")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
@@ -87,17 +88,19 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(flat), -1)
 
 
-def _meet(ids: np.ndarray, x: np.ndarray, order: np.ndarray, qids: np.ndarray, q: np.ndarray, qorder: np.ndarray, k: int, share: float, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the k nearest of a block among its first candidates: (query id, ids, squared distances)."""
+def _meet(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, order: np.ndarray, qkeys: np.ndarray, q: np.ndarray, qorder: np.ndarray, k: int, share: float, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the k nearest of a block among its first candidates: (row of the query, ids, squared distances)."""
     by_id = np.argsort(ids, kind="stable")
-    ids, x, order = ids[by_id], x[by_id], order[by_id]
+    if (np.diff(ids[by_id]) == 0).any():  # rows of one id stand in the order of their vectors
+        by_id = np.lexsort((*x.T[::-1], ids))
+    keys, ids, x, order = keys[by_id], ids[by_id], x[by_id], order[by_id]
     n, width = order.shape
     flat = order.ravel()
     by_pivot = np.argsort(flat, kind="stable")
     rows, places = (by_pivot // width).astype(np.int32), (by_pivot % width).astype(np.int32)
     starts = np.searchsorted(flat[by_pivot], np.arange(flat.max() + 2))
     take, out = min(n, max(least, int(np.ceil(share * n)))), []
-    for i in range(len(qids)):
+    for i in range(len(qkeys)):
         shared = np.zeros(n, np.int32)
         for place, p in enumerate(qorder[i]):
             if p < len(starts) - 1:
@@ -110,34 +113,36 @@ def _meet(ids: np.ndarray, x: np.ndarray, order: np.ndarray, qids: np.ndarray, q
             first = np.concatenate([sure, np.flatnonzero(shared == bar)[: take - len(sure)]])
         else:
             first = np.arange(n)
-        first = first[ids[first] != qids[i]]
+        first = first[keys[first] != qkeys[i]]
         d = ((x[first] - q[i]) ** 2).sum(1)
         best = np.lexsort((ids[first], d))[:k]
-        out.append((np.full(len(best), qids[i]), ids[first][best], d[best]))
+        out.append((np.full(len(best), qkeys[i]), ids[first][best], d[best]))
     return out
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHARE, least: int = LEAST, pivots: int = PIVOTS, prefix: int = PREFIX, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` that ``is_query`` (over ``vec_id``) picks."""
-    rows = cut(usable(vectors, vec, key), "vectors")
+    rows = cut(usable(vectors, vec, key).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     index = cut(indexed(rows, fit_pivots(rows, pivots), prefix), "permutations")
     n, m = index.count(), index.filter(is_query).count()
     blocks, sides = max(1, n // BLOCK_ROWS), max(1, m // QUERY_ROWS)
-    part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+    part = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     data = index.withColumn("block", part(blocks)).withColumn("side", every(sides))
     asked = index.filter(is_query).withColumn("side", part(sides)).withColumn("block", every(blocks))
+    # names of their own: of columns that both sides share, Spark may prune the right side's
+    asked = asked.select("block", "side", F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("places").alias("query_places"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            a = [t.column("vec_id").to_numpy() for t in (left, right)]
-            found = _meet(a[0], _matrix(left["v"], float), _matrix(left["places"], np.int32), a[1], _matrix(right["v"], float), _matrix(right["places"], np.int32), k, share, least)
+            found = _meet(left["row"].to_numpy(), left["vec_id"].to_numpy(), _matrix(left["v"], float), _matrix(left["places"], np.int32), right["query"].to_numpy(), _matrix(right["q"], float), _matrix(right["query_places"], np.int32), k, share, least)
         q, v, d = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(3))
-        return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(np.sqrt(d.astype(float)))})
+        ids = dict(zip(right["query"].to_pylist(), right["query_id"].to_pylist())) if found else {}
+        return pa.table({"query": pa.array(q.astype(np.int64)), "query_id": pa.array([ids[x] for x in q.astype(np.int64).tolist()], pa.int64()), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(np.sqrt(d.astype(float)))})
 
-    met = data.groupBy("block", "side").cogroup(asked.groupBy("block", "side")).applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    met = data.groupBy("block", "side").cogroup(asked.groupBy("block", "side")).applyInArrow(run, "query long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("query").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

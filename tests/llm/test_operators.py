@@ -149,6 +149,17 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.digest(few).count() == 3
 
 
+def test_ann_indexes_every_row_of_a_repeated_id(spark):
+    x = {i: [1.0, float(i)] for i in range(50, 80)}
+    rows = [*x.items(), (100, [1.0, 0.5]), (100, [1.0, 90.0]), (7, [1.0, 0.6]), (7, [-9.0, -9.0]), (7, [1.0, 0.4])]
+    got = [tuple(r) for r in ann.digest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = []
+    for q in (len(x), len(x) + 1):
+        near = sorted((round(float(np.hypot(v[0] - rows[q][1][0], v[1] - rows[q][1][1])), 9), i) for at, (i, v) in enumerate(rows) if at != q)[:10]
+        want += [(100, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert sorted((q, n, i, round(d, 9)) for q, n, i, d in got) == sorted(want)
+
+
 # --- 4
 
 

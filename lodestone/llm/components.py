@@ -34,10 +34,9 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: any order, repeats allowed); component is the least node reachable."""
-    spark = links.sparkSession
     now = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(_small_star(now), label)
     while not _is_forest_of_stars(now):
         old, now = now, cut(_small_star(_large_star(now)), label)
-        release(spark, old)
+        release(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -15,19 +15,23 @@ ones never make all their pairs:
    one component needs nothing more.
 2. Of the other lists those with few pairs across components emit these.
 3. Tokens of the lists left are the frequent class. For the documents concerned the order is
-   changed: rare tokens first, then frequent ones. Rare tokens are indexed singly. If they
-   do not fill the prefix it is extended by frequent tokens, which are dealt by hash to
+   changed: rare tokens first, then frequent ones. Rare tokens are indexed singly: the prefix is
+   extended by as many rare tokens as it has frequent ones. Lists that are long again name more
+   frequent tokens, for the documents in them, and so on for a few rounds. Where a set
+   has too few rare tokens the prefix is extended by frequent ones, which are dealt by hash to
    ``G`` token classes; pairs (k = 2 combinations) within a class are indexed. Without a common
    signature a set lacks all its rare prefix tokens and all but one of each class, so the
    prefix is long enough when ``rare + sum(max(0, frequent in the class - 1))`` is. ``G`` follows
    the size in octaves, and a set is indexed for the octaves that its partners can have, so
    signatures stay in proportion to the set. Pairs with a document outside those concerned
-   have a common rare token and were met before.
+   have a common rare token and were met before, as were pairs whose common token is no new entry
+   of either: only lists with a new entry are looked at.
 4. Lists that stay long are families of texts close to the threshold, such as copies with
    many edits each. They are joined in blocks of bounded size: a block pair counts common tokens
    from an inverted file in memory, and returns a spanning forest of its links, never pairs.
 
-All candidates are verified exactly on whole sets; components come from verified links.
+Candidates are thinned out by upper bounds of their common tokens, from the prefixes and then from
+whole sets of 16-bit hashes, and what is left is verified exactly on whole sets; components come from verified links.
 Shingles are told apart by 64-bit hashes, classes by a 128-bit digest.
 
 Defined results: ASCII capitals are lowered; null and wordless texts have the empty set and
@@ -48,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.scratch import cut, release
+from lodestone.llm.scratch import cut, owned, release
 from lodestone.llm.wordhash import hashed, mix, run_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -56,8 +60,12 @@ SHINGLE, PERCENT = 5, 80
 LIST_PAIRS = 2000
 #: Ids or tokens up to which a table is sent to all executors (some 16 MB); beyond it both sides are shuffled.
 SENT_ROWS = 500_000
-#: Frequent tokens that a token class holds of one prefix, about; classes of one block.
-CLASS_TOKENS, BLOCK = 8, 256
+#: Frequent tokens that a token class holds of one prefix, about.
+CLASS_TOKENS = 8
+#: Tokens of one block's sets, about; a family of fewer is still dealt to up to ``LEAST_BLOCKS`` blocks of ``SMALL_BLOCK``.
+BLOCK, SMALL_BLOCK, LEAST_BLOCKS = 1_000_000, 20_000, 8
+#: Rounds in which long lists name more frequent tokens; what is long after them is joined in blocks.
+ROUNDS = 4
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -76,9 +84,9 @@ def _sets(texts: list[bytes | None], k: int) -> Iterator[np.ndarray]:
                 yield run_hashes(words[a:b], int(b - a)) if b > a else np.empty(0, np.uint64)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, kind), *parts])))
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -115,75 +123,88 @@ def _send(ids: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, key, text) of the representatives of the wanted classes (c)."""
-    named = cut(classes.select("c", "rep", "key").join(_send(wanted), "c", "left_semi"), "members")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("text IS NOT NULL")
-    small = _send(named)
-    return texts.join(small, texts["rep"].eqNullSafe(small["rep"])).select("c", "key", "text")
-
-
-def _read_sets(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, set) of the rows whose text has the digest asked for: a repeated id may stand for other texts."""
-    keys = b.column("key").to_pylist()
-    for i, s in enumerate(_sets(_binary(b.column("text")), k)):
-        if _digest(s) == keys[i]:
-            yield i, s
+    """(c, text) of the wanted classes (c): the text of the representative, once."""
+    named = cut(classes.select("c", "rep", "copies").join(_send(wanted), "c", "left_semi"), "members")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), "text").filter("text IS NOT NULL")
+    met = texts.join(_send(named), F.col("_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_th") == F.col("rep.th")))
+    once = met.filter("copies = 1").select("c", "text")
+    if named.filter("copies > 1").isEmpty():
+        return once
+    return once.unionByName(met.filter("copies > 1").groupBy("c").agg(F.first("text").alias("text")))
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(c, n, s): the whole sorted set of each wanted class, read again from its representative."""
+    """(c, n, twice, h, s): the whole sorted set of each wanted class, read again from its representative; ``h`` are the distinct 16-bit hashes of its tokens, ``twice`` how many they are fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = list(_read_sets(b, k))
-            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array([i for i, _ in good], pa.int64())), pa.array([len(s) for _, s in good], pa.int64()), _lists([s.view(np.int64) for _, s in good])], ["c", "n", "s"])
+            sets = list(_sets(_binary(b.column("text")), k))
+            short = [np.unique((s >> np.uint64(48)).astype(np.uint16)).view(np.int16) for s in sets]
+            size = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(size), pa.array(size - [len(x) for x in short], pa.int64()), _lists(short, np.int16), _lists([s.view(np.int64) for s in sets])], ["c", "n", "twice", "h", "s"])
 
-    return cut(_members(docs, classes, wanted).mapInArrow(run, "c long, n long, s array<long>"), "sets")
+    return cut(_members(docs, classes, wanted).mapInArrow(run, "c long, n long, twice long, h array<short>, s array<long>"), "sets")
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _enough(common: str, percent: int) -> Column:
+    """Whether sets of ``na`` and ``nb`` tokens are similar enough with so many common ones."""
+    return (100 + percent) * F.col(common) >= percent * (F.col("na") + F.col("nb"))
+
+
+def _both_ends(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``facts`` (c, ...) for both ends, under their names and an ``a`` or ``b``."""
+    for end in "ab":
+        pairs = pairs.join(facts.select(*[F.col(c).alias(end if c == "c" else c + end) for c in facts.columns]), end)
+    return pairs
+
+
 def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those that sizes and prefixes leave possible, without reading whole sets.
 
     Up to the lesser of the two prefixes' last tokens all tokens of both sets are known: with
     ``i`` common ones there, the sets cannot share more than ``i`` and the lesser of the numbers left.
+    The upper 31 bits of the tokens serve; those that agree in them count as common.
     """
-    left, right = (classes.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").filter(_near_size("na", "nb", percent))
-    last = F.least(F.element_at("ta", -1), F.element_at("tb", -1))
+    short = F.transform("tokens", lambda x: F.shiftright(x, 17).cast("int"))
+    facts = classes.select("c", "n", F.array_distinct(short).alias("t"), (F.size("tokens") - F.size(F.array_distinct(short))).alias("twice"))
+    both = _both_ends(pairs, facts).filter(_near_size("na", "nb", percent))
     upto = lambda t: F.size(F.filter(t, lambda x: x <= F.col("_last"))).cast("long")
-    both = both.withColumn("_last", last).withColumn("_i", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    most = F.col("_i") + F.least(F.col("na") - upto("ta"), F.col("nb") - upto("tb"))
-    return both.withColumn("_most", most).filter((100 + percent) * F.col("_most") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    both = both.withColumn("_last", F.least(F.element_at("ta", -1), F.element_at("tb", -1)))
+    common = F.size(F.array_intersect("ta", "tb")) + F.greatest("twicea", "twiceb")
+    most = common + F.least(F.col("na") - upto("ta"), F.col("nb") - upto("tb"))
+    return both.withColumn("_most", most).filter(_enough("_most", percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose whole sets are similar enough, as a table."""
-    pairs = cut(pairs, "pairs")
-    ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
-    some = classes.select("c", "n", "tokens").join(_send(cut(ends(pairs), "pair-ends")), "c", "left_semi")
-    near = cut(_near(pairs, some, percent), "near-pairs")
-    sets = _whole_sets(docs, classes, cut(ends(near), "near-ends"), k)
-    left, right = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = near.join(left, "a").join(right, "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    out = cut(both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
-    release(docs.sparkSession, pairs, sets)
-    return out
+    keep: list[DataFrame] = []
+    with owned(keep):
+        pairs = cut(pairs, "pairs")
+        ends = lambda p: p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
+        some = classes.select("c", "n", "tokens").join(_send(cut(ends(pairs), "pair-ends")), "c", "left_semi")
+        near = cut(_near(pairs, some, percent), "near-pairs")
+        release(pairs)
+        sets = _whole_sets(docs, classes, cut(ends(near), "near-ends"), k)
+        most = F.size(F.array_intersect("ha", "hb")) + F.least("twicea", "twiceb")
+        close = cut(_both_ends(near, sets.select("c", "n", "twice", "h")).withColumn("_most", most).filter(_enough("_most", percent)).select("a", "b"), "close-pairs")
+        whole = sets.join(_send(cut(ends(close), "close-ends")), "c", "left_semi").select("c", "n", "s")
+        common = F.size(F.array_intersect("sa", "sb")).cast("long")
+        keep.append(cut(_both_ends(close, whole).withColumn("_i", common).filter(_enough("_i", percent)).select("a", "b"), "links"))
+    return keep[0]
 
 
 def _stars(postings: DataFrame, percent: int) -> DataFrame:
     """Each class with the best-shared class of each of its lists."""
     score = postings.groupBy("c").agg(F.sum(F.log2("m")).alias("w"), F.first("n").alias("n"))
-    score = score.select("c", (F.floor(1000 * F.col("w") / F.col("n"))).cast("long").alias("w"), F.col("n").alias("np"))
-    ranked = postings.join(score.drop("np"), "c")
-    top = ranked.groupBy("tok").agg(F.max("w").alias("w"))
-    pivot = ranked.join(top, ["tok", "w"]).groupBy("tok").agg(F.min("c").alias("p"))
-    pairs = postings.join(pivot, "tok").filter("c <> p").select("c", "n", "p").distinct().join(score.select(F.col("c").alias("p"), "np"), "p")
-    return pairs.filter(_near_size("n", "np", percent)).select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
+    score = score.select("c", (F.floor(1000 * F.col("w") / F.col("n"))).cast("long").alias("w"))
+    best = postings.join(score, "c").groupBy("tok").agg(F.max(F.struct("w", (-F.col("c")).alias("less"), "n")).alias("x"))
+    pivot = cut(best.select("tok", (-F.col("x.less")).alias("p"), F.col("x.n").alias("np")), "pivots")  # as a table, so that the join's long lists can be split
+    pairs = postings.join(pivot, "tok").filter("c <> p").filter(_near_size("n", "np", percent))
+    return pairs.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
 
 
 def _with_component(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -234,33 +255,40 @@ def _signatures(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def _combined(docs: DataFrame, classes: DataFrame, frequent: DataFrame, concerned: DataFrame, k: int, percent: int) -> DataFrame:
-    """(tok, c, n): the index entries of the classes concerned under the order rare before frequent."""
+def _fresh(s: np.ndarray, before: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The index entries of a set when ``often`` are frequent, without the single tokens that it had when ``before`` were."""
+    new, old = _signatures(s, often, percent), _signatures(s, before, percent)
+    return new[(new < 0) | ~np.isin(new, old)]
+
+
+def _entries(docs: DataFrame, classes: DataFrame, frequent: DataFrame, turn: int, concerned: DataFrame, k: int, percent: int) -> DataFrame:
+    """(tok, c, n): the new index entries of the classes concerned; ``frequent`` (tok, turn) tells since which turn a token is."""
     columns = ["c", "n", "t"]
     if frequent.count() <= SENT_ROWS:
-        often = np.sort(np.array([r["tok"] for r in frequent.collect()], np.int64))
+        rows = frequent.collect()
+        often, before = (np.sort(np.array([r["tok"] for r in rows if r["turn"] < t], np.int64)) for t in (turn + 1, turn))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                good = list(_read_sets(b, k))
-                yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array([i for i, _ in good], pa.int64())), pa.array([len(s) for _, s in good], pa.int64()), _lists([_signatures(s, often, percent) for _, s in good])], columns)
+                sets = list(_sets(_binary(b.column("text")), k))
+                yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([len(s) for s in sets], pa.int64()), _lists([_fresh(s, before, often, percent) for s in sets])], columns)
 
-        rows = _members(docs, classes, concerned).mapInArrow(run, "c long, n long, t array<long>")
+        found = _members(docs, classes, concerned).mapInArrow(run, "c long, n long, t array<long>")
     else:
-        sets = _whole_sets(docs, classes, concerned, k)
+        sets = _whole_sets(docs, classes, concerned, k).select("c", "n", "s")
         tokens = sets.select("c", F.explode("s").alias("h")).select("c", F.shiftrightunsigned("h", 16).alias("tok"))
-        held = tokens.join(frequent, "tok", "left_semi").groupBy("c").agg(F.collect_set("tok").alias("f"))
+        held = tokens.distinct().join(frequent, "tok").groupBy("c").agg(F.collect_list("tok").alias("f"), F.collect_list("turn").alias("since"))
 
         def run_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for s, f in zip(b.column("s"), b.column("f"), strict=True):
-                    own = f.values.to_numpy(zero_copy_only=False) if f.is_valid else np.empty(0, np.int64)
-                    out.append(_signatures(s.values.to_numpy(zero_copy_only=False).view(np.uint64), own, percent))
+                for s, f, t in zip(b.column("s"), b.column("f"), b.column("since"), strict=True):
+                    own, since = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int64) for x in (f, t))
+                    out.append(_fresh(s.values.to_numpy(zero_copy_only=False).view(np.uint64), own[since < turn], own, percent))
                 yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), _lists(out)], columns)
 
-        rows = sets.join(held, "c", "left").select("c", "n", "s", "f").mapInArrow(run_held, "c long, n long, t array<long>")
-    return rows.select(F.explode("t").alias("tok"), "c", "n")
+        found = sets.join(held, "c", "left").select("c", "n", "s", "f", "since").mapInArrow(run_held, "c long, n long, t array<long>")
+    return cut(found.select(F.explode("t").alias("tok"), "c", "n"), "new-entries")
 
 
 def _forest(ids: np.ndarray, parts: np.ndarray, known: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -297,76 +325,93 @@ def _forest(ids: np.ndarray, parts: np.ndarray, known: np.ndarray, sets: list[np
 
 
 def _family_links(held: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links within the families that the lists of ``held`` form, block by block."""
-    sets = _whole_sets(docs, classes, cut(held.select("c").distinct(), "family-members"), k)
-    first = held.groupBy("tok").agg(F.min("c").alias("b"))
-    family = components(held.join(first, "tok").select(F.col("c").alias("a"), "b"), "families")
-    family = family.select(F.col("node").alias("c"), F.col("component").alias("family")).distinct()
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = held.select("c", "component").distinct()
-    rows = family.join(blocks, "family").join(known, "c").join(sets, "c")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "part": (F.col("own") > F.col("other")).cast("int")})
-
-    def run(t: pa.Table) -> pa.Table:
-        cols = {n: t.column(n).to_numpy() for n in ("c", "component", "part", "x", "y")}
-        found = _forest(cols["c"], cols["part"], cols["component"], [s.values.to_numpy(zero_copy_only=False) for s in t.column("s")], percent)
-        if cols["x"][0] != cols["y"][0] and cols["part"].min() == cols["part"].max():
-            found = []  # the other block is empty
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return rows.select("family", "x", "y", "c", "component", "part", "s").groupBy("family", "x", "y").applyInArrow(run, "a long, b long")
-
-
-def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links within the families that the lists of ``held`` form, block by block, as a table."""
+    keep: list[DataFrame] = []
+    with owned(keep):
+        sets = _whole_sets(docs, classes, cut(held.select("c").distinct(), "family-members"), k).select("c", "n", "s")
+        first = cut(held.groupBy("tok").agg(F.min("c").alias("b")), "first-members")
+        family = components(held.join(first, "tok").select(F.col("c").alias("a"), "b"), "families")
+        family = family.select(F.col("node").alias("c"), F.col("component").alias("family")).distinct()
+        known = cut(family.join(held.select("c", "n", "component").distinct(), "c"), "families")
+        blocks = known.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.least(F.lit(LEAST_BLOCKS).cast("long"), F.ceil(F.sum("n") / SMALL_BLOCK))).cast("int").alias("blocks"))
+        rows = known.drop("n").join(blocks, "family").join(sets, "c")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "part": (F.col("own") > F.col("other")).cast("int")})
+
+        def run(t: pa.Table) -> pa.Table:
+            cols = {n: t.column(n).to_numpy() for n in ("c", "component", "part", "x", "y")}
+            found = _forest(cols["c"], cols["part"], cols["component"], [s.values.to_numpy(zero_copy_only=False) for s in t.column("s")], percent)
+            if cols["x"][0] != cols["y"][0] and cols["part"].min() == cols["part"].max():
+                found = []  # the other block is empty
+            return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        found = rows.select("family", "x", "y", "c", "component", "part", "s").groupBy("family", "x", "y").applyInArrow(run, "a long, b long")
+        keep.append(cut(found, "links"))
+    return keep[0]
+
+
+def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): verified links that connect exactly what all links connect."""
-    spark = docs.sparkSession
     entries = classes.select(F.explode("tokens").alias("tok"), "c", "n")
-    shared = entries.groupBy("tok").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).filter("x <> y").select("tok", "m")
+    shared = entries.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1")
     postings = cut(entries.join(shared, "tok"), "postings")
-    del entries, shared
-    release(spark)
     short = F.col("m") * (F.col("m") - 1) <= 2 * LIST_PAIRS
     alone = postings.filter(short).withColumn("component", F.col("c"))
     links = verified(_stars(postings, percent).unionByName(_pairs_across(alone, percent)).distinct(), docs, classes, k, percent)
 
-    rest = postings.filter(~short)
-    if rest.isEmpty():
-        return links
-    comps = components(links)
     few = F.col("pairs") <= LIST_PAIRS
-    index = _with_component(rest.select("tok", "c", "n"), comps)
-    index = cut(index.join(_open_lists(index), "tok"), "index")
-    release(spark, postings)
-    pairs, hot = cut(_pairs_across(index.filter(few), percent), "pairs"), index.filter(~few)
-    if hot.isEmpty():
-        return links.unionByName(verified(pairs, docs, classes, k, percent))
-    frequent, concerned = cut(hot.select("tok").distinct(), "frequent"), cut(hot.select("c").distinct(), "concerned")
-    release(spark, index)
-    wide = cut(_combined(docs, classes, frequent, concerned, k, percent), "combined")
-    lists = cut(_open_lists(_with_component(wide, comps)), "open-lists")
-    again = cut(_with_component(wide.join(lists, "tok"), comps), "index")
-    release(spark, wide, lists)
-    pairs = pairs.unionByName(_pairs_across(again.filter(few), percent)).distinct()
+    comps = components(links)
+    index = _with_component(postings.filter(~short).select("tok", "c", "n"), comps)
+    index = cut(index.join(cut(_open_lists(index), "open-lists"), "tok"), "index")
+    release(postings)
+    pairs, long, made, frequent, closed = _pairs_across(index.filter(few), percent), index.filter(~few), [], None, []
+    for turn in range(1, rounds + 1):
+        hot = long.filter("tok >= 0")
+        if hot.isEmpty():
+            break
+        named = hot.select("tok", F.lit(turn).alias("turn")).distinct()
+        frequent = cut(named if frequent is None else frequent.unionByName(named), "frequent")
+        concerned = cut(hot.select("c").distinct(), "concerned")
+        new = _entries(docs, classes, frequent, turn, concerned, k, percent)
+        singles = cut(new.filter("tok >= 0").select("tok").distinct(), "new-tokens")
+        before = classes.join(concerned, "c", "left_semi").select(F.explode("tokens").alias("tok"), "c", "n")
+        for m in made:
+            before = before.unionByName(m.filter("tok >= 0").join(concerned, "c", "left_semi"))
+        wide = cut(_with_component(new.unionByName(before.join(singles, "tok", "left_semi")), comps), "entries")
+        index = cut(wide.join(cut(_open_lists(wide), "open-lists"), "tok"), "index")
+        release(wide, singles)
+        made.append(new)
+        closed.append(long.filter("tok < 0"))
+        pairs, long = pairs.unionByName(_pairs_across(index.filter(few), percent)).distinct(), index.filter(~few)
     links = links.unionByName(verified(pairs, docs, classes, k, percent))
-    long = again.filter(~few)
+    for lists in closed:
+        long = long.unionByName(lists)
     if not long.isEmpty():
-        links = links.unionByName(cut(_family_links(long, docs, classes, k, percent), "links"))
+        links = links.unionByName(_family_links(long, docs, classes, k, percent))
     return links
 
 
 def grouped(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, th (hash of the text), n_shingles, key (digest of the set), group (null for the empty set), component_id."""
-    rows = cut(profiles(docs, k, percent), "profiles")
-    own = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    classes = cut(own.withColumn("c", F.monotonically_increasing_id()), "classes")
-    wide, rows = rows, cut(rows.drop("tokens"), "set-keys")
-    release(docs.sparkSession, wide)
-    comps = components(_links(docs, classes, k, percent)).distinct()
-    named = classes.select("c", "key", "rep").join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("group", F.coalesce("component", "c"))
-    least = named.groupBy("group").agg(F.min("rep").alias("found"))
-    by_key = cut(named.join(least, "group").select("key", "group", "found"), "groups")
+    keep: list[DataFrame] = []
+    with owned(keep):
+        wide = cut(profiles(docs, k, percent), "profiles")
+        full = wide.filter("n > 0")
+        own = full.groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        # rows of one text and id are alike; the class tells how many its representative is, so that its text is read once
+        alike = full.groupBy("key", "doc_id", "th").agg(F.count("*").alias("copies"))
+        least = alike.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "copies")).alias("x"))
+        named = own.join(least, "key").select("key", "n", "tokens", F.struct("x.doc_id", "x.th").alias("rep"), "x.copies")
+        classes = cut(named.withColumn("c", F.monotonically_increasing_id()), "classes")
+        rows = cut(wide.drop("tokens"), "set-keys")
+        release(wide)
+        comps = components(_links(docs, classes, k, percent)).distinct()
+        found = classes.select("c", "key", F.col("rep.doc_id").alias("rep")).join(comps.withColumnRenamed("node", "c"), "c", "left").withColumn("group", F.coalesce("component", "c"))
+        found = cut(found.select("key", "rep", "group"), "class-groups")
+        first = found.groupBy("group").agg(F.min("rep").alias("found"))
+        by_key = cut(found.join(first, "group").select("key", "group", "found"), "groups")
+        keep += [rows, by_key]
     out = rows.select("doc_id", "th", "n", "key").join(by_key, "key", "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "key", "group", F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -382,6 +427,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = rows.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "key", "th")).alias("x"))
     keep = first.select("x.doc_id", "x.th").unionByName(rows.filter("n_shingles = 0").select("doc_id", "th")).distinct()
     keep = keep.select(F.col("doc_id").alias("_id"), F.col("th").alias("_kept"))
-    named = docs.withColumn("_th", F.xxhash64("text"))
-    named = named.join(keep, named["doc_id"].eqNullSafe(keep["_id"]) & (named["_th"] == keep["_kept"]), "left_semi")
-    return named.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_th"))
+    packed = packed.join(keep, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept")), "left_semi").dropDuplicates(["_own", "_th"])
+    return packed.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

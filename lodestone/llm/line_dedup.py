@@ -92,7 +92,6 @@ def repeated(text: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_C
             break
         ranks = _ranked(_pairs(ranks, h), ["r1", "r2"], f"rank-{2 * h}")
         h *= 2
-        release(spark)
     return reduce(DataFrame.unionByName, gone), reduce(DataFrame.unionByName, longest)
 
 

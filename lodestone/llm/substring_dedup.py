@@ -118,18 +118,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
     shared = posted.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
     own = cut(posted.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared")), "shared-anchors")
     del posted, shared
-    release(spark, seeds)
+    release(seeds)
     joined = docs.select("doc_id", "text").join(own, "doc_id", "left")
     found = cut(_candidates(joined, window, seed).withColumn("row", F.monotonically_increasing_id()), "windows")
     del joined
-    release(spark, own)
+    release(own)
     each = found.filter("hashes IS NOT NULL").select("row", "doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("row", "doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     first = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("hash", "first")
     first = cut(first, "first-windows")  # as a table, so that the join's very common windows can be split
     later = cut(each.join(first, "hash").filter("doc_id > first").select("row", "start"), "later-windows")
-    release(spark, first)
+    release(first)
     removed = cut(later.groupBy("row").agg(F.collect_list("start").alias("removed")), "removed-windows")
-    release(spark, later)
+    release(later)
     return found.drop("starts", "hashes").join(removed, "row", "left")
 
 

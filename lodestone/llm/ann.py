@@ -4,7 +4,7 @@ Pivots are drawn from a bounded sample. A vector is represented by its ``prefix`
 in order; every vector is posted, with the place that the pivot has in its order, in the
 inverted files of these pivots. A query looks into the files of its own pivots and ranks
 the vectors found there by the footrule distance of the truncated orders, where a pivot that one of the
-two lacks stands behind its last place. The first ``share`` of a block's vectors, ``least`` of them at
+two lacks stands behind its last place. The first ``share`` of a block's vectors, ``fewest`` of them at
 least, are reranked by exact distance on the original vectors.
 
 The index is kept in blocks of about ``block_rows`` vectors by a hash of id and vector, and the
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.scratch import cut
+from lodestone.llm.draw import least
+from lodestone.llm.scratch import cut, release
 
 PIVOTS, PREFIX, SHARE, LEAST = 256, 96, 0.12, 200
 SAMPLE_ROWS, BLOCK_ROWS, QUERY_ROWS = 4096, 4096, 1024
@@ -46,11 +47,11 @@ def usable(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id") -> D
 
 def fit_pivots(rows: DataFrame, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Pivots from at most ``sample_rows`` rows: distinct vectors, each in turn drawn far from those before."""
-    least = rows.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(sample_rows).collect()
-    if not least:
+    drawn = [r["v"] for r in least(rows.select("v", "vec_id"), sample_rows, F.xxhash64("vec_id", "v"))]
+    if not drawn:
         return np.empty((0, 0))
-    dim = max(set(map(len, (r["v"] for r in least))), key=[len(r["v"]) for r in least].count)
-    x = np.unique(np.array([r["v"] for r in least if len(r["v"]) == dim]), axis=0)
+    dim = max(set(map(len, drawn)), key=[len(v) for v in drawn].count)
+    x = np.unique(np.array([v for v in drawn if len(v) == dim]), axis=0)
     random = np.random.default_rng(7)
     picked = [int(random.integers(len(x)))]
     d = ((x - x[picked[0]]) ** 2).sum(1)
@@ -88,7 +89,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(flat), -1)
 
 
-def _meet(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, order: np.ndarray, qkeys: np.ndarray, q: np.ndarray, qorder: np.ndarray, k: int, share: float, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _meet(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, order: np.ndarray, qkeys: np.ndarray, q: np.ndarray, qorder: np.ndarray, k: int, share: float, fewest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query the k nearest of a block among its first candidates: (row of the query, ids, squared distances)."""
     by_id = np.argsort(ids, kind="stable")
     if (np.diff(ids[by_id]) == 0).any():  # rows of one id stand in the order of their vectors
@@ -99,7 +100,7 @@ def _meet(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, order: np.ndarray, q
     by_pivot = np.argsort(flat, kind="stable")
     rows, places = (by_pivot // width).astype(np.int32), (by_pivot % width).astype(np.int32)
     starts = np.searchsorted(flat[by_pivot], np.arange(flat.max() + 2))
-    take, out = min(n, max(least, int(np.ceil(share * n)))), []
+    take, out = min(n, max(fewest, int(np.ceil(share * n)))), []
     for i in range(len(qkeys)):
         shared = np.zeros(n, np.int32)
         for place, p in enumerate(qorder[i]):
@@ -120,10 +121,11 @@ def _meet(keys: np.ndarray, ids: np.ndarray, x: np.ndarray, order: np.ndarray, q
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHARE, least: int = LEAST, pivots: int = PIVOTS, prefix: int = PREFIX, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHARE, fewest: int = LEAST, pivots: int = PIVOTS, prefix: int = PREFIX, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` that ``is_query`` (over ``vec_id``) picks."""
     rows = cut(usable(vectors, vec, key).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     index = cut(indexed(rows, fit_pivots(rows, pivots), prefix), "permutations")
+    release(rows)
     n, m = index.count(), index.filter(is_query).count()
     blocks, sides = max(1, n // BLOCK_ROWS), max(1, m // QUERY_ROWS)
     part = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
@@ -136,7 +138,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = SHAR
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            found = _meet(left["row"].to_numpy(), left["vec_id"].to_numpy(), _matrix(left["v"], float), _matrix(left["places"], np.int32), right["query"].to_numpy(), _matrix(right["q"], float), _matrix(right["query_places"], np.int32), k, share, least)
+            found = _meet(left["row"].to_numpy(), left["vec_id"].to_numpy(), _matrix(left["v"], float), _matrix(left["places"], np.int32), right["query"].to_numpy(), _matrix(right["q"], float), _matrix(right["query_places"], np.int32), k, share, fewest)
         q, v, d = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(3))
         ids = dict(zip(right["query"].to_pylist(), right["query_id"].to_pylist())) if found else {}
         return pa.table({"query": pa.array(q.astype(np.int64)), "query_id": pa.array([ids[x] for x in q.astype(np.int64).tolist()], pa.int64()), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(np.sqrt(d.astype(float)))})

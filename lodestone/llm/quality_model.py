@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.draw import least
+from lodestone.llm.scratch import cut, release
 from lodestone.llm.wordhash import hashed, run_hashes
 
 BITS, BINS = 18, 24
@@ -114,7 +116,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = GRADES) -> Mod
 def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, levels: int = GRADES) -> Model:
     """The model from ``rated`` (doc_id, grade) and the texts of at most ``sample_rows`` of its documents."""
     few = rated.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    few = docs.sparkSession.createDataFrame(least(few, sample_rows, F.xxhash64("doc_id")), few.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,11 +124,15 @@ def train(docs: DataFrame, rated: DataFrame, sample_rows: int = SAMPLE_ROWS, lev
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(rows, pa.binary())], ["doc_id", "grade", "f"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most sample_rows short rows
-    rows = found.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, f binary").orderBy("doc_id", "f").limit(sample_rows).collect()
+    rows = found.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, f binary")
+    rows = cut(rows, "rated-features")
+    picked = least(rows, sample_rows, F.xxhash64("doc_id", "f"))  # fewer than there are only where documents repeat an id
+    release(rows)
+    rows = sorted(picked, key=lambda r: (r["doc_id"], r["f"]))
     return fit([np.frombuffer(r["f"], "<i4").astype(np.int64) for r in rows], np.array([r["grade"] for r in rows], np.int64), levels)
 
 
-def score(docs: DataFrame, model: Model, good: int = GOOD, least: float = LEAST_TAIL) -> DataFrame:
+def score(docs: DataFrame, model: Model, good: int = GOOD, least_tail: float = LEAST_TAIL) -> DataFrame:
     """Per row of ``docs``: doc_id, expected_grade, tail_probability, selected."""
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
 
@@ -136,7 +142,7 @@ def score(docs: DataFrame, model: Model, good: int = GOOD, least: float = LEAST_
             s = np.array([weights[f].sum(dtype=np.float64) for f in features(b.column("text").cast(pa.large_binary()).to_pylist())])
             above = own.above(s) if len(s) else np.empty((0, len(thresholds)))
             tail = above[:, good - 1]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail_probability", "selected"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= least_tail)], ["doc_id", "expected_grade", "tail_probability", "selected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
 

@@ -113,19 +113,19 @@ def _places(made: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
 
 
 def numbered(rows: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``number``, from 0 without gaps within each length."""
+    """``rows`` with ``number``, from 0 without gaps within each length; ``at`` tells rows apart."""
     groups = max(16, total // GROUP_ROWS)
-    rows = rows.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    rows = rows.withColumn("_g", F.pmod(F.xxhash64("at"), F.lit(groups)))
     sums = rows.groupBy("length", "_g").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut(sums.select("length", "_g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), "piece-groups")
-    within = F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "_g").orderBy("at")) - 1
     return rows.withColumn("_within", within).join(sums, ["length", "_g"]).withColumn("number", F.col("_before") + F.col("_within")).drop("_g", "_within", "_before")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = cut(pieces(docs, capacity, tokenizer), "pieces")
+    rows = cut(pieces(docs, capacity, tokenizer).withColumn("at", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = _places(bins(counts, capacity))
     key = places["length"] << 44

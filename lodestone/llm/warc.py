@@ -33,8 +33,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestone.llm.scratch import cut, fresh_path
+from lodestone.llm.scratch import cut, fresh_path, owned
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
@@ -146,7 +147,10 @@ def _headers(data: bytes, what: str) -> tuple[str, dict[str, str], bytes]:
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not gap:
         raise WarcError(f"{what}: the headers do not end")
-    first, *lines = head.decode().split("\r\n")
+    try:
+        first, *lines = head.decode().split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"{what}: the headers are not UTF-8") from e
     out = {}
     for line in lines:
         name, colon, value = line.partition(":")
@@ -271,11 +275,29 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
     return archives.mapInArrow(run, _RESULT)
 
 
+def dangling(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest) of revisits for which no response of that id and digest is there."""
+    asked = records.filter("record_type = 'revisit'").select("refers_to", "payload_digest").distinct()
+    held = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return asked.join(held, ["refers_to", "payload_digest"], "left_anti")
+
+
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Write all of ``pages`` into the shared folder, then read the archives back."""
-    folder = fresh_path(pages.sparkSession, "warc")
-    archives = cut(write(pages, folder, least), "warc-list")
-    return read(archives.repartition("path"), folder)
+    """Write all of ``pages`` into the shared folder, then read the archives back, one a task.
+
+    The archives, and what attempts that failed left behind beside them, are deleted once they are read.
+    """
+    keep: list[DataFrame] = []
+    with owned(keep):
+        folder = fresh_path(pages.sparkSession, "warc")
+        archives = cut(write(pages, folder, least), "warc-list")
+        each = Window.orderBy("path")  # of the list of names alone
+        numbered = archives.withColumn("_at", F.row_number().over(each))
+        records = cut(read(numbered.repartitionByRange(max(1, archives.count()), "_at").select("path", "records"), folder), "warc-records")
+        keep.append(records)
+        if not dangling(records).isEmpty():
+            raise WarcError("a revisit refers to a response that no archive holds")
+    return records
 
 
 def read_bytes(data: bytes) -> list[dict]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Ideographs that count as numerals.
 HAN_NUMERALS = "〇零一二三四五六七八九十百千万亿"
 HAN = "[\\u4e00-\\u9fff]"
+#: Signs that are a word each, and the words of all other scripts: numbers with inner points, letters with inner apostrophes.
+SIGN, WORD = r"([\p{IsHan}\p{IsHiragana}])", r"\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{M}\p{N}_]+(?:['’][\p{L}\p{M}]+)*"
 TITLE_LENGTH, ALPHA_SHARE = 20, 0.5
 
 
@@ -16,6 +18,20 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def terms(text: Column) -> Column:
+    """The lower-case search terms of a text of any script, in order; a Han or Hiragana sign is a term."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), SIGN, " $1 "), F.lit(WORD), F.lit(0))
+
+
+#: Labels of mentions that are no names.
+COUNTS = ("ORDINAL", "CARDINAL")
+
+
+def named(mentions: Column) -> Column:
+    """The names of labelled mentions (array of struct<name, label>) but for numerals; a mention without label stays."""
+    return F.transform(F.filter(mentions, lambda m: ~F.coalesce(m["label"].isin(*COUNTS), F.lit(False))), lambda m: m["name"])
+
+
 def count_of(text: Column, part: Column) -> Column:
     """How often ``part`` occurs in ``text`` without overlaps; an empty part occurs between all characters."""
     inner = (F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)
@@ -54,3 +70,8 @@ def valid_object_key(key: Column) -> Column:
 def valid_bucket(name: Column) -> Column:
     """A bucket is a single part of a key."""
     return valid_object_key(name) & ~name.contains("/")
+
+
+def broken_title(title: Column) -> Column:
+    """A title whose numbered parts (``1.`` but not ``1.2``) start lines of their own, ended by a line end."""
+    return F.concat(strip(F.regexp_replace(title, r"\s*(\d+\.)(?!\d)", "\n$1")), F.lit("\n"))

@@ -24,3 +24,10 @@ def half_cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Colu
     """(1 + cosine) / 2, the usual score of a vector index."""
     na, nb = (norm(a) if norm_a is None else norm_a), (norm(b) if norm_b is None else norm_b)
     return (1 + F.try_divide(dot(a, b), na * nb)) / 2
+
+
+def flat(a: Column, depth: int = 1) -> Column:
+    """A vector that came wrapped in ``depth`` - 1 outer arrays, as one array of floats; lengths are left as they are."""
+    for _ in range(depth - 1):
+        a = F.flatten(a)
+    return a.cast("array<float>")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.operators.ranking import PLACES, ordered_distinct, reciprocal, top_k
+from lodestone.operators.ranking import ordered_distinct, reciprocal, top_k
 from lodestone.operators.search import primary
 from lodestone.schema import Config
+from lodestone.tables import cut
 
 
 def expansion_entities(hits: DataFrame, passages: DataFrame, most: int = 20) -> DataFrame:
@@ -34,8 +35,15 @@ def entity_passages(chosen: DataFrame, passages: DataFrame, k: int = 50) -> Data
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def neighbors(hits: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, hash_id, ord): passages before and after the hits that are not hits, in the hits' order."""
+#: What sets the places of the entity list behind those of the first list.
+BEHIND = 1_000_000_000
+
+
+def neighbors(first: DataFrame, by_entity: DataFrame | None, passages: DataFrame) -> DataFrame:
+    """(query_id, hash_id, ord): passages before and after the hits of both lists that are hits of neither, in the order of the first list, then of the second."""
+    hits = first.select("query_id", "hash_id", F.col("rank").cast("long").alias("rank"))
+    if by_entity is not None:
+        hits = hits.unionByName(by_entity.select("query_id", "hash_id", (F.col("rank") + BEHIND).alias("rank")))
     near = passages.select("hash_id", "previous_passage_id", "next_passage_id")
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("previous_passage_id").alias("id")), F.struct(F.lit(1).alias("side"), F.col("next_passage_id").alias("id")))
     each = hits.select("query_id", "hash_id", "rank").join(near, "hash_id").select("query_id", (2 * F.col("rank")).alias("r"), F.explode(sides).alias("s"))
@@ -59,16 +67,19 @@ def fuse(first: DataFrame, by_entity: DataFrame | None, by_neighbor: DataFrame |
         ranked = by_neighbor.withColumn("rank", F.row_number().over(order))
         lists = lists.unionByName(ranked.select("query_id", "hash_id", reciprocal("rank", config.rrf_constant, w[2]).alias("s"), empty.alias("base"), empty.alias("entity")))
     fused = lists.groupBy("query_id", "hash_id").agg(F.sum("s").alias("score"), F.max("base").alias("base_score"), F.max("entity").alias("entity_expansion_score"))
-    return top_k(fused, k).select("query_id", "rank", "hash_id", "score", F.round("base_score", PLACES).alias("base_score"), "entity_expansion_score")
+    return top_k(fused, k).select("query_id", "rank", "hash_id", "score", "base_score", "entity_expansion_score")
 
 
-def retrieve(passages: DataFrame, questions: DataFrame, mode: str, k: int = 5, config: Config = Config()) -> DataFrame:
-    """A fast mode in full: first recall, entity and neighbour expansion, fusion."""
-    first = primary(passages, questions, mode, k)
+def retrieve(passages: DataFrame, questions: DataFrame, mode: str, k: int = 5, config: Config = Config(), statistics: DataFrame | None = None) -> DataFrame:
+    """A fast mode in full: first recall, entity and neighbour expansion, fusion.
+
+    The lists, a few rows a question, are written as tables, since each stands in the plan several times.
+    """
+    first = cut(primary(passages, questions, mode, k, statistics), "first-recall")
     by_entity = by_neighbor = None
     if config.entity_expansion:
         chosen = expansion_entities(first, passages, config.entity_expansion_max)
-        by_entity = entity_passages(chosen, passages, config.entity_expansion_top_k)
+        by_entity = cut(entity_passages(chosen, passages, config.entity_expansion_top_k), "entity-recall")
     if config.neighbor_expansion:
-        by_neighbor = neighbors(first, passages)
+        by_neighbor = neighbors(first, by_entity, passages)
     return fuse(first, by_entity, by_neighbor, k, config)

@@ -9,6 +9,19 @@ from pyspark.sql.window import Window
 from lodestone.functions import ids
 from lodestone.functions.ports import EntityExtractor
 from lodestone.functions.text import count_of, strip
+from lodestone.functions.vectors import present
+
+
+LINEAGE = ("file_id", "file_name", "file_path", "bucket_name")
+
+
+def projected(segments: DataFrame) -> DataFrame:
+    """Segments with all lineage columns (null where missing) and ``ori_text``, which is the text unless another one is given."""
+    for c in LINEAGE:
+        if c not in segments.columns:
+            segments = segments.withColumn(c, F.lit(None).cast("string"))
+    own = F.coalesce(F.nullif(F.col("ori_text"), F.lit("")), F.col("text")) if "ori_text" in segments.columns else F.col("text")
+    return segments.withColumn("ori_text", own)
 
 
 def passages(segments: DataFrame) -> DataFrame:
@@ -62,10 +75,18 @@ def entity_nodes(found: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFra
 
 
 def logical_entities(nodes: DataFrame) -> DataFrame:
-    """One node an entity: the least node id."""
+    """One node an entity: the least node id; where nodes have a ``vector`` column, of those with a vector, which comes along."""
+    if "vector" in nodes.columns:
+        some = nodes.filter(present(F.col("vector")))
+        return some.groupBy("entity_id").agg(F.min(F.struct("hash_id", "name", "vector")).alias("x")).select("entity_id", "x.hash_id", "x.name", "x.vector")
     return nodes.groupBy("entity_id").agg(F.min(F.struct("hash_id", "name")).alias("x")).select("entity_id", "x.hash_id", "x.name")
 
 
+def as_source(nodes: DataFrame) -> DataFrame:
+    """Nodes as a search answers them: every column, and all but id, text and vector once more in ``metadata``."""
+    return nodes.withColumn("metadata", F.struct(*[F.col(f"`{c}`") for c in nodes.columns if c not in ("hash_id", "text", "vector")]))
+
+
 def weak_labels(found: DataFrame, rows: DataFrame, accept) -> DataFrame:
     """(hash_id, name, count, importance = log(1 + count)): mentions that may serve as labels, counted in the text as it is."""
     named = found.filter(accept(F.col("name"))).join(rows.select("hash_id", "text"), "hash_id")

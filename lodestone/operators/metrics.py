@@ -66,10 +66,36 @@ def multihop_cases(mentions: DataFrame, most: int = 3) -> DataFrame:
     return rows.filter("left_only IS NOT NULL AND right_only IS NOT NULL")
 
 
-def round_robin(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``turn``: the first of every group, then the second of every group, and so on."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("turn", turn)
+def round_robin(rows: DataFrame, group: str, order: list[str], limit: int | None = None, question: str | None = None) -> DataFrame:
+    """``rows`` with ``turn``: the first of every group, then the second of every group, and so on; the first ``limit`` in that order.
+
+    Of rows with one ``question`` only the first counts; the others use up their turns and are left out.
+    """
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if question is not None:
+        first = rows.groupBy(question).agg(F.min(F.struct("turn", group, *order)).alias("_first"))
+        rows = rows.join(first, question).filter(F.struct("turn", group, *order) == F.col("_first")).drop("_first")
+    return rows if limit is None else rows.orderBy("turn", group, *order).limit(limit)
+
+
+def backfilled(cases: DataFrame, passages: DataFrame, limit: int, lengths: tuple[int, int] = (4, 12)) -> DataFrame:
+    """(left_id, right_id, bridge, left_only, right_only): ``cases``, then pairs of a passage and its next one until there are ``limit``.
+
+    Such a pair has no bridge, and on each side the longest name of 4 to 12 characters, ties by name; a side
+    without one, a pair that is a case already, and names that a pair before has, give none.
+    """
+    own = F.filter("entity_names", lambda n: F.length(n).between(*lengths))
+    longest = F.element_at(F.array_sort(F.transform(own, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), 1)["n"]
+    named = passages.select("hash_id", "next_passage_id", "source_key", F.col("segment_id").cast("string").try_cast("bigint").alias("at"), F.when(F.size(own) > 0, longest).alias("name"))
+    right = named.select(F.col("hash_id").alias("right_id"), F.col("name").alias("right_only"))
+    pairs = named.filter("next_passage_id IS NOT NULL AND name IS NOT NULL").join(right, F.col("next_passage_id") == F.col("right_id")).filter("right_only IS NOT NULL")
+    pairs = pairs.select(F.col("hash_id").alias("left_id"), "right_id", F.lit(None).cast("string").alias("bridge"), F.col("name").alias("left_only"), "right_only", "source_key", "at")
+    known = cases.select(F.least("left_id", "right_id").alias("_x"), F.greatest("left_id", "right_id").alias("_y")).distinct()
+    pairs = pairs.withColumns({"_x": F.least("left_id", "right_id"), "_y": F.greatest("left_id", "right_id")}).join(known, ["_x", "_y"], "left_anti")
+    once = pairs.groupBy("left_only", "right_only").agg(F.min(F.struct("source_key", "at", "left_id", "right_id")).alias("f"))
+    more = once.select("f.left_id", "f.right_id", F.lit(None).cast("string").alias("bridge"), "left_only", "right_only", F.lit(1).alias("_list"), F.struct("f.source_key", "f.at", "f.left_id").alias("_o"))
+    first = cases.select("left_id", "right_id", "bridge", "left_only", "right_only", F.lit(0).alias("_list"), F.struct(F.col("bridge").alias("source_key"), F.lit(0).cast("long").alias("at"), "left_id").alias("_o"))
+    return first.unionByName(more).orderBy("_list", "_o").limit(limit).drop("_list", "_o")
 
 
 def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:

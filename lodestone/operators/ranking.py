@@ -1,4 +1,4 @@
-"""Ranks with a total order: scores are rounded before they are compared, ties go to the smaller id."""
+"""Ranks with a total order: scores that agree in ``TIES`` places tie, and ties go to the smaller id."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PLACES = 6
+#: Places to which registered queries round what they show, and places that two scores must agree in to be a tie.
+#: Sums of doubles differ in the last places with their order; twelve keep those from deciding.
+PLACES, TIES = 6, 12
 
 
-def top_k(rows: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "hash_id") -> DataFrame:
+def top_k(rows: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", tie: str = "hash_id") -> DataFrame:
     """The first ``k`` of each ``by``, with ``rank`` from 1; Spark cuts each partition to ``k`` before it shuffles."""
-    rows = rows.withColumn(score, F.round(score, PLACES))
-    order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
+    rows = rows.withColumn(score, F.round(score, TIES))
+    order = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.col(score).desc(), F.col(tie))
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

@@ -9,16 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.vectors import dot, half_cosine, norm, present
+from lodestone.functions.text import terms
+from lodestone.operators.nearest import nearest
 from lodestone.operators.ranking import reciprocal, top_k
 
 K1, B = 1.2, 0.75
-#: Questions up to which their table is sent to all executors with a vector each; beyond it Spark decides.
-SENT_QUESTIONS = 10_000
-
-
-def _sent(questions: DataFrame) -> DataFrame:
-    return F.broadcast(questions) if questions.count() <= SENT_QUESTIONS else questions
 
 
 def predicate(filters: dict, types: dict[str, str]) -> Column:
@@ -43,16 +38,7 @@ def filtered(nodes: DataFrame, filters: dict, k: int) -> DataFrame:
 
 def vector_topk(passages: DataFrame, questions: DataFrame, k: int, raw_dot: bool = False) -> DataFrame:
     """Exact nearest passages; the score is (1 + cosine) / 2, or the inner product."""
-    p = passages.filter(present(F.col("vector"))).select("hash_id", F.col("vector").alias("pv"), norm(F.col("vector")).alias("pn"))
-    q = questions.filter(present(F.col("vector"))).select("query_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    score = dot(F.col("pv"), F.col("qv")) if raw_dot else half_cosine(F.col("pv"), F.col("qv"), F.col("pn"), F.col("qn"))
-    met = p.crossJoin(_sent(q)).select("query_id", "hash_id", score.alias("score"))
-    return top_k(met, k).select("query_id", "hash_id", "score", "rank")
-
-
-def terms(text: Column) -> Column:
-    """The lower-case ASCII words."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return nearest(passages, questions, k, raw_dot=raw_dot)
 
 
 def bm25_scores(passages: DataFrame, questions: DataFrame, field: str = "text", statistics: DataFrame | None = None) -> DataFrame:
@@ -90,23 +76,23 @@ def bm25_topk(passages: DataFrame, questions: DataFrame, k: int, fields: tuple[s
     return top_k(scored, k).select("query_id", "hash_id", "score", "rank")
 
 
-def hybrid(passages: DataFrame, questions: DataFrame, k: int, constant: int = 60) -> DataFrame:
+def hybrid(passages: DataFrame, questions: DataFrame, k: int, constant: int = 60, fields: tuple[str, ...] = ("text",), statistics: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of the vector and the text ranking, each four times as deep as ``k``, 20 at least."""
     deep = max(4 * k, 20)
-    both = vector_topk(passages, questions, deep).unionByName(bm25_topk(passages, questions, deep))
+    both = vector_topk(passages, questions, deep).unionByName(bm25_topk(passages, questions, deep, fields, statistics))
     fused = both.groupBy("query_id", "hash_id").agg(F.sum(reciprocal("rank", constant)).alias("score"))
     return top_k(fused, k).select("query_id", "hash_id", "score", "rank")
 
 
-def primary(passages: DataFrame, questions: DataFrame, mode: str, k: int) -> DataFrame:
-    """First recall of a fast mode, four times as deep as what is asked for."""
+def primary(passages: DataFrame, questions: DataFrame, mode: str, k: int, statistics: DataFrame | None = None) -> DataFrame:
+    """First recall of a fast mode, four times as deep as what is asked for; ``statistics`` are those of the whole index."""
     deep = max(4 * k, 20)
     if mode == "vector":
         return vector_topk(passages, questions, deep)
     if mode == "bm25":
-        return bm25_topk(passages, questions, deep)
+        return bm25_topk(passages, questions, deep, statistics=statistics)
     if mode == "hybrid":
-        return hybrid(passages, questions, deep)
+        return hybrid(passages, questions, deep, statistics=statistics)
     raise ValueError(f"not a fast mode: {mode}")
 
 

@@ -1,8 +1,10 @@
 """A store of knowledge bases: overwrite by id, deletes, lookups, scans.
 
 Tables are parquet under ``root``, one folder a knowledge base, so a missing one is an
-empty read. A write goes to a new version folder and becomes visible by one rename of the
-pointer file, so readers see the old or the new table whole.
+empty read. A write goes to a new version folder and becomes visible when the pointer file of the next
+number is made. Of two writers that start from one version the second finds that file there and fails,
+so no update is lost; the version before stays until the next write, so that frames that were read
+from it still run.
 """
 
 from __future__ import annotations
@@ -25,6 +27,19 @@ def merged(existing: DataFrame, new: DataFrame, keys: list[str], order: str | No
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def statistics(nodes: DataFrame) -> DataFrame:
+    """One row on a write of nodes (type, entity_id): new_passages, new_entities (distinct), failed_passages, skipped.
+
+    A write succeeds or fails as a whole, so no single passage fails; a write of no nodes is skipped.
+    """
+    return nodes.agg(
+        F.count_if(F.col("type") == "passage").alias("new_passages"),
+        F.count_distinct(F.when(F.col("type") == "entity", F.col("entity_id"))).alias("new_entities"),
+        F.lit(0).cast("long").alias("failed_passages"),
+        (F.count("*") == 0).alias("skipped"),
+    )
+
+
 def without_ids(rows: DataFrame, gone: DataFrame, key: str = "hash_id") -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
@@ -60,10 +75,21 @@ class NodeStore:
     def _fs(self):
         return self._path().getFileSystem(self._conf)
 
-    def _version(self, kb: str) -> str | None:
+    def _numbers(self, kb: str) -> list[int]:
+        """The numbers of the versions that were made visible and not yet deleted."""
         found = [s.getPath().getName() for s in (self._fs.listStatus(self._path(kb)) if self._fs.exists(self._path(kb)) else [])]
-        marks = sorted(x for x in found if x.startswith("CURRENT-"))
-        return marks[-1].split("-", 2)[2] if marks else None
+        return sorted(int(x.split("-")[1]) for x in found if x.startswith("CURRENT-"))
+
+    def _folder(self, kb: str, number: int) -> str:
+        source = self._fs.open(self._path(kb, f"CURRENT-{number:09d}"))
+        try:
+            return source.readUTF()
+        finally:
+            source.close()
+
+    def _version(self, kb: str) -> str | None:
+        numbers = self._numbers(kb)
+        return self._folder(kb, numbers[-1]) if numbers else None
 
     def exists(self, kb: str) -> bool:
         return self._version(kb) is not None
@@ -91,21 +117,28 @@ class NodeStore:
         return self.spark.read.option("mergeSchema", "true").parquet(*paths)
 
     def _write(self, kb: str, rows: DataFrame) -> None:
-        old = self._version(kb)
-        marks = [s.getPath() for s in self._fs.listStatus(self._path(kb))] if old else []
-        number = 1 + max([int(p.getName().split("-")[1]) for p in marks if p.getName().startswith("CURRENT-")], default=0)
+        numbers = self._numbers(kb)
+        number = 1 + max(numbers, default=0)
         version = f"v{number}_{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{kb}/{version}")
-        self._fs.create(self._path(kb, f"CURRENT-{number:09d}-{version}"), False).close()
-        for p in marks:
-            self._fs.delete(p, True)
-
-    def upsert(self, kb: str, rows: DataFrame, order: str | None = None) -> dict[str, int]:
-        """Overwrite by ``hash_id``; creates the knowledge base if it is missing."""
+        try:
+            mark = self._fs.create(self._path(kb, f"CURRENT-{number:09d}"), False)
+        except Exception:
+            self._fs.delete(self._path(kb, version), True)
+            raise
+        mark.writeUTF(version)
+        mark.close()
+        for old in numbers[:-1]:
+            self._fs.delete(self._path(kb, self._folder(kb, old)), True)
+            self._fs.delete(self._path(kb, f"CURRENT-{old:09d}"), False)
+
+    def upsert(self, kb: str, rows: DataFrame, order: str | None = None) -> dict:
+        """Overwrite by ``hash_id``; creates the knowledge base if it is missing. Returns :func:`statistics`."""
         rows = rows.withColumn("kb", F.lit(kb))
-        counts = rows.agg(F.count_if(F.col("type") == "passage").alias("new_passages"), F.count_distinct(F.when(F.col("type") == "entity", F.col("entity_id"))).alias("new_entities")).first()
-        self._write(kb, merged(self.read([kb]), rows, ["kb", "hash_id"], order))
-        return counts.asDict()
+        counts = statistics(rows).first().asDict()
+        if not counts["skipped"] or not self.exists(kb):
+            self._write(kb, merged(self.read([kb]), rows, ["kb", "hash_id"], order))
+        return counts
 
     def delete_ids(self, kb: str, ids: list[str]) -> int:
         ids = list(dict.fromkeys(ids))
@@ -113,6 +146,15 @@ class NodeStore:
             raise ValueError("at least one id is needed")
         return self._delete(kb, {"hash_id": ids})
 
+    def delete_rows(self, kb: str, ids: DataFrame) -> int:
+        """Nodes whose ``hash_id`` is in a table, of any size; none to delete is no error."""
+        if not self.exists(kb):
+            return 0
+        gone = by_ids(self.read([kb]), ids).count()
+        if gone:
+            self._write(kb, without_ids(self.read([kb]), ids.select("hash_id").distinct()))
+        return gone
+
     def delete_files(self, kb: str, file_ids: list) -> int:
         """Every node of the files: passages, sentences and entities together."""
         return self._delete(kb, {"file_id": [str(x) for x in file_ids]})

@@ -18,6 +18,13 @@ _Q = """q AS (SELECT item_id AS query_id, b.text, v.embedding::DOUBLE[] AS vec F
 _PV = """pv AS (SELECT p.*, v.embedding::DOUBLE[] AS vec FROM p JOIN embeddings v ON v.vec_id = p.doc_id)"""
 
 
+_WORD = "\\p{N}+(?:[.,]\\p{N}+)+|[\\p{L}\\p{M}\\p{N}_]+(?:[''’][\\p{L}\\p{M}]+)*"
+
+
+def _terms(field: str) -> str:
+    return f"regexp_extract_all(regexp_replace(lower({field}), '([\\p{{Han}}\\p{{Hiragana}}])', ' \\1 ', 'g'), '{_WORD}')"
+
+
 def _cos(a: str, b: str) -> str:
     return f"(1 + list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))) / 2"
 
@@ -28,15 +35,15 @@ def _top(name: str, rows: str, k: int, tie: str = "hash_id") -> str:
 
 def _vec(name: str, k: int, where: str = "TRUE", raw: bool = False) -> str:
     score = "list_dot_product(pv.vec, q.vec)" if raw else _cos("pv.vec", "q.vec")
-    return _top(name, f"SELECT query_id, hash_id, round({score}, 6) AS score FROM pv, q WHERE q.vec IS NOT NULL AND {where}", k)
+    return _top(name, f"SELECT query_id, hash_id, round({score}, 12) AS score FROM pv, q WHERE q.vec IS NOT NULL AND {where}", k)
 
 
 def _bm(name: str, k: int, table: str = "p", field: str = "text", asked: str = "q", cut: bool = True) -> str:
-    t = f"regexp_extract_all(lower({field}), '[a-z]+')"
-    scored = f"SELECT query_id, hash_id, {'round(sum(x), 6)' if cut else 'sum(x)'} AS score FROM {name}_x GROUP BY ALL"
+    t = _terms(field)
+    scored = f"SELECT query_id, hash_id, {'round(sum(x), 12)' if cut else 'sum(x)'} AS score FROM {name}_x GROUP BY ALL"
     parts = f"""{name}_d AS (SELECT hash_id, {t} AS w, len({t}) AS dl FROM {table}),
 {name}_n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_d),
-{name}_a AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM {asked}) GROUP BY ALL),
+{name}_a AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms('text')}) AS term FROM {asked}) GROUP BY ALL),
 {name}_t AS (SELECT term, hash_id, dl, count(*) AS tf FROM (SELECT hash_id, dl, unnest(w) AS term FROM {name}_d) SEMI JOIN {name}_a USING (term) GROUP BY ALL),
 {name}_f AS (SELECT term, count(*) AS df FROM {name}_t GROUP BY term),
 {name}_x AS (SELECT query_id, hash_id, qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS x
@@ -46,14 +53,14 @@ def _bm(name: str, k: int, table: str = "p", field: str = "text", asked: str = "
 
 def _hyb(name: str, k: int, deep: int) -> str:
     return f"{_vec(name + '_v', deep)},\n{_bm(name + '_b', deep)},\n" + _top(
-        name, f"SELECT query_id, hash_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, hash_id, rank FROM {name}_v UNION ALL SELECT query_id, hash_id, rank FROM {name}_b) GROUP BY ALL", k
+        name, f"SELECT query_id, hash_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, hash_id, rank FROM {name}_v UNION ALL SELECT query_id, hash_id, rank FROM {name}_b) GROUP BY ALL", k
     )
 
 
-_EXP = _top("ex", "SELECT query_id, entity_id, round(sum(importance / rank), 6) AS score FROM hits JOIN mi USING (hash_id) GROUP BY ALL", 20, "entity_id")
+_EXP = _top("ex", "SELECT query_id, entity_id, round(sum(importance / rank), 12) AS score FROM hits JOIN mi USING (hash_id) GROUP BY ALL", 20, "entity_id")
 _EP = """ep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hash_id) AS rank FROM (SELECT DISTINCT query_id, m.hash_id FROM ex JOIN m USING (entity_id))) WHERE rank <= 50)"""
-_NE = """ne0 AS (SELECT query_id, unnest([prev, next]) AS hash_id, unnest([2 * rank, 2 * rank + 1]) AS o FROM hits JOIN nb USING (hash_id)),
-ne AS (SELECT query_id, hash_id, min(o) AS ord FROM ne0 WHERE hash_id IS NOT NULL AND (query_id, hash_id) NOT IN (SELECT (query_id, hash_id) FROM hits) GROUP BY ALL)"""
+_NE = """ne0 AS (SELECT query_id, unnest([prev, next]) AS hash_id, unnest([2 * rank, 2 * rank + 1]) AS o FROM (SELECT query_id, hash_id, rank FROM hits UNION ALL SELECT query_id, hash_id, 1000000000 + rank FROM ep) JOIN nb USING (hash_id)),
+ne AS (SELECT query_id, hash_id, min(o) AS ord FROM ne0 WHERE hash_id IS NOT NULL AND (query_id, hash_id) NOT IN (SELECT (query_id, hash_id) FROM hits UNION ALL SELECT (query_id, hash_id) FROM ep) GROUP BY ALL)"""
 
 
 def _with(*parts: str) -> str:
@@ -61,14 +68,14 @@ def _with(*parts: str) -> str:
 
 
 def _fused(first: str) -> str:
-    lists = """SELECT query_id, hash_id, round(sum(s), 6) AS score, round(max(base), 6) AS base_score, max(ent) AS entity_expansion_score FROM (
+    lists = """SELECT query_id, hash_id, round(sum(s), 12) AS score, max(base) AS base_score, max(ent) AS entity_expansion_score FROM (
     SELECT query_id, hash_id, 1.0::DOUBLE / (60 + rank) AS s, score AS base, NULL::DOUBLE AS ent FROM hits
     UNION ALL SELECT query_id, hash_id, 0.7::DOUBLE / (60 + rank), NULL, 1.0::DOUBLE FROM ep
     UNION ALL SELECT query_id, hash_id, 0.25::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY ord)), NULL, NULL FROM ne) GROUP BY ALL"""
-    return _with(_P, _NB, _M, _Q, _PV, first, _EXP, _EP, _NE, _top("f", lists, 5)) + "SELECT query_id, rank, hash_id, score, base_score, entity_expansion_score FROM f"
+    return _with(_P, _NB, _M, _Q, _PV, first, _EXP, _EP, _NE, _top("f", lists, 5)) + "SELECT query_id, rank, hash_id, round(score, 6) AS score, round(base_score, 6) AS base_score, entity_expansion_score FROM f"
 
 
-_RANKED = "SELECT query_id, hash_id, score, rank FROM t"
+_RANKED = "SELECT query_id, hash_id, round(score, 6) AS score, rank FROM t"
 _BRIDGE = """rare AS (SELECT name FROM m GROUP BY name HAVING count(DISTINCT hash_id) BETWEEN 2 AND 3),
 br AS (SELECT a.hash_id AS left_id, b.hash_id AS right_id, min(name) AS bridge FROM m a JOIN m b USING (name) SEMI JOIN rare USING (name) WHERE a.hash_id < b.hash_id GROUP BY ALL)"""
 _UNIQUE = "u AS (SELECT name, min(hash_id) AS hash_id FROM m GROUP BY name HAVING count(DISTINCT hash_id) = 1)"
@@ -83,13 +90,13 @@ _TOC = """toc AS (SELECT n_regionkey AS file, row_number() OVER (PARTITION BY n_
 _REL = "rel AS (SELECT query_id, hash_id FROM q JOIN p ON contains(p.text, q.text))"
 _SNIP = "sn AS (SELECT conv_id, turn, role, role || '-' || md5(text) AS hash_id FROM conversations)"
 _ASKED = "asked AS (SELECT item_id AS query_id, ord, embedding::DOUBLE[] AS vec FROM (SELECT item_id, unnest([0, 1]) AS ord, unnest([item_id, item_id + 100]) AS vid FROM benchmark) JOIN embeddings ON vec_id = vid)"
-_EV = "ev AS (SELECT le.*, embedding::DOUBLE[] AS vec FROM le JOIN embeddings ON vec_id = ('0x' || substr(entity_id, 8, 6))::BIGINT % 512)"
+_EV = "ev AS (SELECT le.*, embedding::DOUBLE[] AS vec FROM le JOIN embeddings ON vec_id = ('0x' || substr(entity_id, 8, 6))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings))"
 
 
 def _seed(score: str, pick: str) -> str:
-    return _with(_P, _M, _S, _E, _EV, _ASKED) + f"""SELECT query_id, entity_id, {pick} AS score FROM (
+    return _with(_P, _M, _S, _E, _EV, _ASKED) + f"""SELECT query_id, entity_id, round({pick}, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, ord ORDER BY score DESC, hash_id) AS rn FROM (
-    SELECT query_id, ord, entity_id, hash_id, round({score}, 6) AS score FROM asked, ev)) WHERE rn = 1 GROUP BY ALL"""
+    SELECT query_id, ord, entity_id, hash_id, round({score}, 12) AS score FROM asked, ev)) WHERE rn = 1 GROUP BY ALL"""
 
 
 def _ppr(rounds: int) -> str:
@@ -119,7 +126,7 @@ ORACLE_SQL: dict[str, str] = {
     "sentence_nodes": _with(_P, _S) + "SELECT hash_id, passage_id, len(names)::BIGINT AS n_entities, array_to_string(list_sort(list_transform(names, lambda x: 'entity-' || md5(lower(x)))), ',') AS entity_ids FROM s",
     "entity_collapse": _with(_P, _M, _S, _E) + "SELECT entity_id, hash_id, name FROM le",
     "entity_df_unique": _with(_P, _M) + "SELECT name, count(DISTINCT hash_id) AS df, count(DISTINCT hash_id) = 1 AS is_unique FROM m GROUP BY name",
-    "write_statistics": _with(_P, _M, _S, _E) + "SELECT (SELECT count(*) FROM p) AS new_passages, (SELECT count(DISTINCT entity_id) FROM e) AS new_entities",
+    "write_statistics": _with(_P, _M, _S, _E) + "SELECT (SELECT count(*) FROM p) AS new_passages, (SELECT count(DISTINCT entity_id) FROM e) AS new_entities, 0::BIGINT AS failed_passages, FALSE AS skipped",
     "filter_terms_array": _with(_P, _M) + """SELECT hash_id, lang, file_id, 1.0::DOUBLE AS score FROM p WHERE lang IN ('en', 'de') AND file_id IN ('src0', 'src3', 'src7')
   AND hash_id IN (SELECT hash_id FROM m WHERE name IN ('Therhean', 'Anthin', 'Thereon', 'Ination', 'Ertion')) ORDER BY hash_id LIMIT 50""",
     "entity_passages_topn": _with(_P, _M, _S, _E) + "SELECT * FROM (SELECT entity_id, hash_id, row_number() OVER (PARTITION BY entity_id ORDER BY hash_id) AS rn FROM (SELECT DISTINCT entity_id, hash_id FROM m SEMI JOIN le USING (entity_id))) WHERE rn <= 5",
@@ -128,9 +135,9 @@ ORACLE_SQL: dict[str, str] = {
     "vector_topk_filtered": _with(_P, _PV, _Q, _vec("t", 10, "lang = 'en'")) + _RANKED,
     "dense_fallback": _with(_P, _PV, _Q, _vec("t", 5, raw=True)) + _RANKED,
     "bm25_topk": _with(_P, _Q, _bm("t", 10)) + _RANKED,
-    "hybrid_retrieve": _with(_P, _PV, _Q, _hyb("t", 5, 20)) + "SELECT query_id, rank, hash_id, score FROM t",
-    "neighbor_expand": _with(_P, _NB, _Q, _bm("hits", 20), _NE) + "SELECT query_id, hash_id, ord FROM ne",
-    "select_expansion_entities": _with(_P, _M, _Q, _bm("hits", 20), _EXP) + "SELECT query_id, entity_id, score, rank FROM ex",
+    "hybrid_retrieve": _with(_P, _PV, _Q, _hyb("t", 5, 20)) + "SELECT query_id, rank, hash_id, round(score, 6) AS score FROM t",
+    "neighbor_expand": _with(_P, _NB, _M, _Q, _bm("hits", 20), _EXP, _EP, _NE) + "SELECT query_id, hash_id, ord FROM ne",
+    "select_expansion_entities": _with(_P, _M, _Q, _bm("hits", 20), _EXP) + "SELECT query_id, entity_id, round(score, 6) AS score, rank FROM ex",
     "expand_entity_passages": _with(_P, _M, _Q, _bm("hits", 20), _EXP, _EP) + "SELECT query_id, hash_id, rank FROM ep",
     "retrieve_vector": _fused(_vec("hits", 20)),
     "retrieve_bm25": _fused(_bm("hits", 20)),
@@ -141,7 +148,7 @@ ORACLE_SQL: dict[str, str] = {
     SELECT query_id, hash_id, coalesce(list_dot_product(v.embedding::DOUBLE[], q.vec), 0) AS raw FROM q, p LEFT JOIN embeddings v ON v.vec_id = p.doc_id WHERE q.vec IS NOT NULL))""",
     "graph_edges": _with(_P, _NB, _M)
     + """SELECT src, dst, round(w, 6) AS w FROM (SELECT hash_id AS src, entity_id AS dst, w FROM ed UNION ALL SELECT entity_id, hash_id, w FROM ed UNION ALL SELECT hash_id, next, 1.0 FROM nb WHERE next IS NOT NULL UNION ALL SELECT next, hash_id, 1.0 FROM nb WHERE next IS NOT NULL)""".replace(
-        " FROM ed", " FROM (SELECT hash_id, entity_id, n::DOUBLE / sum(n) OVER (PARTITION BY hash_id) AS w FROM (SELECT hash_id, entity_id, arg_max(count, name) AS n FROM m GROUP BY ALL))"
+        " FROM ed", " FROM (SELECT hash_id, entity_id, n::DOUBLE / sum(n) OVER (PARTITION BY hash_id) AS w FROM (SELECT hash_id, entity_id, arg_max((length(text) - length(replace(text, name, ''))) // length(name), name) AS n FROM m JOIN p USING (hash_id) GROUP BY ALL))"
     ),
     "passage_bonus": _with(_P, "a AS (SELECT n_nationkey::BIGINT AS query_id, unnest([n_name, 'thin', 'ertion']) AS name, unnest([1, 2, 3]) AS tier FROM nation)")
     + """SELECT * FROM (SELECT query_id, hash_id, round(sum(1.0 / tier * ln(1 + (length(lower(text)) - length(replace(lower(text), lower(name), ''))) / length(name)) / tier), 6) AS bonus FROM p, a
@@ -177,8 +184,8 @@ SELECT * FROM new UNION ALL SELECT hash_id, min(conv_id), 0 FROM sn WHERE turn =
         "walk AS (SELECT file, ord, ord AS at, '' AS parents FROM toc UNION ALL SELECT w.file, w.ord, up.above, t.title || CASE WHEN w.parents = '' THEN '' ELSE '/' || w.parents END FROM walk w JOIN up ON up.file = w.file AND up.ord = w.at JOIN toc t ON t.file = w.file AND t.ord = up.above)",
     )
     + "SELECT file::BIGINT AS file, ord, title, arg_max(parents, length(parents)) AS parents FROM walk JOIN toc USING (file, ord) GROUP BY ALL",
-    "fuzzy_title_match": """WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)
-SELECT a.word AS title, count(*) AS n, min(b.word) AS first_line FROM w a JOIN w b ON levenshtein(a.word, b.word) <= 2 GROUP BY a.word""",
+    "fuzzy_title_match": """WITH w AS (SELECT word, row_number() OVER (ORDER BY word) AS n FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part))
+SELECT a.n AS ord, a.word AS title, min(b.n) AS line_no FROM w a JOIN w b ON levenshtein(a.word, b.word) <= 2 GROUP BY ALL""",
     "recall_at_k": _with(_P, _Q, _bm("t", 10), _REL)
     + """, g AS (SELECT k, query_id, count(*) AS want, count(t.rank) AS got FROM (SELECT unnest([1, 3, 5, 10]) AS k), rel LEFT JOIN t ON t.query_id = rel.query_id AND t.hash_id = rel.hash_id AND t.rank <= k GROUP BY k, rel.query_id)
 SELECT k::BIGINT AS k, count(*) AS questions, round(avg((got > 0)::INT), 6) AS any_at_k, round(avg(got / want), 6) AS passage_recall_at_k, round(avg((got = want)::INT), 6) AS all_at_k FROM g GROUP BY k""".replace("SELECT k, query_id", "SELECT k, rel.query_id"),

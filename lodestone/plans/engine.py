@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import ids
-from lodestone.functions.ports import EmbeddingProvider, EntityExtractor, PatternExtractor
+from lodestone.functions.ports import DocumentParser, EmbeddingProvider, EntityExtractor, PatternExtractor
+from lodestone.functions.vectors import present
 from lodestone.operators import chunking, fusion, graph, ingest, search
 from lodestone.operators.store import NodeStore
 from lodestone.schema import NODE_SCHEMA, Config, SearchQuery, has_field
 from lodestone.sources.objects import ObjectStorage, checked_location
+from lodestone.sources.pages import document_pages
 
-_LINEAGE = ("file_id", "file_name", "file_path", "bucket_name")
 MAX_UPLOAD = 100 << 20
 
 
@@ -23,15 +24,11 @@ def _shaped(rows: DataFrame) -> DataFrame:
 
 def file_nodes(segments: DataFrame, extractor: EntityExtractor, embedder: EmbeddingProvider | None = None) -> DataFrame:
     """Passage, sentence and entity nodes of segments (text, lineage, segment_id, ...)."""
-    for c in _LINEAGE:
-        if c not in segments.columns:
-            segments = segments.withColumn(c, F.lit(None).cast("string"))
-    rows = ingest.passages(segments)
+    rows = ingest.passages(ingest.projected(segments))
     found = ingest.mentions(rows, extractor)
     lines = ingest.sentences(rows, extractor)
     nodes = ingest.entity_nodes(found, rows, lines)
     full = ingest.with_entities(rows, found)
-    full = full.withColumn("ori_text", F.coalesce(F.nullif(F.col("ori_text"), F.lit("")), F.col("text")) if "ori_text" in full.columns else F.col("text"))
     parts = [full.withColumn("type", F.lit("passage")), lines.withColumn("type", F.lit("sentence")), nodes.withColumns({"type": F.lit("entity"), "text": F.col("name")})]
     out = None
     for p in parts:
@@ -53,23 +50,30 @@ class Engine:
     def drop_kb(self, name: str) -> None:
         self.store.drop(name)
 
-    def index_segments(self, kb: str, segments: DataFrame) -> dict[str, int]:
+    def index_segments(self, kb: str, segments: DataFrame) -> dict:
         return self.store.upsert(kb, file_nodes(segments, self.extractor, self.embedder))
 
-    def index_pages(self, kb: str, pages: DataFrame) -> dict[str, int]:
-        """(file, page, text): chunked by titles, then indexed."""
+    def index_pages(self, kb: str, pages: DataFrame, bucket: str | None = None, key: str | None = None) -> dict:
+        """(file, page, text): chunked by titles, then indexed; ``bucket`` and ``key`` say where the file lies."""
         chunks = chunking.numbered(chunking.merged_chunks(chunking.chunks_by_title(pages)))
-        rows = chunks.select("text", F.col("file").cast("string").alias("file_id"), F.col("file").cast("string").alias("file_name"), "segment_id", F.col("page").alias("pages_number"))
+        name = F.lit(key.rsplit("/", 1)[-1]) if key else F.col("file").cast("string")
+        place = [F.lit(bucket).cast("string").alias("bucket_name"), F.lit(key).cast("string").alias("file_path")]
+        rows = chunks.select("text", F.col("file").cast("string").alias("file_id"), name.alias("file_name"), "segment_id", F.col("page").alias("pages_number"), *place)
         return self.index_segments(kb, rows)
 
-    def index_file(self, kb: str, bucket: str, key: str, data: bytes, pages: DataFrame) -> dict[str, int]:
-        """Stores the object, then its nodes; if indexing fails the object goes again."""
+    def index_file(self, kb: str, bucket: str, key: str, data: bytes, pages: DataFrame | None = None, parser: DocumentParser | None = None) -> dict:
+        """Stores the object, parses it on the executors unless its pages are given, and writes its nodes.
+
+        The nodes become visible in one step, last of all; if anything before fails, the object goes again.
+        """
         if not kb.strip() or not data or len(data) > MAX_UPLOAD:
             raise ValueError("a knowledge base and a file of 1 byte to 100 MiB are needed")
         checked_location(bucket, key)
         self.objects.put(bucket, key, data)
         try:
-            return self.index_pages(kb, pages)
+            if pages is None:
+                pages = document_pages(self.spark, self.objects.path(bucket, key), parser).withColumn("file", F.lit(key))
+            return self.index_pages(kb, pages, bucket, key)
         except Exception:
             self.objects.delete(bucket, key)
             raise
@@ -82,17 +86,22 @@ class Engine:
         self.store.upsert(kb, _shaped(rows))
         return rows.select("hash_id")
 
+    def delete_nodes(self, kb: str, ids: DataFrame) -> int:
+        """Takes back nodes by id (hash_id), as after a write that a caller gives up; none, or a missing base, is no error."""
+        return self.store.delete_rows(kb, ids)
+
     def delete_ids(self, kb: str, gone: list[str]) -> int:
         return self.store.delete_ids(kb, gone)
 
     def delete_files(self, kb: str, file_ids: list) -> int:
         return self.store.delete_files(kb, file_ids)
 
-    def _questions(self, questions: DataFrame, needs_vector: bool) -> DataFrame:
+    def _questions(self, questions: DataFrame, needs_vector: bool, prompt: str = "") -> DataFrame:
+        """``questions`` with vectors if they are needed; ``prompt`` stands before the text that is embedded."""
         if needs_vector and "vector" not in questions.columns:
             if not self.embedder:
                 raise ValueError("this mode needs vectors or an embedder")
-            return questions.withColumn("vector", self.embedder.encode(F.col("text")))
+            return questions.withColumn("vector", self.embedder.encode(F.concat(F.lit(prompt), F.col("text"))))
         return questions
 
     def search_field(self, kb: str, questions: DataFrame, query: SearchQuery) -> DataFrame:
@@ -103,6 +112,8 @@ class Engine:
         for f in query.text_fields:
             if not has_field(rows.schema, f):
                 raise ValueError(f"no field {f}")
+        if query.mode != "bm25" and not query.filter_only and rows.filter(present(F.col("vector"))).isEmpty():
+            raise ValueError(f"no node of {kb} has a vector")
         return self.search(rows, questions, query)
 
     def search(self, rows: DataFrame, questions: DataFrame, query: SearchQuery) -> DataFrame:
@@ -118,15 +129,15 @@ class Engine:
         elif query.mode == "bm25":
             found = search.bm25_topk(kept, asked, query.top_k, query.text_fields, rows)
         else:
-            found = search.hybrid(kept, asked, query.top_k, self.config.rrf_constant)
-        return found if query.source_fields is None else found.join(rows.select("hash_id", *query.source_fields), "hash_id")
+            found = search.hybrid(kept, asked, query.top_k, self.config.rrf_constant, query.text_fields, rows)
+        return found if query.source_fields is None else found.join(kept.select("hash_id", *query.source_fields), "hash_id")
 
     def retrieve(self, kbs: list[str], questions: DataFrame, mode: str = "vector", k: int = 3) -> DataFrame:
         """Retrieval with expansion (vector, bm25, hybrid) or by graph ranking (linear, linear_local)."""
         nodes = self.store.read(kbs)
         of = {t: nodes.filter(F.col("type") == t) for t in ("passage", "sentence", "entity")}
         if mode in ("vector", "bm25", "hybrid"):
-            return fusion.retrieve(of["passage"], self._questions(questions, mode != "bm25"), mode, k, self.config)
+            return fusion.retrieve(of["passage"], self._questions(questions, mode != "bm25", self.config.question_prompt), mode, k, self.config, nodes)
         if mode not in ("linear", "linear_local"):
             raise ValueError(f"unknown mode {mode}")
         if len(kbs) != 1:

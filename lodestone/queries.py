@@ -15,6 +15,7 @@ from lodestone.operators import chunking, fusion, graph, ingest, metrics, search
 from lodestone.operators.ranking import PLACES, ordered_distinct
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.pages import html_pages
+from lodestone.tables import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,8 +84,8 @@ def entity_df_unique(c: Corpus) -> DataFrame:
 
 @_register
 def write_statistics(c: Corpus) -> DataFrame:
-    p = c.passages.agg(F.count("*").alias("new_passages"))
-    return p.crossJoin(F.broadcast(c.entities.agg(F.count_distinct("entity_id").alias("new_entities"))))
+    nodes = c.passages.select(F.lit("passage").alias("type"), F.lit(None).cast("string").alias("entity_id"))
+    return store.statistics(nodes.unionByName(c.entities.select(F.lit("entity").alias("type"), "entity_id")))
 
 
 @_register
@@ -107,58 +108,61 @@ def graph_nodes_bounded(c: Corpus) -> DataFrame:
 
 @_register
 def vector_topk(c: Corpus) -> DataFrame:
-    return search.vector_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", "score", _n("rank").alias("rank"))
+    return search.vector_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def vector_topk_filtered(c: Corpus) -> DataFrame:
     rows = c.embedded.filter(search.predicate({"lang": "en"}, dict(c.embedded.dtypes)))
-    return search.vector_topk(rows, c.questions, 10).select("query_id", "hash_id", "score", _n("rank").alias("rank"))
+    return search.vector_topk(rows, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def dense_fallback(c: Corpus) -> DataFrame:
-    return search.vector_topk(c.embedded, c.questions, 5, raw_dot=True).select("query_id", "hash_id", "score", _n("rank").alias("rank"))
+    return search.vector_topk(c.embedded, c.questions, 5, raw_dot=True).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def bm25_topk(c: Corpus) -> DataFrame:
-    return search.bm25_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", "score", _n("rank").alias("rank"))
+    return search.bm25_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def bm25_multi_field(c: Corpus) -> DataFrame:
     pages = html_pages(c.table("pages")).join(c.table("pages").select(F.col("page_id").alias("file"), "url"), "file").select(F.col("file").cast("string").alias("hash_id"), "text", "url")
     asked = c.questions.select("query_id", F.concat_ws(" ", "text", F.lit("http org example page")).alias("text"))
-    return search.bm25_topk(pages, asked, 10, ("text", "url")).select("query_id", "hash_id", "score", _n("rank").alias("rank"))
+    return search.bm25_topk(pages, asked, 10, ("text", "url")).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def hybrid_retrieve(c: Corpus) -> DataFrame:
-    return search.hybrid(c.embedded, c.questions, 5).select("query_id", _n("rank").alias("rank"), "hash_id", "score")
+    return search.hybrid(c.embedded, c.questions, 5).select("query_id", _n("rank").alias("rank"), "hash_id", _r("score").alias("score"))
 
 
 @_register
 def neighbor_expand(c: Corpus) -> DataFrame:
-    hits = search.bm25_topk(c.passages, c.questions, 20)
-    return fusion.neighbors(hits, c.passages).select("query_id", "hash_id", _n("ord").alias("ord"))
+    rows = cut(ingest.with_entities(c.passages, c.mentions), "passages")
+    hits = cut(search.bm25_topk(rows, c.questions, 20), "hits")
+    by_entity = cut(fusion.entity_passages(fusion.expansion_entities(hits, rows), rows), "entity-hits")
+    return fusion.neighbors(hits, by_entity, rows).select("query_id", "hash_id", _n("ord").alias("ord"))
 
 
 @_register
 def select_expansion_entities(c: Corpus) -> DataFrame:
-    hits = search.bm25_topk(c.passages, c.questions, 20)
-    return fusion.expansion_entities(hits, ingest.with_entities(c.passages, c.mentions)).select("query_id", "entity_id", "score", _n("rank").alias("rank"))
+    rows = cut(ingest.with_entities(c.passages, c.mentions), "passages")
+    return fusion.expansion_entities(search.bm25_topk(rows, c.questions, 20), rows).select("query_id", "entity_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def expand_entity_passages(c: Corpus) -> DataFrame:
-    rows = ingest.with_entities(c.passages, c.mentions)
+    rows = cut(ingest.with_entities(c.passages, c.mentions), "passages")
     chosen = fusion.expansion_entities(search.bm25_topk(c.passages, c.questions, 20), rows)
     return fusion.entity_passages(chosen, rows).select("query_id", "hash_id", _n("rank").alias("rank"))
 
 
 def _retrieved(c: Corpus, mode: str) -> DataFrame:
-    return fusion.retrieve(c.full, c.questions, mode, 5).select("query_id", _n("rank").alias("rank"), "hash_id", "score", "base_score", "entity_expansion_score")
+    found = fusion.retrieve(cut(c.full, "passages"), c.questions, mode, 5)
+    return found.select("query_id", _n("rank").alias("rank"), "hash_id", _r("score").alias("score"), _r("base_score").alias("base_score"), "entity_expansion_score")
 
 
 @_register
@@ -206,9 +210,10 @@ def ppr_fixed_iters(c: Corpus) -> DataFrame:
 
 
 def _vector_entities(c: Corpus) -> DataFrame:
-    """Entities with the vector whose id their own hash picks."""
-    at = F.conv(F.substring("entity_id", 8, 6), 16, 10).cast("long") % 512
-    return c.logical.withColumn("doc_id", at).join(c.vectors, "doc_id").drop("doc_id")
+    """Entities with the vector whose id their own hash picks, of all that the table has."""
+    most = c.vectors.agg((F.max("doc_id") + 1).alias("n"))
+    at = F.conv(F.substring("entity_id", 8, 6), 16, 10).cast("long") % F.col("n")
+    return c.logical.crossJoin(F.broadcast(most)).withColumn("doc_id", at).join(c.vectors, "doc_id").drop("doc_id", "n")  # most is one row
 
 
 def _asked(c: Corpus) -> DataFrame:
@@ -219,12 +224,12 @@ def _asked(c: Corpus) -> DataFrame:
 
 @_register
 def seed_match_full(c: Corpus) -> DataFrame:
-    return graph.seeds_full(_asked(c), _vector_entities(c))
+    return graph.seeds_full(_asked(c), _vector_entities(c)).select("query_id", "entity_id", _r("score").alias("score"))
 
 
 @_register
 def seed_match_local(c: Corpus) -> DataFrame:
-    return graph.seeds_local(_asked(c), _vector_entities(c))
+    return graph.seeds_local(_asked(c), _vector_entities(c)).select("query_id", "entity_id", _r("score").alias("score"))
 
 
 @_register
@@ -235,19 +240,20 @@ def candidate_merge(c: Corpus) -> DataFrame:
 
 
 def _graph_inputs(c: Corpus) -> tuple[DataFrame, ...]:
-    """Graph nodes with hashed-text vectors, and the benchmark's questions with their names."""
+    """Graph nodes with hashed-text vectors, and the benchmark's questions with their names; each a table, as an index has them."""
     e = HashingEmbedder()
-    passages = ingest.with_entities(c.passages, c.mentions).withColumn("vector", e.encode(F.col("text")))
-    lines = c.sentences.withColumn("vector", e.encode(F.col("text")))
-    entities = c.logical.withColumn("vector", e.encode(F.col("name")))
-    questions = c.table("benchmark").select(F.col("item_id").alias("query_id"), "text").withColumn("vector", e.encode(F.col("text")))
+    rows, found = cut(c.passages, "passages"), cut(c.mentions, "mentions")
+    lines = cut(ingest.sentences(rows, c.extractor).withColumn("vector", e.encode(F.col("text"))), "sentence-nodes")
+    entities = cut(ingest.logical_entities(ingest.entity_nodes(found, rows, lines)).withColumn("vector", e.encode(F.col("name"))), "entity-nodes")
+    passages = cut(ingest.with_entities(rows, found).withColumn("vector", e.encode(F.col("text"))), "passage-nodes")
+    questions = cut(c.table("benchmark").select(F.col("item_id").alias("query_id"), "text").withColumn("vector", e.encode(F.col("text"))), "questions")
     names = questions.select("query_id", F.posexplode(c.extractor.mentions(F.col("text"))).alias("ord", "name")).withColumn("vector", e.encode(F.col("name")))
-    return passages, lines, entities, questions, names
+    return passages, lines, entities, questions, cut(names, "names")
 
 
 @_register
 def retrieve_linear_local(c: Corpus) -> DataFrame:
-    return graph.retrieve_local(*_graph_inputs(c), 5).select("query_id", _n("rank").alias("rank"), "hash_id", "score")
+    return graph.retrieve_local(*_graph_inputs(c), 5).select("query_id", _n("rank").alias("rank"), "hash_id", _r("score").alias("score"))
 
 
 @_register
@@ -290,8 +296,9 @@ def snippet_upsert_ids(c: Corpus) -> DataFrame:
 
 @_register
 def segment_projection(c: Corpus) -> DataFrame:
-    ori = F.coalesce(F.nullif(F.when(F.col("lang") == "en", F.col("text")), F.lit("")), F.col("text"))
-    return c.segments.select("file_name", "segment_id", F.md5(ori.cast("binary")).alias("ori_md5"), F.length("text").cast("long").alias("n_chars"))
+    given = c.segments.withColumn("ori_text", F.when(F.col("lang") == "en", F.col("text")))
+    rows = ingest.projected(given)
+    return rows.select("file_name", "segment_id", F.md5(F.col("ori_text").cast("binary")).alias("ori_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
 @_register
@@ -350,10 +357,12 @@ def toc_parent_titles(c: Corpus) -> DataFrame:
 
 @_register
 def fuzzy_title_match(c: Corpus) -> DataFrame:
-    part = c.table("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    names = part.select("word").distinct()
-    near = names.select(F.col("word").alias("title")).join(names.select(F.col("word").alias("line")), F.levenshtein("title", "line", 2).between(0, 2))
-    return near.groupBy("title").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    # the distinct words of part names, as the entries of one file's table of contents and as the lines of its page
+    words = c.table("part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    words = words.select(F.lit(1).alias("file"), F.lit(1).alias("page"), "word", F.row_number().over(Window.orderBy("word")).alias("n"))
+    toc = words.select("file", F.col("n").alias("ord"), F.lit(1).alias("level"), F.col("word").alias("title"), "page", F.col("page").alias("last_page"))
+    found = chunking.title_lines(toc, words.select("file", "page", F.col("n").alias("line_no"), F.col("word").alias("line")))
+    return found.select(_n("ord").alias("ord"), "title", _n("line_no").alias("line_no"))
 
 
 def _relevant(c: Corpus) -> DataFrame:

@@ -29,6 +29,10 @@ class ObjectStorage:
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{checked_location(bucket, key)}")
         return path.getFileSystem(self._conf), path
 
+    def path(self, bucket: str, key: str) -> str:
+        """Where Spark's readers find the object."""
+        return f"{self.root}/{checked_location(bucket, key)}"
+
     def put(self, bucket: str, key: str, data: bytes) -> None:
         """Written aside and renamed, so a reader never sees a part; an object that exists raises."""
         fs, path = self._at(bucket, key)

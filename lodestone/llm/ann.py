@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.draw import least
-from lodestone.llm.scratch import cut, release
+from lodestone.tables import cut, release
 
 PIVOTS, PREFIX, SHARE, LEAST = 256, 96, 0.12, 200
 SAMPLE_ROWS, BLOCK_ROWS, QUERY_ROWS = 4096, 4096, 1024

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import cut, release
+from lodestone.tables import cut, release
 
 
 def _large_star(links: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.scratch import cut, owned, release
+from lodestone.tables import cut, owned, release
 from lodestone.llm.wordhash import hashed, mix, run_hashes
 
 SHINGLE, PERCENT = 5, 80

@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import cut, release
+from lodestone.tables import cut, release
 from lodestone.llm.textops import GAP_CHARS, lines, n_words
 
 MIN_LINES, MIN_CHARS = 2, 40

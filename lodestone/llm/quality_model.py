@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.draw import least
-from lodestone.llm.scratch import cut, release
+from lodestone.tables import cut, release
 from lodestone.llm.wordhash import hashed, run_hashes
 
 BITS, BINS = 18, 24

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import cut, release
+from lodestone.tables import cut, release
 from lodestone.llm.wordhash import hashed, run_hashes
 
 WINDOW, SEED_WORDS = 50, 25

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.scratch import cut, fresh_path, owned
+from lodestone.tables import cut, fresh_path, owned
 
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"

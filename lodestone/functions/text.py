@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: Ideographs that count as numerals.
 HAN_NUMERALS = "〇零一二三四五六七八九十百千万亿"
 HAN = "[\\u4e00-\\u9fff]"
-#: Signs that are a word each, and the words of all other scripts: numbers with inner points, letters with inner apostrophes.
-SIGN, WORD = r"([\p{IsHan}\p{IsHiragana}])", r"\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{M}\p{N}_]+(?:['’][\p{L}\p{M}]+)*"
+_SIGN = r"\p{IsHan}\p{IsHiragana}"
+_LETTER = rf"[\p{{L}}\p{{M}}&&[^{_SIGN}]]"
+#: A plain word; a sign that is a word by itself; a number with inner points; the words of all other scripts, with inner apostrophes.
+TERM = rf"[a-z]++(?![\p{{L}}\p{{M}}\p{{N}}_'’])|[{_SIGN}]|\p{{N}}+(?:[.,]\p{{N}}+)+|(?:{_LETTER}|[\p{{N}}_])+(?:['’]{_LETTER}+)*"
 TITLE_LENGTH, ALPHA_SHARE = 20, 0.5
 
 
@@ -20,7 +22,7 @@ def strip(x: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """The lower-case search terms of a text of any script, in order; a Han or Hiragana sign is a term."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), SIGN, " $1 "), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 #: Labels of mentions that are no names.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import terms
 from lodestone.operators.nearest import nearest
 from lodestone.operators.ranking import reciprocal, top_k
+from lodestone.tables import cut
 
 K1, B = 1.2, 0.75
 
@@ -44,20 +45,25 @@ def vector_topk(passages: DataFrame, questions: DataFrame, k: int, raw_dot: bool
 def bm25_scores(passages: DataFrame, questions: DataFrame, field: str = "text", statistics: DataFrame | None = None) -> DataFrame:
     """(query_id, hash_id, score) by BM25 over ``field``; ``statistics`` (default: the passages) gives N, df and the mean length.
 
-    Each question counts a term once for each time that it has it.
+    Each question counts a term once for each time that it has it. Texts are cut into terms once: lengths and the
+    postings of the terms that are asked for become tables.
     """
-    base = passages if statistics is None else statistics
-    sizes = base.select(F.size(terms(F.col(field))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    asked = questions.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = cut(questions.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked-terms")
     wanted = asked.select("term").distinct()
-    # the length is taken before the words are exploded, or it would be found again for each word
-    split = passages.select("hash_id", terms(F.col(field)).alias("w")).select("hash_id", "w", F.size("w").alias("dl"))
-    each = split.select("hash_id", "dl", F.explode("w").alias("term"))
-    postings = each.join(wanted, "term", "left_semi").groupBy("term", "hash_id", "dl").agg(F.count("*").alias("tf"))
-    if statistics is None:
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    else:
-        df = base.select(F.explode(F.array_distinct(terms(F.col(field)))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+    def lists(rows: DataFrame) -> DataFrame:
+        """(hash_id, dl, term, tf) of a table: its asked terms, and a row without a term for each passage."""
+        # the length is taken before the words are exploded, or it would be found again for each word
+        split = rows.select("hash_id", terms(F.col(field)).alias("w")).select("hash_id", F.size("w").cast("long").alias("dl"), F.concat(F.array(F.lit("")), F.coalesce("w", F.array().cast("array<string>"))).alias("w"))
+        each = split.select("hash_id", "dl", F.explode("w").alias("term"))
+        some = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
+        return cut(each.join(some, "term", "left_semi").groupBy("hash_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+
+    rows = lists(passages)
+    base = rows if statistics is None else lists(statistics)
+    sizes = base.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = rows.filter("term <> ''")
+    df = base.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(sizes))  # sizes is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(weights.withColumn("idf", idf), "term")

@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade, ordered by what they reject per unit of cost.
 
-Every rule is a native predicate that a good document passes. Before the main pass each
-rule runs alone over one bounded sample: the seconds it takes are its cost, the share it
-rejects is its selectivity. The rules then stand in one CASE in the order of rejection per
-cost, and a row leaves at the first rule it fails. As the verdict is a conjunction, the
-order, and with it the sample and its timings, changes the speed and never the result.
+Every rule is a native predicate over a text that a good document passes; what it measures is
+computed within it. Before the main pass each rule runs alone, measures included, over one bounded
+sample of whole texts from all over the table: the seconds that it takes beyond an empty pass are its
+cost, the share that it rejects is its selectivity. The rules then stand in one CASE in the order of
+rejection per cost, and a row leaves at the first rule that it fails: dear measures are not taken of a
+text that a cheap rule rejects. As the verdict is a conjunction, the order, and with it the sample and its
+timings, changes the speed and never the result; a rejected row's ``failed_rule`` is the first in
+the order in which the rules are given, whatever the order in which they ran.
 
 Defined results: null text counts as empty (no words, so ``base_failed``); repeated rows
 are judged alike, each on its own; an empty table gives no rows; null ids pass through;
-columns beyond ``doc_id`` and ``text`` are ignored by :func:`judge` and kept by
+columns beyond ``doc_id`` and ``text`` are ignored by :func:`digest` and kept by
 :func:`keep_good`, whatever their names.
 """
 
@@ -21,118 +24,162 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.tables import cut
 from lodestone.llm.textops import GAP_CHARS, count_chars, lines, whole, words
+from lodestone.tables import cut, release
 
 SYMBOLS = "#*$%&|<>"
-#: Share of the rows that the cost estimate draws from, and rows that it may look at.
-SAMPLE_SHARE, SAMPLE_ROWS = 0.02, 2000
-METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+LEAST_WORDS = 50
+#: Texts that the cost estimate looks at, about.
+SAMPLE_ROWS = 500
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _repeat_words() -> Column:
+    """Words in windows of three words that occur twice or more; windows are told apart by 64-bit hashes within one document.
+
+    Most texts have no such window, which distinct hashes tell; only for the others are the windows sorted.
+    """
+    at = lambda i: F.get(F.col("_words"), i)
+    keys = F.when(F.size("_words") >= 3, F.transform(F.slice("_words", F.lit(1), F.size("_words") - 2), lambda w, i: F.xxhash64(w, at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>"))
+
+    def starts(pairs: Column) -> Column:
+        """Sorted places of the windows that another one equals, from (key, place) in order."""
+        same = lambda x, j: F.coalesce((x["k"] == F.get(pairs, j - 1)["k"]) | (x["k"] == F.get(pairs, j + 1)["k"]), F.lit(False))
+        return F.sort_array(F.transform(F.filter(pairs, same), lambda x: x["i"]))
+
+    def covered(found: Column) -> Column:
+        steps = F.transform(found, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(found, j + 1) - p, F.lit(3))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long")
+
+    def count(k: Column) -> Column:
+        pairs = F.sort_array(F.transform(k, lambda x, i: F.struct(x.alias("k"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(k)) == F.size(k), F.lit(0).cast("long")).otherwise(_let(pairs, lambda p: _let(starts(p), covered)))
+
+    return _let(keys, count)
+
+
+def _full_lines() -> Column:
+    """The lines that have a word."""
+    return F.array_remove(F.transform(lines(F.col("_text")), lambda x: F.when(F.translate(x, GAP_CHARS, "") != "", x).otherwise("")), "")
+
+
+#: What rules measure, over ``_text`` (the whole text) and ``_words``.
+MEASURES: dict[str, Callable[[], Column]] = {
+    "n_words": lambda: F.size("_words").cast("long"),
+    "word_chars": lambda: F.char_length(F.translate("_text", GAP_CHARS, "")).cast("long"),
+    "n_symbols": lambda: count_chars(F.col("_text"), SYMBOLS),
+    "n_dup_lines": lambda: _let(_full_lines(), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_repeat_words": _repeat_words,
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named predicate over ``_text`` and the metrics; true means the document passes."""
+    """A named predicate over a text; true means the document passes. ``m`` gives a measure by name."""
 
     name: str
-    passes: Callable[[], Column]
+    passes: Callable[[Callable[[str], Column]], Column]
 
 
-def _share(chars: Callable[[Column], Column], most: float) -> Column:
-    return chars(F.col("_text")) <= most * F.col("word_chars")
+def _share(chars: Callable[[Column], Column], most: float) -> Callable[[Callable[[str], Column]], Column]:
+    return lambda m: chars(F.col("_text")) <= most * m("word_chars")
 
 
-#: Production rules; each is true for an acceptable document.
+#: Production rules; each is true for an acceptable document. Too many repeated words for the base are too many for these.
 RULES = (
-    Rule("symbol_share", lambda: F.col("n_symbols") <= 0.05 * F.col("word_chars")),
-    Rule("repeated_words", lambda: F.col("n_repeat_words") <= 0.4 * F.col("n_words")),
-    Rule("duplicate_lines", lambda: F.col("n_dup_lines") <= 0.5 * F.col("_n_lines")),
-    Rule("word_length", lambda: F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words"))),
-    Rule("shouting", lambda: _share(lambda t: F.char_length(F.regexp_replace(t, "[^A-Z]+", "")), 0.4)),
-    Rule("exclamation", lambda: _share(lambda t: count_chars(t, "!"), 0.04)),
-    Rule("digits", lambda: _share(lambda t: count_chars(t, "0123456789"), 0.3)),
+    Rule("symbol_share", lambda m: m("n_symbols") <= 0.05 * m("word_chars")),
+    Rule("repeated_words", lambda m: m("n_repeat_words") <= 0.4 * m("n_words")),
+    Rule("duplicate_lines", lambda m: m("n_dup_lines") <= 0.5 * F.size(_full_lines())),
+    Rule("word_length", lambda m: m("word_chars").between(2 * m("n_words"), 15 * m("n_words"))),
+    Rule("shouting", _share(lambda t: F.char_length(F.regexp_replace(t, "[^A-Z]+", "")), 0.4)),
+    Rule("exclamation", _share(lambda t: count_chars(t, "!"), 0.04)),
+    Rule("digits", _share(lambda t: count_chars(t, "0123456789"), 0.3)),
+)
+#: Measures that cost less than the CASE that would spare them.
+CHEAP = ("n_words", "word_chars", "n_symbols")
+#: What the base asks, as rules of the cascade.
+BASE = (
+    Rule("too_short", lambda m: m("n_words") >= LEAST_WORDS),
+    Rule("half_repeated", lambda m: 100 * m("n_repeat_words") <= 50 * m("n_words")),
 )
 
 
-def _repeat_words() -> Column:
-    """From ``_dup`` (sorted starts of windows that occur twice or more) the words they cover."""
-    steps = F.transform("_dup", lambda p, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_dup"), j + 1) - p, F.lit(3))))
-    return F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long")
-
+def _measure(name: str) -> Column:
+    """A measure: cheap ones from the column that :func:`with_text` made, dear ones within the rule that asks."""
+    return F.col(f"_{name}") if name in CHEAP else MEASURES[name]()
 
-def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_text``, ``_n_lines`` and the five metrics to ``df``; all in one row, without a shuffle.
 
-    Windows of three words are told apart by 64-bit hashes within one document.
-    """
-    key = lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2))
-    full = F.array_remove(F.transform(lines(F.col("_text")), lambda x: F.when(F.translate(x, GAP_CHARS, "") != "", x).otherwise("")), "")
-    same = lambda x, j: (x["k"] == F.get(F.col("_win"), j - 1)["k"]) | (x["k"] == F.get(F.col("_win"), j + 1)["k"])
+def with_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``_text``, ``_words`` and the cheap measures under names with a ``_``."""
     df = df.withColumns({"_text": whole(F.col(text)), "_words": words(F.col(text))})
-    df = df.withColumns({"_lines": full, "n_words": F.size("_words").cast("long")})
-    keyed = F.transform(F.col("_words"), lambda w, i: F.struct(key(w, i).alias("k"), i.alias("i")))
-    df = df.withColumn("_win", F.when(F.size("_words") >= 3, F.sort_array(F.slice(keyed, F.lit(1), F.size("_words") - 2))).otherwise(F.array().cast("array<struct<k:bigint,i:int>>")))
-    df = df.withColumn("_dup", F.sort_array(F.transform(F.filter("_win", lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"])))
-    return df.withColumns(
-        {
-            "_n_lines": F.size("_lines"),
-            "word_chars": F.char_length(F.translate("_text", GAP_CHARS, "")).cast("long"),
-            "n_symbols": count_chars(F.col("_text"), SYMBOLS),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(),
-        }
-    ).drop("_words", "_lines", "_win", "_dup")
-
-
-def base_failed() -> Column:
-    """Too short, or over half of the words repeat."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by share rejected per second over at most ``sample_rows`` rows of ``df`` (``_in``: the text).
-
-    The rows are drawn before their metrics are computed.
-    """
-    sample = cut(with_metrics(df.sample(SAMPLE_SHARE, 7).limit(sample_rows), "_in"), "rule-sample")
-    total = max(1, sample.count())
+    return df.withColumns({f"_{name}": MEASURES[name]() for name in CHEAP})
+
+
+def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``_text``, ``_words`` and all measures; all in one row, without a shuffle."""
+    return with_text(df, text).withColumns({name: _measure(name) for name in MEASURES}).drop(*(f"_{n}" for n in CHEAP))
+
+
+def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by share rejected per second, over about ``sample_rows`` rows of ``texts`` (``_in``) from all partitions."""
+    share = min(1.0, sample_rows / max(1, texts.count()))
+    sample = cut(texts.sample(share, 7).coalesce(1), "rule-sample")
+
+    def timed(passes: Column) -> tuple[float, int]:
+        seconds, rejected = [], 0
+        for _ in range(2):  # the first run also compiles
+            began = time.perf_counter()
+            rejected = with_text(sample, "_in").agg(F.count_if(~passes)).first()[0]
+            seconds.append(time.perf_counter() - began)
+        return min(seconds), rejected
+
+    empty, _ = timed(F.col("_text").isNull())
     ranked = []
     for rule in rules:
-        began = time.perf_counter()
-        passed = sample.filter(rule.passes()).count()
-        cost = time.perf_counter() - began
-        ranked.append(((total - passed) / total / cost, rule))
+        seconds, rejected = timed(rule.passes(_measure))
+        ranked.append((rejected / max(seconds - empty, 1e-3), rule))
+    release(sample)
     return [rule for _, rule in sorted(ranked, key=lambda x: -x[0])]
 
 
-def cascade(rules: list[Rule]) -> tuple[Column, Column]:
-    """(verdict, name of the first rule failed or null) with evaluation stopping at the first failure."""
-    failed = F.when(~rules[0].passes(), rules[0].name)
+def cascade(rules: list[Rule], measure: Callable[[str], Column] = _measure) -> Column:
+    """Whether a row passes all rules; evaluation stops at the first that it fails."""
+    verdict = F.when(~rules[0].passes(measure), False)
     for rule in rules[1:]:
-        failed = failed.when(~rule.passes(), rule.name)
-    return failed.isNull(), failed
+        verdict = verdict.when(~rule.passes(measure), False)
+    return verdict.otherwise(True)
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``df`` with the metrics, ``base_failed``, ``kept`` and ``failed_rule`` (``base`` or a rule's name)."""
-    full = with_metrics(df, text)
-    _, failed = cascade(order_rules(df.select(F.col(text).alias("_in")), rules, sample_rows))
-    full = full.withColumn("base_failed", base_failed())
-    full = full.withColumn("failed_rule", F.when(F.col("base_failed"), "base").otherwise(failed))
-    return full.withColumn("kept", F.col("failed_rule").isNull()).drop("_text", "_n_lines")
+    """``df`` with the measures, ``base_failed``, ``kept`` and ``failed_rule`` (``base`` or the first rule failed in the order given)."""
+    ordered = order_rules(df.select(F.col(text).alias("_in")), rules, sample_rows)
+    full = with_measures(df, text).withColumn("base_failed", ~(BASE[0].passes(F.col) & BASE[1].passes(F.col)))
+    full = full.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(ordered, F.col)))
+    failed = F.when(F.col("kept"), None).when(F.col("base_failed"), "base")
+    for rule in rules:
+        failed = failed.when(~rule.passes(F.col), rule.name)
+    return full.withColumn("failed_rule", failed).drop("_text", "_words")
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """The result per row of ``documents``."""
     out = judge(documents.select("doc_id", "text"))
-    return out.select("doc_id", *METRICS, "base_failed", "kept")
+    return out.select("doc_id", *MEASURES, "base_failed", "kept")
+
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE[:1], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns and nothing else; no dear measure is taken that the cascade does not ask for.
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns and nothing else."""
+    Of the base only the length stands in the cascade by itself: texts that repeat half of their words fail ``repeated_words``.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_in"))
-    # a filter that were pushed below the metrics would compute words anew for each of their uses;
+    ordered = order_rules(packed.select("_in"), (*base, *rules), sample_rows)
+    # a filter that were pushed below the words would compute them anew for each of their uses;
     # it stays above a projection with a generated id that it reads
-    judged = judge(packed, text="_in").select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
-    return judged.filter("kept AND _at >= 0").select(*[F.col("_row")[c].alias(c) for c in names])
+    judged = with_text(packed, "_in").select("_row", cascade(ordered).alias("_kept"), F.monotonically_increasing_id().alias("_at"))
+    return judged.filter("_kept AND _at >= 0").select(*[F.col("_row")[c].alias(c) for c in names])

@@ -116,10 +116,25 @@ def test_quality_rules(docs, texts):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and quality_rules.digest(docs.limit(0)).count() == 0
 
 
-def test_rule_order_changes_nothing(docs):
-    full = quality_rules.with_metrics(docs.select("doc_id", "text"))
-    verdicts = [listed(full.select("doc_id", quality_rules.cascade(list(o))[0].alias("k"))) for o in (quality_rules.RULES, quality_rules.RULES[::-1])]
-    assert verdicts[0] == verdicts[1]
+def test_rule_order_changes_nothing(docs, monkeypatch):
+    full = quality_rules.with_measures(docs.select("doc_id", "text"))
+    full = full.withColumns({f"_{n}": quality_rules.F.col(n) for n in quality_rules.CHEAP})
+    for measure in (quality_rules.F.col, quality_rules._measure):
+        verdicts = [listed(full.select("doc_id", quality_rules.cascade(list(o), measure).alias("k"))) for o in (quality_rules.RULES, quality_rules.RULES[::-1])]
+        assert verdicts[0] == verdicts[1]
+    first = quality_rules.judge(docs.select("doc_id", "text"))
+    kept = listed(first.filter("kept").select("doc_id"))
+    failed = listed(first.select("doc_id", "failed_rule"))
+    assert listed(quality_rules.keep_good(docs.select("doc_id", "text")).select("doc_id")) == kept and kept
+    monkeypatch.setattr(quality_rules, "order_rules", lambda texts, rules, n: list(reversed(rules)))
+    assert listed(quality_rules.judge(docs.select("doc_id", "text")).select("doc_id", "failed_rule")) == failed
+    assert listed(quality_rules.keep_good(docs.select("doc_id", "text")).select("doc_id")) == kept
+
+
+def test_dear_measures_stand_behind_the_cascade(docs):
+    plan = quality_rules.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    line = next(x for x in plan.split("\n") if "CASE WHEN" in x)
+    assert line.index("CASE WHEN") < line.index("xxhash64")  # hashes of windows are taken within the CASE alone
 
 
 # --- 3

@@ -82,12 +82,42 @@ def test_line_dedup(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = line_dedup.digest(d)
     assert listed(got.select("doc_id", "n_lines", "n_removed", "kept_sha256")) == brute_lines(rows)
-    assert got.filter("doc_id = 9").first().longest == 64 and got.filter("doc_id = 8").first().longest == 0
+    assert got.filter("doc_id = 9").first().longest == 70 and got.filter("doc_id = 1").first().longest == 1 and got.filter("doc_id = 4").first().longest == 0
     kept = line_dedup.without_repeats(d.selectExpr("doc_id", "text", "1 AS pos", "2 AS removed"))
     assert kept.columns == ["doc_id", "text", "pos", "removed"] and {r.doc_id for r in kept.collect()} == {1, 4, 5, 8, None}
     assert line_dedup.digest(d.limit(0)).count() == 0
 
 
+def test_suffix_array_and_longest_runs(spark):
+    chance = np.random.default_rng(11)
+    parts = [[f"p{chance.integers(6)}" for _ in range(n)] for n in (40, 13, 9, 5)]
+    rows = []
+    for i in range(25):
+        ls = [f"own {i} {j}" for j in range(chance.integers(3))] + parts[chance.integers(4)][chance.integers(3) :] + [f"p{chance.integers(6)}" for _ in range(chance.integers(4))]
+        rows.append((i, "\n".join(ls)))
+    text = line_dedup.cut(line_dedup.line_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "text")
+    all_lines = [(g, t.split("\n"), k) for (i, t), start in zip(rows, np.cumsum([0] + [t.count("\n") + 1 for _, t in rows])) for k, g in enumerate(range(start, start + t.count("\n") + 1))]
+    tail = {(r.doc_id, r.pos): r.g for r in text.collect()}
+    suffix = {tail[i, k]: t.split("\n")[k:] for i, t in rows for k in range(t.count("\n") + 1)}
+
+    def common(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    array = line_dedup.suffix_array(text)
+    order = [r.g for r in array.orderBy("k").collect()]
+    best = {g: max(common(s, t) for h, t in suffix.items() if h != g) for g, s in suffix.items()}
+    assert set(order) == {g for g, n in best.items() if n} and [r.k for r in array.orderBy("k").collect()] == list(range(len(order)))
+    lcp = {r.k: r.lcp for r in line_dedup.common_prefixes(array).collect()}
+    assert [lcp[k] for k in range(len(order))] == [0] + [common(suffix[a], suffix[b]) for a, b in zip(order, order[1:])]
+    _, longest = line_dedup.repeated(text)
+    assert {r.g: r.longest for r in longest.collect()} == {g: n for g, n in best.items() if n} and len(all_lines) == len(suffix)
+    got = {r.doc_id: r.longest for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: max(best[tail[i, k]] for k in range(t.count("\n") + 1)) for i, t in rows}
+
+
 def test_short_lines_of_many_documents(spark):
     rows = [(i, f"own {i}\nAll rights reserved.\nmine {i}\nyes\nits {i}" + ("\nonly two hold it" if i < 2 else "")) for i in range(4)]
     rows.append((4, "one of one\na\none of one\nb\none of one"))

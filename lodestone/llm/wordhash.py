@@ -63,6 +63,14 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + _U(k))
 
 
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run ``words[start:end]``."""
+    up, down = _words.get(len(words) + 1)
+    sums = np.zeros(len(words) + 1, _U)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
 def word_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, byte at which it starts)."""
     raw = np.frombuffer(data, np.uint8)

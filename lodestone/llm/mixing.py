@@ -11,11 +11,15 @@ document its first words. So each source's words equal its target, rounded.
 The exact number of block instances that each source gives is its quota. A binary tree
 splits the quotas among the output shards: a node draws the left half's counts without
 replacement from its own (multivariate hypergeometric, source by source), and the right
-half keeps the rest. In each source the permuted instances are then dealt to the shards in
-disjoint runs of those lengths, and a shard is shuffled locally by a hash.
+half keeps the rest. The draw goes down a second tree, over the sources, ``FAN`` to a node, so a row
+never holds more than ``FAN`` quotas, however many sources there are. In each source the permuted
+instances are then dealt to the shards in disjoint runs of those lengths, and a shard is shuffled locally by a
+hash. The tree decides where an instance goes (``shards``, and the order of :func:`mix`); how many
+words each document gives follows from the blocks alone.
 
-Only per-source and per-block tables are gathered (``n_blocks`` rows plus one a source);
-documents are never ordered as a whole. All of it is DataFrame expressions.
+Blocks and shards are as many as the words ask for (``BLOCK_WORDS``, ``SHARD_WORDS``). Tables of a row a source or a
+block are dealt over ranges where their order matters; documents are never ordered as a
+whole. All of it is DataFrame expressions.
 
 Defined results: null text has no words; null sources are one source, ordered last; a
 source without words has target 0; repeated rows are documents of their own and share a
@@ -31,14 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.tables import cut
+from lodestone.llm.ordering import running
 from lodestone.llm.textops import n_words, words
+from lodestone.tables import cut, owned
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-N_BLOCKS = 512
-N_SHARDS = 16
+#: Least numbers of blocks and of shards, and the words of one of them beyond that.
+N_BLOCKS, N_SHARDS = 512, 16
+BLOCK_WORDS, SHARD_WORDS = 1_000_000, 256_000_000
+#: Words that one task of the last shuffle gets, about; sources that one row of the splitting tree holds.
+TASK_WORDS, FAN = 4_000_000, 256
 SEED = 20240601
 
 
@@ -54,30 +62,30 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns({"_hi": F.shiftright(h, 32), "_lo": h.bitwiseAND((1 << 32) - 1)})
 
 
-def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, n_blocks: int = N_BLOCKS) -> DataFrame:
-    """One row a source: source, ord, source_size, target, n_blocks, whole, rest.
+def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, n_blocks: int | None = None) -> DataFrame:
+    """One row a source, as a table: source, ord, source_size, target, n_blocks, whole, rest.
 
     Filling by weight under caps has a closed form: in order of cap by weight a prefix of
-    the sources is full, and the others share what is left at one level.
+    the sources is full, and the others share what is left at one level. Places and sums over the sources' order
+    come from ranges of it, and only sums over all sources reach the driver. ``n_blocks`` is by default as many as the words ask for.
     """
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy()
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_none", F.col("source").isNull())
+    per = running(per, ["_none", "source"], label="mix-by-name").withColumnRenamed("k", "ord")
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("ord") % len(weights)).cast("int") + 1)
-    per = per.withColumn("ord", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    per = per.withColumns({"_w": weight, "_cap": most * F.col("source_size"), "_all": F.sum("source_size").over(every)})
-    per = per.withColumn("_fill", F.col("_cap") / F.col("_w"))
-    before = Window.orderBy("_fill", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    left = lambda c: F.sum(c).over(every) - F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    per = per.withColumn("_level", (share * F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / left("_w"))
-    fits = F.when(F.col("_level") <= F.col("_fill"), F.struct("_fill", "ord", "_level"))
-    per = per.withColumn("_at", F.min(fits).over(every)["_level"])
-    target = F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap")))
-    blocks = F.coalesce(F.ceil(n_blocks * F.try_divide(F.col("source_size"), F.col("_all"))), F.lit(1))
+    per = per.withColumns({"_w": weight, "_cap": most * F.col("source_size")}).withColumn("_fill", F.col("_cap") / F.col("_w"))
+    per = cut(running(per, ["_fill", "ord"], {"_caps": "_cap", "_ws": "_w"}, "mix-by-fill"), "mix-fills")
+    everything = per.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    total, all_w = everything["size"] or 0, everything["w"] or 0.0
+    level = F.try_divide(share * total - (F.col("_caps") - F.col("_cap")), all_w - (F.col("_ws") - F.col("_w")))
+    found = per.withColumn("_level", level).filter(F.col("_level") <= F.col("_fill")).agg(F.min(F.struct("_fill", "ord", "_level")).alias("x")).first()["x"]
+    target = F.col("_cap") if found is None else F.least(F.col("_cap"), F.lit(found["_level"]) * F.col("_w"))
+    n_blocks = n_blocks or max(N_BLOCKS, total // BLOCK_WORDS)
+    blocks = F.ceil(n_blocks * F.col("source_size") / max(total, 1))
     per = per.withColumns({"target": target, "n_blocks": F.greatest(F.lit(1), blocks).cast("long")})
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     per = per.withColumn("whole", whole)
     rest = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
-    return per.withColumn("rest", rest).select("source", "ord", "source_size", "target", "n_blocks", "whole", "rest")
+    return cut(per.withColumn("rest", rest).select("source", "ord", "source_size", "target", "n_blocks", "whole", "rest"), "mix-sources")
 
 
 def _unit(*parts: Column) -> Column:
@@ -127,14 +135,14 @@ def hypergeometric(total: Column, good: Column, draws: Column, unit: Column) ->
     return sure.otherwise(_let(spread(F.struct(total.alias("n"), good.alias("k"), draws.alias("m"))), draw))
 
 
-def split(quotas: Column, level: Column, node: Column) -> Column:
-    """The left half's counts out of ``quotas`` (array<long>, one a source): half of all, drawn without replacement."""
+def split(quotas: Column, draws: Column, *seed: Column) -> Column:
+    """Counts out of ``quotas`` (array<long>) when ``draws`` of all are drawn without replacement."""
 
     def fold(total: Column) -> Column:
-        start = F.struct(total.alias("n"), F.shiftright(total, 1).alias("m"), F.array().cast("array<bigint>").alias("out"))
+        start = F.struct(total.alias("n"), draws.alias("m"), F.array().cast("array<bigint>").alias("out"))
 
         def step(acc: Column, k: Column) -> Column:
-            got = hypergeometric(acc["n"], k, acc["m"], _unit(level, node, F.size(acc["out"])))
+            got = hypergeometric(acc["n"], k, acc["m"], _unit(*seed, F.size(acc["out"])))
             return _let(got, lambda g: F.struct((acc["n"] - k).alias("n"), (acc["m"] - g).alias("m"), F.concat(acc["out"], F.array(g)).alias("out")))
 
         return F.aggregate(quotas, start, step)["out"]
@@ -142,22 +150,33 @@ def split(quotas: Column, level: Column, node: Column) -> Column:
     return _let(F.aggregate(quotas, F.lit(0).cast("long"), lambda a, x: a + x), fold)
 
 
-def shard_quotas(blocks: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """Per source ``ord`` the ends of the shards' runs: ``ends`` (array<long>), from ``quota`` by the splitting tree.
-
-    One row holds a node's quotas: as many numbers as there are sources.
-    """
+def halves(nodes: DataFrame, sources: int, level: int, fan: int = FAN) -> DataFrame:
+    """(node, ord, q) of the children 2 node and 2 node + 1 of each node: half of all its quotas, drawn without replacement, and the rest."""
+    ups = [nodes.select("node", F.col("ord").alias("id"), "q")]
+    while (sources := -(-sources // fan)) > 1:
+        ups.append(cut(ups[-1].groupBy("node", F.floor(F.col("id") / fan).alias("id")).agg(F.sum("q").alias("q")), "mix-groups"))
+    drawn = None
+    for depth in range(len(ups) - 1, -1, -1):
+        each = ups[depth].groupBy("node", F.floor(F.col("id") / fan).alias("up")).agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("s"))
+        half = F.shiftright(F.aggregate(F.col("s.q"), F.lit(0).cast("long"), lambda a, x: a + x), 1)
+        each = each.withColumn("m", half) if drawn is None else each.join(drawn.select("node", F.col("id").alias("up"), F.col("left").alias("m")), ["node", "up"])
+        each = each.withColumn("left", split(F.col("s.q"), F.col("m"), F.lit(level), F.lit(depth), F.col("node"), F.col("up")))
+        drawn = each.select("node", F.explode(F.arrays_zip(F.col("s.id").alias("id"), F.col("s.q").alias("q"), F.col("left").alias("left"))).alias("z")).select("node", "z.id", "z.q", "z.left")
+    children = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("q")), F.struct((2 * F.col("node") + 1).alias("node"), (F.col("q") - F.col("left")).alias("q")))
+    return drawn.select(F.col("id").alias("ord"), F.explode(children).alias("h")).select("h.node", "ord", "h.q").filter("q > 0")
+
+
+def shard_quotas(blocks: DataFrame, sources: int, n_shards: int, fan: int = FAN) -> DataFrame:
+    """Per source ``ord`` the shards that its instances go to, with the ends of their runs: ``by`` (array of struct<end, shard>), from the quotas by the splitting tree."""
     assert n_shards & (n_shards - 1) == 0, "shards are halved"
-    quotas = blocks.groupBy("ord").agg(F.sum("times").alias("q")).groupBy().agg(F.sort_array(F.collect_list(F.struct("ord", "q"))).alias("s"))
-    nodes = quotas.select(F.lit(0).cast("long").alias("node"), F.col("s.ord").alias("ords"), F.col("s.q").alias("q"))
+    nodes = blocks.groupBy("ord").agg(F.sum("times").alias("q")).filter("q > 0").select(F.lit(0).cast("long").alias("node"), "ord", "q")
     for level in range(n_shards.bit_length() - 1):
-        nodes = nodes.withColumn("left", split(F.col("q"), F.lit(level), F.col("node")))
-        halves = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("q")), F.struct((2 * F.col("node") + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")))
-        nodes = nodes.select("ords", F.explode(halves).alias("h")).select("h.node", "ords", "h.q")
-    per = nodes.select("node", F.explode(F.arrays_zip(F.col("ords").alias("ord"), F.col("q").alias("q"))).alias("z"))
-    per = per.groupBy("z.ord").agg(F.sort_array(F.collect_list(F.struct("node", F.col("z.q").alias("q")))).alias("by"))
-    ends = F.transform("by", lambda x, i: F.aggregate(F.slice(F.col("by"), F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["q"]))
-    return per.select("ord", ends.alias("ends"))
+        nodes = halves(nodes, sources, level, fan)
+        if sources > fan:
+            nodes = cut(nodes, "mix-nodes")
+    by = nodes.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("node", "q"))).alias("by"))
+    ends = F.transform("by", lambda x, i: F.struct(F.aggregate(F.slice(F.col("by"), F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["q"]).alias("end"), x["node"].alias("shard")))
+    return by.select("ord", ends.alias("by"))
 
 
 def _block() -> Column:
@@ -173,14 +192,23 @@ def _narrow(rows: DataFrame, part: Column) -> DataFrame:
     return hit.select("ord", "part", (F.col("rest") - F.col("_end") + F.col("size")).alias("rest"), "size")
 
 
-def plan(rows: DataFrame, n_shards: int = N_SHARDS, **how) -> DataFrame:
-    """One row for each block: source, block, the source's facts, how often and where the block goes.
+def plan(rows: DataFrame, n_shards: int | None = None, **how) -> DataFrame:
+    """A table with one row for each block: source, block, the source's facts, how often and where the block goes.
 
     ``times`` is how many instances the block has, ``shards`` the shard of each. Documents
     with ``_lo`` under ``cut_lo`` are in the last pass; of those at it, ``cut_words`` of
     ``cut_size`` words are.
     """
-    sources = cut(targets(rows, **how), "mix-sources")
+    keep: list[DataFrame] = []
+    with owned(keep):
+        keep.append(_plan(rows, n_shards, **how))
+    return keep[0]
+
+
+def _plan(rows: DataFrame, n_shards: int | None, **how) -> DataFrame:
+    sources = targets(rows, **how)
+    size = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("words")).first()
+    n_shards = n_shards or max(N_SHARDS, 1 << int(size["words"] // SHARD_WORDS).bit_length())
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("block", _block())
     blocks = cut(placed.groupBy("ord", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
     blocks = blocks.join(sources, "ord")
@@ -196,21 +224,21 @@ def plan(rows: DataFrame, n_shards: int = N_SHARDS, **how) -> DataFrame:
     fine = inside.drop("rest").join(coarse.select("ord", "part", "rest"), "ord").filter(F.shiftright("_lo", 20) == F.col("part"))
     cuts = _narrow(fine.drop("part"), F.col("_lo")).select("ord", F.col("part").alias("cut_lo"), F.col("rest").alias("cut_words"), F.col("size").alias("cut_size"))
 
-    quota = shard_quotas(blocks, n_shards)
+    quota = shard_quotas(blocks, size["n"], n_shards)
     deal = Window.partitionBy("ord").orderBy(F.xxhash64(F.lit(SEED + 1), F.col("ord"), F.col("block"), F.col("epoch")), "block", "epoch")
     dealt = blocks.filter("times > 0").select("ord", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("epoch"))
     dealt = dealt.withColumn("_at", F.row_number().over(deal)).join(quota, "ord")
-    shard = F.size(F.filter("ends", lambda e: e < F.col("_at")))
+    shard = F.get(F.filter("by", lambda e: e["end"] >= F.col("_at")), F.lit(0))["shard"]
     dealt = dealt.groupBy("ord", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", shard.alias("shard"))))["shard"].alias("shards"))
     blocks = blocks.join(dealt, ["ord", "block"], "left").join(cuts, "ord", "left")
-    return cut(blocks.select("ord", "block", "source", "source_size", "target", "n_blocks", "whole", "_cut", "_last", "times", "shards", "cut_lo", "cut_words", "cut_size"), "mix-plan")
+    return cut(blocks.select("ord", "block", "block_size", "source", "source_size", "target", "n_blocks", "whole", "_cut", "_last", "times", "shards", "cut_lo", "cut_words", "cut_size"), "mix-plan")
 
 
 def place(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """``rows`` (sized) with source_size, target, ``whole`` (passes in full), ``part`` (words in the last pass), taken, shards."""
     few = blocks.select("source", "n_blocks").distinct().withColumnRenamed("source", "_src")
     rows = rows.join(few, rows["source"].eqNullSafe(few["_src"])).drop("_src").withColumn("block", _block()).drop("n_blocks")
-    facts = blocks.withColumnRenamed("source", "_src").drop("n_blocks", "times")
+    facts = blocks.withColumnRenamed("source", "_src").drop("n_blocks", "times", "block_size")
     rows = rows.join(facts, rows["source"].eqNullSafe(facts["_src"]) & (rows["block"] == facts["block"])).drop(facts["block"]).drop("_src")
     at = F.floor(F.col("size") * F.try_divide(F.col("cut_words").cast("double"), F.col("cut_size"))).cast("long")
     zero = F.lit(0).cast("long")
@@ -241,5 +269,7 @@ def mix(docs: DataFrame) -> DataFrame:
     short = (F.col("epoch") == F.col("whole")) & (F.col("part") < F.col("size"))
     text = F.when(short, F.array_join(F.slice(words(F.col("_in")), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("_in"))
     rows = rows.withColumns({"_text": text, "_shard": F.get("shards", F.col("epoch").cast("int")), "_rank": F.xxhash64(F.lit(SEED + 2), F.col("_hi"), F.col("_lo"), F.col("epoch"))})
-    rows = rows.repartition("_shard", F.pmod("_rank", F.lit(64))).sortWithinPartitions("_shard", "_rank")
+    most = blocks.select(F.explode("shards").alias("s"), "block_size").groupBy("s").agg(F.sum("block_size").alias("w")).agg(F.max("w")).first()[0]
+    parts = max(64, (most or 0) // TASK_WORDS)  # tasks of one shard
+    rows = rows.repartition("_shard", F.pmod("_rank", F.lit(parts))).sortWithinPartitions("_shard", "_rank")
     return rows.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in names])

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.ordering import running
 from lodestone.llm.textops import n_words, words
-from lodestone.tables import cut, owned
+from lodestone.tables import cut, owned, release
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -262,7 +262,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     rows = sized(docs.select("doc_id", "source", F.col("text").alias("_in"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), "_in")
-    blocks = plan(cut(rows.select("doc_id", "source", "size", "_hi", "_lo"), "mix-sizes"))
+    sizes = cut(rows.select("doc_id", "source", "size", "_hi", "_lo"), "mix-sizes")
+    blocks = plan(sizes)
+    release(sizes)
     rows = place(rows, blocks).filter("taken > 0")
     times = F.col("whole") + (F.col("part") > 0).cast("long")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))

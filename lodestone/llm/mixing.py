@@ -150,8 +150,13 @@ def split(quotas: Column, draws: Column, *seed: Column) -> Column:
     return _let(F.aggregate(quotas, F.lit(0).cast("long"), lambda a, x: a + x), fold)
 
 
-def halves(nodes: DataFrame, sources: int, level: int, fan: int = FAN) -> DataFrame:
-    """(node, ord, q) of the children 2 node and 2 node + 1 of each node: half of all its quotas, drawn without replacement, and the rest."""
+def left_counts() -> Column:
+    """What the left half draws in a group of sources, over ``s`` (their quotas), ``m``, level, depth, node and up; a large expression, made once for all levels."""
+    return split(F.col("s.q"), F.col("m"), F.col("level"), F.col("depth"), F.col("node"), F.col("up"))
+
+
+def halves(nodes: DataFrame, sources: int, level: int, fan: int = FAN, left: Column | None = None) -> DataFrame:
+    """(node, ord, q) of the children 2 node and 2 node + 1 of each node: half of all its quotas, drawn without replacement (``left``: :func:`left_counts`), and the rest."""
     ups = [nodes.select("node", F.col("ord").alias("id"), "q")]
     while (sources := -(-sources // fan)) > 1:
         ups.append(cut(ups[-1].groupBy("node", F.floor(F.col("id") / fan).alias("id")).agg(F.sum("q").alias("q")), "mix-groups"))
@@ -160,7 +165,7 @@ def halves(nodes: DataFrame, sources: int, level: int, fan: int = FAN) -> DataFr
         each = ups[depth].groupBy("node", F.floor(F.col("id") / fan).alias("up")).agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("s"))
         half = F.shiftright(F.aggregate(F.col("s.q"), F.lit(0).cast("long"), lambda a, x: a + x), 1)
         each = each.withColumn("m", half) if drawn is None else each.join(drawn.select("node", F.col("id").alias("up"), F.col("left").alias("m")), ["node", "up"])
-        each = each.withColumn("left", split(F.col("s.q"), F.col("m"), F.lit(level), F.lit(depth), F.col("node"), F.col("up")))
+        each = each.withColumns({"level": F.lit(level), "depth": F.lit(depth)}).withColumn("left", left_counts() if left is None else left)
         drawn = each.select("node", F.explode(F.arrays_zip(F.col("s.id").alias("id"), F.col("s.q").alias("q"), F.col("left").alias("left"))).alias("z")).select("node", "z.id", "z.q", "z.left")
     children = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("left").alias("q")), F.struct((2 * F.col("node") + 1).alias("node"), (F.col("q") - F.col("left")).alias("q")))
     return drawn.select(F.col("id").alias("ord"), F.explode(children).alias("h")).select("h.node", "ord", "h.q").filter("q > 0")
@@ -170,8 +175,9 @@ def shard_quotas(blocks: DataFrame, sources: int, n_shards: int, fan: int = FAN)
     """Per source ``ord`` the shards that its instances go to, with the ends of their runs: ``by`` (array of struct<end, shard>), from the quotas by the splitting tree."""
     assert n_shards & (n_shards - 1) == 0, "shards are halved"
     nodes = blocks.groupBy("ord").agg(F.sum("times").alias("q")).filter("q > 0").select(F.lit(0).cast("long").alias("node"), "ord", "q")
+    left = left_counts()
     for level in range(n_shards.bit_length() - 1):
-        nodes = halves(nodes, sources, level, fan)
+        nodes = halves(nodes, sources, level, fan, left)
         if sources > fan:
             nodes = cut(nodes, "mix-nodes")
     by = nodes.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("node", "q"))).alias("by"))

@@ -40,6 +40,8 @@ from lodestone.tables import cut, owned, release
 MIN_LINES, MIN_CHARS = 2, 40
 #: For single lines under ``MIN_CHARS`` characters.
 MIN_WORDS, MIN_DOCS = 2, 3
+#: Suffixes up to which those that a round looks up are sent to all executors (some 2 MB); beyond it both sides are shuffled.
+SENT_ROWS = 100_000
 
 
 def _text_hash(text: Column) -> Column:
@@ -61,6 +63,11 @@ def line_text(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 
 
+def _looked_up(rows: DataFrame, wanted: Column, of: DataFrame, n: int) -> DataFrame:
+    """``rows`` (g, ...) as a join needs them that looks up the suffixes ``wanted`` of the ``n`` rows ``of``: where these are few, no others are shuffled."""
+    return rows.join(F.broadcast(of.select(wanted.alias("g"))), "g", "left_semi") if n <= SENT_ROWS else rows
+
+
 def suffix_array(text: DataFrame) -> DataFrame:
     """(k, g, last, rank, first): the suffixes whose first line others equal, in order; ``first`` is the first suffix with that line.
 
@@ -72,15 +79,16 @@ def suffix_array(text: DataFrame) -> DataFrame:
     release(shared)  # its lines stand in ``rank`` now
     done: list[DataFrame] = []
     h = 1
-    while not active.isEmpty():
-        known = reduce(DataFrame.unionByName, done, active)
-        far = known.select((F.col("g") - h).alias("g"), F.col("rank").alias("r2"))
+    while n := active.count():
+        known = reduce(DataFrame.unionByName, done, active).select("g", "rank")
+        far = _looked_up(known, F.col("g") + h, active, n).select((F.col("g") - h).alias("g"), F.col("rank").alias("r2"))
         ended, alone = F.array(F.lit(_FIRST), F.col("g")), F.array(F.lit(_LAST), F.col("g") + h)
         pairs = active.join(far, "g", "left").withColumn("r2", F.when(F.col("g") + h > F.col("last"), ended).otherwise(F.coalesce("r2", alone)))
+        pairs = cut(pairs, "rank-pairs")  # read twice
         keys = pairs.groupBy("rank", "r2").agg(F.count("*").alias("n"))
         keys = cut(keys.repartitionByRange("rank", "r2").sortWithinPartitions("rank", "r2").withColumn("no", F.monotonically_increasing_id()), "pairs")
         ranked = cut(pairs.join(keys, ["rank", "r2"]).select("g", "last", F.concat("rank", F.array("no")).alias("rank"), "first", "n"), f"rank-{2 * h}")
-        release(active, keys) if h == 1 else release(keys)
+        release(active, pairs, keys) if h == 1 else release(pairs, keys)
         done.append(ranked.filter("n = 1").drop("n"))
         active = ranked.filter("n > 1").drop("n")
         h *= 2
@@ -98,9 +106,9 @@ def common_prefixes(array: DataFrame) -> DataFrame:
     done = [open_.filter("step <= 1").select("k", F.col("l").alias("lcp"))]
     open_ = open_.filter("step > 1")
     ranks = array.select("g", "rank")
-    while not open_.isEmpty():
+    while n := open_.count():
         within = (F.col("i") + F.col("l") <= F.col("il")) & (F.col("j") + F.col("l") <= F.col("jl"))
-        left, right = (ranks.select(F.col("g").alias(f"_{x}"), F.col("rank").alias(f"r{x}")) for x in "ij")
+        left, right = (_looked_up(ranks, F.col(x) + F.col("l"), open_, n).select(F.col("g").alias(f"_{x}"), F.col("rank").alias(f"r{x}")) for x in "ij")
         met = open_.join(left, F.col("i") + F.col("l") == F.col("_i"), "left").join(right, F.col("j") + F.col("l") == F.col("_j"), "left")
         step = F.when(within, F.coalesce(lines_of(agree(F.col("ri"), F.col("rj"))), F.lit(0))).otherwise(F.lit(0).cast("long"))
         # what is left is shorter than the step before, so this ends after as many rounds as the doubling

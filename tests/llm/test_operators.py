@@ -571,3 +571,18 @@ def test_word_hashes_follow_words(texts):
             for w, h in zip(own, words[at[i] : at[i + 1]].tolist(), strict=True):
                 assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_suffix_lookups_shuffled_or_sent(spark, monkeypatch):
+    from lodestone.llm import line_dedup
+
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "x\na\nb\nc\nd"), (3, "c\nd\ne\na"), (4, "")]
+    text = line_dedup.cut(line_dedup.line_text(spark.createDataFrame(rows, "doc_id long, text string")), "line-text")
+
+    def order() -> list:
+        array = line_dedup.suffix_array(text)
+        return sorted(map(tuple, array.select("k", "g", "last", "first").join(line_dedup.common_prefixes(array), "k").collect()))
+
+    sent = order()
+    monkeypatch.setattr(line_dedup, "SENT_ROWS", 0)
+    assert order() == sent and max(x[-1] for x in sent) == 4

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ann, jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, substring_dedup, warc
+from lodestone.llm import ann, hard_negatives, jaccard_join, license_scan, line_dedup, mixing, packing, quality_model, quality_rules, spelling, substring_dedup, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.digest(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -65,4 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_model": op8_quality_model,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_warc": op10_warc,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_url_filters": op12_url_filters,
+        "op13_spelling_variants": op13_spelling_variants,
     }

@@ -49,7 +49,54 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM rows LEFT JOIN kept USING (rid)
 """
 
+#: Every anchor against every row.
+HARD_NEGATIVES = """
+WITH rows AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+              FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+met AS (SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+        FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.rid <> b.rid),
+pos AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score, rid AS positive FROM met WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor, positive ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos p JOIN met USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+#: Every rule against every URL.
+URL_FILTERS = """
+WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+split AS (SELECT row_number() OVER () AS rid, page_id,
+                 coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+best AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+         FROM split JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM split LEFT JOIN best USING (rid)
+"""
+
+#: Near words share the shorter one, or what is left when one place of both goes; the checksum is built from its polynomial.
+SPELLING = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, b)) AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM each),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM bytes, crc),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cuts AS (SELECT word, n, i, word[:i] || word[i + 2:] AS k FROM (SELECT word, n, unnest(range(length(word)))::INT AS i FROM words)),
+pairs AS (SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn FROM cuts a JOIN cuts b ON a.i = b.i AND a.k = b.k AND a.word < b.word
+          UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cuts c ON w.word = c.k),
+near AS (SELECT a AS word, an AS n, b AS o, bn AS o_n FROM pairs UNION SELECT b, bn, a, an FROM pairs),
+best AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+forms AS (SELECT word, o AS form, o_n AS form_n FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY o_n DESC, o) = 1) WHERE o_n >= 2 * n),
+way AS (SELECT word, form AS root, 1 AS d FROM forms UNION ALL SELECT way.word, f.form, d + 1 FROM way JOIN forms f ON way.root = f.word)
+SELECT word, form, coalesce((SELECT arg_max(root, d) FROM way WHERE way.word = words.word), word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word)
+"""
+
 ORACLE_SQL = {
     "op2_quality_rules": QUALITY_RULES,
     "op6_substring_dedup": SUBSTRING_DEDUP,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_url_filters": URL_FILTERS,
+    "op13_spelling_variants": SPELLING,
 }

@@ -127,13 +127,14 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
 def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by share rejected per second, over about ``sample_rows`` rows of ``texts`` (``_in``) from all partitions."""
     share = min(1.0, sample_rows / max(1, texts.count()))
-    sample = cut(texts.sample(share, 7).coalesce(1), "rule-sample")
+    sample = cut(texts.sample(share, 7), "rule-sample")
+    few = sample.coalesce(1)  # of what was written: about `sample_rows` rows, timed on one core
 
     def timed(passes: Column) -> tuple[float, int]:
         seconds, rejected = [], 0
         for _ in range(2):  # the first run also compiles
             began = time.perf_counter()
-            rejected = with_text(sample, "_in").agg(F.count_if(~passes)).first()[0]
+            rejected = with_text(few, "_in").agg(F.count_if(~passes)).first()[0]
             seconds.append(time.perf_counter() - began)
         return min(seconds), rejected
 
@@ -171,12 +172,13 @@ def digest(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", *MEASURES, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE[:1], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns and nothing else; no dear measure is taken that the cascade does not ask for.
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with their own columns and nothing else; no dear measure is taken that the cascade does not ask for.
 
-    Of the base only the length stands in the cascade by itself: texts that repeat half of their words fail ``repeated_words``.
+    Texts that repeat half of their words fail the library's own ``repeated_words``; that half of the base stands in the cascade only where this rule does not.
     """
     names = docs.columns
+    base = BASE[:1] if any(r is own for r in rules for own in RULES if own.name == "repeated_words") else BASE
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_in"))
     ordered = order_rules(packed.select("_in"), (*base, *rules), sample_rows)
     # a filter that were pushed below the words would compute them anew for each of their uses;

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -16,6 +17,16 @@ RNG = np.random.default_rng(17)
 VOCAB = [f"v{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(400)]
 
 
+def reseed(seed):
+    RNG.bit_generator.state = np.random.default_rng(seed).bit_generator.state
+
+
+@pytest.fixture(autouse=True)
+def own_texts(request):
+    """A test draws the same texts alone as among others."""
+    reseed(zlib.crc32(request.node.name.encode()))
+
+
 def prose(n):
     return " ".join(RNG.choice(VOCAB, n))
 
@@ -30,6 +41,7 @@ CLASH = ["c", "n", "g", "h", "s", "row", "key", "rep", "th", "_th", "_row", "_ke
 @pytest.fixture(scope="module")
 def odd(spark):
     """Rows with nulls, repeats, empty and long texts, and columns under the names that operators use inside."""
+    reseed(17)
     long, copy = prose(30_000), prose(120)
     rows = [(0, long, "a"), (1, copy, "a"), (2, copy, None), (2, copy, None), (3, copy + " tail", "b"), (None, copy, "b"), (None, None, None), (5, None, "a"), (6, "", "a"), (7, " \n ", "a"), (8, f"{prose(60)}\nLicensed under CC BY 4.0.", "c"), (9, long[: len(long) // 2], "c")]
     base = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -236,3 +248,33 @@ def test_pipeline_on_odd_tables(spark, odd, tmp_path):
     before = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
     assert set(os.listdir(folder)) - before <= {p.split("/")[-2] for p in out.inputFiles()} | {x for x in os.listdir(folder) if x.startswith("mixing-")}
+
+
+def test_rules_are_sampled_by_all_tasks(spark, monkeypatch):
+    asked = []
+
+    def seen(df, label):
+        asked.append((label, df.rdd.getNumPartitions()))
+        return cut(df, label)
+
+    monkeypatch.setattr(quality_rules, "cut", seen)
+    texts = spark.createDataFrame([(prose(60),)] * 90, "_in string").repartition(9)
+    ordered = quality_rules.order_rules(texts, quality_rules.RULES, sample_rows=40)
+    assert set(ordered) == set(quality_rules.RULES) and asked == [("rule-sample", 9)]
+
+
+def test_kept_rows_are_those_that_the_verdict_keeps(spark):
+    half = " ".join(["same three words"] * 20) + " " + prose(40)
+    docs = spark.createDataFrame([(1, half), (2, prose(80)), (3, prose(10)), (4, None)], "doc_id long, text string")
+    for rules in (quality_rules.RULES, quality_rules.RULES[:1]):
+        kept = {r.doc_id for r in quality_rules.judge(docs, rules).filter("kept").collect()}
+        assert {r.doc_id for r in quality_rules.keep_good(docs, rules).collect()} == kept and 1 not in kept and 2 in kept
+
+
+@pytest.mark.parametrize("missing", [0, 1, 2])
+def test_ordinal_fit_without_a_grade_or_with_one_text(missing):
+    grades = np.array([g for g in [0, 1, 2] * 20 if g != missing])
+    rows = list(quality_model.features([f"{prose(30)} {'bad' if g == 0 else 'odd' if g == 1 else 'fine'}".encode() for g in grades]))
+    model = quality_model.fit(rows, grades)
+    assert (np.diff(model.thresholds) >= 0).all() and np.isfinite(model.weights).all()
+    assert len(quality_model.fit(rows[:1], grades[:1]).weights) == quality_model.DIM

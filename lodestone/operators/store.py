@@ -2,8 +2,9 @@
 
 Tables are parquet under ``root``, one folder a knowledge base, so a missing one is an
 empty read. A write goes to a new version folder and becomes visible when the pointer file of the next
-number is made. Of two writers that start from one version the second finds that file there and fails,
-so no update is lost; the version before stays until the next write, so that frames that were read
+number is there. It is written under another name and then renamed, so that no reader meets half a pointer and a
+driver that dies leaves the base as it was. Of two writers that start from one version the second finds that file there and fails,
+so no update is lost (on object stores without an atomic rename that needs one writer at a time); the version before stays until the next write, so that frames that were read
 from it still run.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 from lodestone.operators.search import predicate
 from lodestone.schema import NODE_SCHEMA
+from lodestone.tables import cut, release
 
 
 def merged(existing: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -77,9 +79,13 @@ class NodeStore:
 
     def _numbers(self, kb: str) -> list[int]:
         """The numbers of the versions that were made visible and not yet deleted."""
-        found = [s.getPath().getName() for s in (self._fs.listStatus(self._path(kb)) if self._fs.exists(self._path(kb)) else [])]
+        found = [s.getPath().getName() for s in (self._fs.listStatus(self._path(kb)) if self._fs.exists(self._path(kb)) else []) if s.isDirectory() or s.getLen()]
         return sorted(int(x.split("-")[1]) for x in found if x.startswith("CURRENT-"))
 
+    def version(self, kb: str) -> str | None:
+        """The name of the version that readers see; indexes that are stored beside a base belong to one."""
+        return self._version(kb)
+
     def _folder(self, kb: str, number: int) -> str:
         source = self._fs.open(self._path(kb, f"CURRENT-{number:09d}"))
         try:
@@ -121,23 +127,31 @@ class NodeStore:
         number = 1 + max(numbers, default=0)
         version = f"v{number}_{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{kb}/{version}")
+        aside = self._path(kb, f"_pointer-{version}")
         try:
-            mark = self._fs.create(self._path(kb, f"CURRENT-{number:09d}"), False)
+            mark = self._fs.create(aside, False)
+            mark.writeUTF(version)
+            mark.close()
+            none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+            files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(self._path(kb, f"CURRENT-{number:09d}")), none)
         except Exception:
+            self._fs.delete(aside, False)
             self._fs.delete(self._path(kb, version), True)
             raise
-        mark.writeUTF(version)
-        mark.close()
         for old in numbers[:-1]:
             self._fs.delete(self._path(kb, self._folder(kb, old)), True)
             self._fs.delete(self._path(kb, f"CURRENT-{old:09d}"), False)
 
     def upsert(self, kb: str, rows: DataFrame, order: str | None = None) -> dict:
         """Overwrite by ``hash_id``; creates the knowledge base if it is missing. Returns :func:`statistics`."""
-        rows = rows.withColumn("kb", F.lit(kb))
-        counts = statistics(rows).first().asDict()
-        if not counts["skipped"] or not self.exists(kb):
-            self._write(kb, merged(self.read([kb]), rows, ["kb", "hash_id"], order))
+        rows = cut(rows.withColumn("kb", F.lit(kb)), "upsert")  # counted and written from one run
+        try:
+            counts = statistics(rows).first().asDict()
+            if not counts["skipped"] or not self.exists(kb):
+                self._write(kb, merged(self.read([kb]), rows, ["kb", "hash_id"], order))
+        finally:
+            release(rows)
         return counts
 
     def delete_ids(self, kb: str, ids: list[str]) -> int:

@@ -132,6 +132,8 @@ ORACLE_SQL: dict[str, str] = {
     "entity_passages_topn": _with(_P, _M, _S, _E) + "SELECT * FROM (SELECT entity_id, hash_id, row_number() OVER (PARTITION BY entity_id ORDER BY hash_id) AS rn FROM (SELECT DISTINCT entity_id, hash_id FROM m SEMI JOIN le USING (entity_id))) WHERE rn <= 5",
     "graph_nodes_bounded": _with(_P, _S) + "SELECT hash_id, passage_id FROM s WHERE file_id IN ('src1', 'src2') ORDER BY hash_id LIMIT 750",
     "vector_topk": _with(_P, _PV, _Q, _vec("t", 10)) + _RANKED,
+    "vector_topk_cells": _with(_P, _PV, _Q, _vec("t", 10)) + _RANKED,
+    "vector_topk_cells_filtered": _with(_P, _PV, _Q, _vec("t", 10, "lang = 'en'")) + _RANKED,
     "vector_topk_filtered": _with(_P, _PV, _Q, _vec("t", 10, "lang = 'en'")) + _RANKED,
     "dense_fallback": _with(_P, _PV, _Q, _vec("t", 5, raw=True)) + _RANKED,
     "bm25_topk": _with(_P, _Q, _bm("t", 10)) + _RANKED,

@@ -12,11 +12,16 @@ from lodestone.functions import ids, text
 from lodestone.functions.ports import HashingEmbedder
 from lodestone.functions.vectors import dot
 from lodestone.operators import chunking, fusion, graph, ingest, metrics, search, store
+from lodestone.operators.cells import VectorCells
+from lodestone.operators.postings import Postings
 from lodestone.operators.ranking import PLACES, ordered_distinct
 from lodestone.sources.corpus import Corpus
 from lodestone.sources.pages import html_pages
 from lodestone.tables import cut
 
+#: Rows that an approximate vector query looks at.
+BREADTH = 500
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -117,14 +122,42 @@ def vector_topk_filtered(c: Corpus) -> DataFrame:
     return search.vector_topk(rows, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
+def _cells(c: Corpus) -> VectorCells:
+    """Cells of the folder's vectors; built by the query that asks first, as an index is, and then read."""
+    return VectorCells(c.spark, c.stored("cells", lambda path: VectorCells.build(c.embedded.select("hash_id", "lang", "vector"), path)))
+
+
+@_register
+def vector_topk_cells(c: Corpus) -> DataFrame:
+    found = _cells(c).search(c.questions, 10, num_candidates=None)
+    return found.select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
+
+
+@_register
+def vector_topk_cells_filtered(c: Corpus) -> DataFrame:
+    found = _cells(c).search(c.questions, 10, num_candidates=None, where=F.col("lang") == "en")
+    return found.select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
+
+
+@_register
+def vector_topk_candidates(c: Corpus) -> DataFrame:
+    found = _cells(c).search(c.questions, 10, num_candidates=BREADTH)
+    return found.select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
+
+
 @_register
 def dense_fallback(c: Corpus) -> DataFrame:
     return search.vector_topk(c.embedded, c.questions, 5, raw_dot=True).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
+def _postings(c: Corpus) -> Postings:
+    """Postings of the folder's texts; built by the query that asks first, as an index is, and then read."""
+    return Postings(c.spark, c.stored("postings", lambda path: Postings.build(c.embedded.select("hash_id", "text"), path)))
+
+
 @_register
 def bm25_topk(c: Corpus) -> DataFrame:
-    return search.bm25_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
+    return _postings(c).search(c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
@@ -372,13 +405,13 @@ def _relevant(c: Corpus) -> DataFrame:
 
 @_register
 def recall_at_k(c: Corpus) -> DataFrame:
-    found = search.bm25_topk(c.passages, c.questions, 10)
+    found = _postings(c).search(c.questions, 10)
     return metrics.recall_at(found, _relevant(c), (1, 3, 5, 10)).select(_n("k").alias("k"), "questions", "any_at_k", "passage_recall_at_k", "all_at_k")
 
 
 @_register
 def target_positions(c: Corpus) -> DataFrame:
-    found = search.bm25_topk(c.passages, c.questions, 10)
+    found = _postings(c).search(c.questions, 10)
     return metrics.target_positions(found, _relevant(c)).select("query_id", "hash_id", _n("rank").alias("rank"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import ids
 from lodestone.functions.ports import PatternExtractor
 from lodestone.operators import ingest
+from lodestone.tables import fresh_path
+
+#: Paths of stored indexes by application, folder and name.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 @dataclass(frozen=True)
@@ -24,6 +29,15 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[str], object]) -> str:
+        """The path of an index over this folder's tables; ``build`` makes it in the session that asks first."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = fresh_path(self.spark, name)
+            build(path)
+            _STORED[key] = path
+        return _STORED[key]
+
     @cached_property
     def segments(self) -> DataFrame:
         d = self.table("documents")

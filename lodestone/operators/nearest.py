@@ -41,11 +41,15 @@ def blocks(asked: DataFrame, keys: list[str]) -> Iterator[tuple[list[tuple], np.
     size = asked.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("numbers"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
     if size["lo"] != size["hi"]:
         raise ValueError(f"asked vectors have {size['lo']} to {size['hi']} numbers")
-    n = max(1, -(-size["numbers"] // SENT_NUMBERS))
+    n = max(1, -(-size["numbers"] // max(1, SENT_NUMBERS)))
     held = asked.select(*keys, "vector")
     held = cut(held, "asked-vectors") if n > 1 else held
+    empty = True
     for i in range(n):
         rows = (held.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == i) if n > 1 else held).collect()
+        if not rows and not (empty and i == n - 1):
+            continue
+        empty = False
         yield [tuple(r[k] for k in keys) for r in rows], np.array([r["vector"] for r in rows], float).reshape(len(rows), size["hi"] or 0)
 
 

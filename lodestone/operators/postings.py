@@ -6,8 +6,9 @@ search reads those of the asked terms. No list is ever gathered whole: a term th
 
 A search is exact. The rarest terms of a question lead: the k best by these are scored in full, and the
 k-th of them is a bar that the answer must reach. Terms whose upper bounds together stay under the bar are
-not essential: only documents that hold an essential one can reach it, in blocks whose maximum with the other terms' bounds
-does. What is left is scored in full, block by block, by a join on term and document.
+not essential: only documents that hold an essential one can reach it, and only in ranges whose block maxima
+do. Documents that their essential terms and the bounds of the others bring to the bar are then completed, by a join on term and document with the blocks
+that hold them. A question whose essential terms have not much shorter lists than all its terms is summed at once.
 
 The index grows by segments: new documents come with postings and statistics of their own, removed ones with
 marks and negative statistics, so N, df and the mean length are those of an index built anew. A segment counts once its row of sizes is written.
@@ -27,8 +28,8 @@ from lodestone.operators.search import K1, B
 from lodestone.tables import cut, release
 
 BUCKETS, PER_RANGE = 64, 1024
-#: Postings that lead a question, for each of the k asked for; rounding that two orders of summation may differ by.
-LEAD, SLACK = 10, 1e-9
+#: Postings that lead a question, for each of the k asked for; times that all lists must be longer than the essential ones to complete by joins; rounding that two orders of summation may differ by.
+LEAD, DENSE, SLACK = 10, 4, 1e-9
 
 _POSTINGS = "term string, range long, ids array<string>, tfs array<int>, dls array<long>, max_tf int, min_dl long, segment int, bucket int"
 _TERMS, _GONE = "term string, df long, segment int, bucket int", "hash_id string, segment int"
@@ -153,29 +154,38 @@ class Postings:
                 each = each.join(dead, (F.col("hash_id") == F.col("dead")) & (F.col("segment") < F.col("until")), "left_anti")
             return each if within is None else each.join(within.select("hash_id").distinct(), "hash_id", "left_semi")
 
-        def full(pairs: DataFrame) -> DataFrame:
-            """(query_id, hash_id, score) of given pairs, over all their question's terms; only blocks that hold one of them are opened."""
+        def shares(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+            """(query_id, hash_id, more): what the terms of ``weights`` (query_id, term, w) add to given pairs; only blocks that hold one of them are opened."""
             places = F.explode(F.array(*[F.struct(F.lit(r["segment"]).alias("segment"), _range(F.col("hash_id"), F.lit(r["ranges"])).alias("range")) for r in sizes]))
-            looked = pairs.join(bounds.select("query_id", "term", "w"), "query_id")
+            looked = pairs.select("query_id", "hash_id").join(weights, "query_id")
             ranges = looked.select("hash_id", "term").distinct().select("term", places.alias("at")).select("term", "at.segment", "at.range").distinct()
             held = blocks.join(ranges, ["term", "segment", "range"], "left_semi").withColumn("w", F.lit(1.0))
             found = opened(held).select("term", "hash_id", F.col("gain").alias("share"))
-            return looked.join(found, ["term", "hash_id"]).groupBy("query_id", "hash_id").agg(F.sum(F.col("w") * F.col("share")).alias("score"))
+            return looked.join(found, ["term", "hash_id"]).groupBy("query_id", "hash_id").agg(F.sum(F.col("w") * F.col("share")).alias("more"))
 
         if not segments:
             return self.spark.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, hash_id string, score double, rank int")
         down = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term").rowsBetween(Window.unboundedPreceding, -1)
         lead = bounds.withColumn("before", F.coalesce(F.sum("df").over(down), F.lit(0))).filter(F.col("before") < LEAD * k).select("query_id", "term", "w")
         partial = opened(blocks.join(lead, "term")).groupBy("query_id", "hash_id").agg(F.sum("gain").alias("score"))
-        first = cut(full(top_k(partial, k).select("query_id", "hash_id")), "leading")
-        bar = first.groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("m")).filter(F.col("m") >= k).select("query_id", (F.col("bar") - SLACK).alias("bar"))
-        up = Window.partitionBy("query_id").orderBy("bound", "term")
-        everything = Window.partitionBy("query_id")
-        ranked = bounds.join(bar, "query_id", "left").withColumns({"below": F.sum("bound").over(up.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("bound").over(everything)})
+        first = shares(top_k(partial, k), bounds.select("query_id", "term", "w"))
+        bar = first.groupBy("query_id").agg(F.min("more").alias("bar"), F.count("*").alias("m")).filter(F.col("m") >= k).select("query_id", (F.col("bar") - SLACK).alias("bar"))
+        one = Window.partitionBy("query_id")
+        up = one.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = bounds.join(bar, "query_id", "left").withColumn("below", F.sum("bound").over(up))
         ranked = ranked.withColumn("essential", F.col("bar").isNull() | (F.col("below") >= F.col("bar")))
-        ranked = ranked.withColumn("spare", F.coalesce(F.max(F.when(~F.col("essential"), F.col("below"))).over(everything), F.lit(0.0)))
-        essential = ranked.filter("essential").select("query_id", "term", "w", "bar", "spare", (F.col("all") - F.col("bound")).alias("others"))
-        reaching = F.col("bar").isNull() | (F.col("w") * F.col("most") + F.col("others") >= F.col("bar"))
-        met = opened(blocks.join(essential, "term").filter(reaching)).groupBy("query_id", "hash_id", "bar", "spare").agg(F.sum("gain").alias("score"))
-        left = cut(met.filter("bar IS NULL OR score + spare >= bar").select("query_id", "hash_id"), "reaching")
-        return top_k(full(left), k).select("query_id", "hash_id", "score", "rank")
+        # where the essential terms' lists are not much shorter than all of them, completing what they find costs more than reading all
+        dense = DENSE * F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).over(one) > F.sum("df").over(one)
+        ranked = ranked.withColumn("dense", dense).withColumn("essential", F.col("essential") | F.col("dense"))
+        spare = F.max(F.when(~F.col("essential"), F.col("below"))).over(one)
+        ranked = cut(ranked.withColumn("spare", F.coalesce(spare, F.lit(0.0))).drop("below", "dense"), "ranked-terms")
+        # ranges whose block maxima together stay under the bar hold no answer
+        reach = blocks.select("term", "segment", "range", "most").join(ranked.select("query_id", "term", "w", "bar"), "term").groupBy("query_id", "segment", "range", "bar").agg(F.sum(F.col("w") * F.col("most")).alias("reach"))
+        alive = reach.filter("bar IS NULL OR reach >= bar").select("query_id", "segment", "range")
+        essential = ranked.filter("essential").select("query_id", "term", "w", "bar", "spare")
+        met = opened(blocks.join(essential, "term").join(alive, ["query_id", "segment", "range"], "left_semi")).groupBy("query_id", "hash_id", "bar", "spare").agg(F.sum("gain").alias("score"))
+        left = met.filter("bar IS NULL OR score + spare >= bar")
+        rest = cut(left.filter("spare > 0").select("query_id", "hash_id", "score"), "reaching")
+        more = shares(rest, ranked.filter("NOT essential").select("query_id", "term", "w"))
+        rest = rest.join(more, ["query_id", "hash_id"], "left").select("query_id", "hash_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        return top_k(left.filter("spare = 0").select("query_id", "hash_id", "score").unionByName(rest), k).select("query_id", "hash_id", "score", "rank")

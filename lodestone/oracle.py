@@ -137,6 +137,7 @@ ORACLE_SQL: dict[str, str] = {
     "vector_topk_filtered": _with(_P, _PV, _Q, _vec("t", 10, "lang = 'en'")) + _RANKED,
     "dense_fallback": _with(_P, _PV, _Q, _vec("t", 5, raw=True)) + _RANKED,
     "bm25_topk": _with(_P, _Q, _bm("t", 10)) + _RANKED,
+    "bm25_topk_stored": _with(_P, _Q, _bm("t", 10)) + _RANKED,
     "hybrid_retrieve": _with(_P, _PV, _Q, _hyb("t", 5, 20)) + "SELECT query_id, rank, hash_id, round(score, 6) AS score FROM t",
     "neighbor_expand": _with(_P, _NB, _M, _Q, _bm("hits", 20), _EXP, _EP, _NE) + "SELECT query_id, hash_id, ord FROM ne",
     "select_expansion_entities": _with(_P, _M, _Q, _bm("hits", 20), _EXP) + "SELECT query_id, entity_id, round(score, 6) AS score, rank FROM ex",

@@ -157,6 +157,11 @@ def _postings(c: Corpus) -> Postings:
 
 @_register
 def bm25_topk(c: Corpus) -> DataFrame:
+    return search.bm25_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
+
+
+@_register
+def bm25_topk_stored(c: Corpus) -> DataFrame:
     return _postings(c).search(c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
@@ -405,13 +410,13 @@ def _relevant(c: Corpus) -> DataFrame:
 
 @_register
 def recall_at_k(c: Corpus) -> DataFrame:
-    found = _postings(c).search(c.questions, 10)
+    found = search.bm25_topk(c.passages, c.questions, 10)
     return metrics.recall_at(found, _relevant(c), (1, 3, 5, 10)).select(_n("k").alias("k"), "questions", "any_at_k", "passage_recall_at_k", "all_at_k")
 
 
 @_register
 def target_positions(c: Corpus) -> DataFrame:
-    found = _postings(c).search(c.questions, 10)
+    found = search.bm25_topk(c.passages, c.questions, 10)
     return metrics.target_positions(found, _relevant(c)).select("query_id", "hash_id", _n("rank").alias("rank"))
 
 

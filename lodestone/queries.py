@@ -20,7 +20,7 @@ from lodestone.sources.pages import html_pages
 from lodestone.tables import cut
 
 #: Rows that an approximate vector query looks at.
-BREADTH = 500
+BREADTH = 1200
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 

@@ -162,6 +162,7 @@ ORACLE_SQL: dict[str, str] = {
     "candidate_merge": _with(_P, _PV, _Q, _bm("a", 8), _vec("b", 8))
     + """SELECT query_id, hash_id, ord FROM (SELECT query_id, hash_id, row_number() OVER (PARTITION BY query_id ORDER BY o, hash_id) AS ord FROM (
   SELECT query_id, hash_id, min(o) AS o FROM (SELECT query_id, hash_id, rank AS o FROM a UNION ALL SELECT query_id, hash_id, 1000 + rank FROM b) GROUP BY ALL)) WHERE ord <= 12""",
+    "name_occurrences": _with(_P, _M, _S, _E) + "SELECT hash_id, name, (length(text) - length(replace(text, name, ''))) // length(name) AS n FROM p, (SELECT DISTINCT name FROM le) WHERE contains(text, name)",
     "multi_kb_scan": _with(_P, _SNIP) + "SELECT kb, type, count(*) AS n, min(hash_id) AS first_id FROM (SELECT 'docs' AS kb, 'passage' AS type, hash_id FROM p UNION ALL SELECT 'dialog', role, hash_id FROM sn) GROUP BY ALL",
     "upsert_merge": _with(_SNIP)
     + """, new AS (SELECT hash_id, arg_max(conv_id, (conv_id, turn)) AS conv_id, arg_max(turn, (conv_id, turn)) AS turn FROM sn WHERE turn > 0 GROUP BY hash_id)

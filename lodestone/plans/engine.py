@@ -204,5 +204,5 @@ class Engine:
             raise ValueError("graph ranking embeds the questions' entities")
         names = names.withColumn("vector", self.embedder.encode(F.col("name")))
         entities = of["entity"].withColumn("name", F.col("text"))
-        run = graph.retrieve_full if mode == "linear" else graph.retrieve_local
+        run = graph.retrieve_linear if mode == "linear" else graph.retrieve_local
         return run(of["passage"], of["sentence"], entities, asked, names, k, self.config)

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from lodestone.functions import ids, text
 from lodestone.functions.ports import HashingEmbedder
 from lodestone.functions.vectors import dot
-from lodestone.operators import chunking, fusion, graph, ingest, metrics, search, store
+from lodestone.operators import activation, chunking, fusion, graph, ingest, metrics, search, store
 from lodestone.operators.cells import VectorCells
+from lodestone.operators.names import occurrences
 from lodestone.operators.postings import Postings
 from lodestone.operators.ranking import PLACES, ordered_distinct
 from lodestone.sources.corpus import Corpus
@@ -294,6 +295,23 @@ def retrieve_linear_local(c: Corpus) -> DataFrame:
     return graph.retrieve_local(*_graph_inputs(c), 5).select("query_id", _n("rank").alias("rank"), "hash_id", _r("score").alias("score"))
 
 
+@_register
+def retrieve_linear(c: Corpus) -> DataFrame:
+    return graph.retrieve_linear(*_graph_inputs(c), 5).select("query_id", _n("rank").alias("rank"), "hash_id", _r("score").alias("score"))
+
+
+@_register
+def entity_activation(c: Corpus) -> DataFrame:
+    _, lines, entities, questions, names = _graph_inputs(c)
+    weights, reached = activation.activated(cut(graph.seeds_full(names, entities), "seeds"), lines, questions, entities)
+    return weights.join(reached, ["query_id", "entity_id"]).select("query_id", "entity_id", _r("weight").alias("weight"), _r("score").alias("score"), _n("tier").alias("tier"))
+
+
+@_register
+def name_occurrences(c: Corpus) -> DataFrame:
+    return occurrences(c.passages, c.logical)
+
+
 @_register
 def multi_kb_scan(c: Corpus) -> DataFrame:
     p = c.passages.select(F.lit("docs").alias("kb"), F.lit("passage").alias("type"), "hash_id")

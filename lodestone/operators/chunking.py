@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import is_title, strip
+from lodestone.tables import cut
 
 #: Fixed value: the title of text before the first title.
 NO_TITLE = "无标题内容"
@@ -35,24 +38,44 @@ def chunks_by_title(pages: DataFrame, title=is_title) -> DataFrame:
     return rows.select("file", F.col("chunk").cast("long").alias("chunk"), F.coalesce("title", F.lit(NO_TITLE)).alias("title"), "page", text.alias("text"))
 
 
+def pack_starts(sizes: DataFrame, target: int) -> DataFrame:
+    """(f, i): which rows of ``sizes`` (f, i from 1, size) start a pack, where each pack takes rows until joining one more would pass ``target``.
+
+    Where a pack would end follows from where it starts: one sorted pass looks up the first row past the target for every
+    row. The packs of a file are then the rows reached from its first one, found by doubling the jumps: a file of
+    a million packs takes twenty rounds, and no row or group holds a file.
+    """
+    upto = F.sum(F.col("size") + 1).over(Window.partitionBy("f").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sizes.withColumn("p", upto)
+    ends = rows.select("f", "i", F.col("p").alias("v"), F.lit(0).alias("asks"))
+    asks = rows.select("f", "i", (F.col("p") - F.col("size") + 1 + target).alias("v"), F.lit(1).alias("asks"))
+    down = Window.partitionBy("f").orderBy(F.desc("v"), F.desc("asks"), F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    past = F.last(F.when(F.col("asks") == 0, F.col("i")), ignorenulls=True).over(down)
+    jumps = ends.unionByName(asks).withColumn("past", past).filter("asks = 1 AND past IS NOT NULL").select("f", "i", F.greatest("past", F.col("i") + 1).alias("to"))
+    hops, starts, new = cut(jumps, "jumps"), [], cut(sizes.filter("i = 1").select("f", "i"), "starts")
+    while not new.isEmpty():
+        starts.append(new)
+        reached = reduce(DataFrame.unionByName, starts)
+        new = cut(reached.join(hops, ["f", "i"]).select("f", F.col("to").alias("i")).join(sizes.select("f", "i"), ["f", "i"]), "starts")
+        hops = cut(hops.join(hops.select("f", F.col("i").alias("to"), F.col("to").alias("then")), ["f", "to"]).select("f", "i", F.col("then").alias("to")), "jumps")
+    return reduce(DataFrame.unionByName, starts) if starts else new
+
+
 def merged_chunks(chunks: DataFrame, above: int = MERGE_ABOVE, target: int = MERGE_CHARS) -> DataFrame:
     """Files with more than ``above`` chunks get neighbours packed up to ``target`` characters: file, chunk, title, page, text, parts.
 
-    A fold over one file's chunks in order, as each pack depends on the one before.
+    A pack has the title and page of its first chunk. Only lengths are sorted by file; texts meet in their pack, whose size ``target`` bounds.
     """
-    per = chunks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("chunk", "title", "page", "text"))).alias("cs"))
-    one = lambda c: F.struct(c["title"].alias("title"), c["page"].alias("page"), c["text"].alias("text"), F.lit(1).alias("parts"))
-    kind = "array<struct<title:string,page:bigint,text:string,parts:int>>"
-
-    def step(acc: Column, c: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat_ws("\n", last["text"], c["text"])
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["title"].alias("title"), last["page"].alias("page"), joined.alias("text"), (last["parts"] + 1).alias("parts"))))
-        return F.when((F.size(acc) > 0) & (F.length(F.get(acc, F.size(acc) - 1)["text"]) + F.length(c["text"]) <= target), longer).otherwise(F.concat(acc, F.array(one(c))))
-
-    packed = F.when(F.size("cs") > above, F.aggregate("cs", F.array().cast(kind), step)).otherwise(F.transform("cs", one).cast(kind))
-    rows = per.select("file", F.posexplode(packed).alias("chunk", "c"))
-    return rows.select("file", F.col("chunk").cast("long").alias("chunk"), "c.title", "c.page", "c.text", "c.parts")
+    held = cut(chunks.select(F.struct("file").alias("f"), "chunk", "title", "page", "text"), "chunks")  # a struct, as a file may be null
+    sizes = held.select("f", "chunk", F.length("text").cast("long").alias("size"))
+    order, whole = Window.partitionBy("f").orderBy("chunk"), Window.partitionBy("f")
+    sizes = cut(sizes.withColumns({"i": F.row_number().over(order).cast("long"), "n": F.count("*").over(whole)}), "sizes")
+    starts = pack_starts(sizes.filter(F.col("n") > above).select("f", "i", "size"), target).withColumn("starts", F.lit(1))
+    packs = sizes.join(starts, ["f", "i"], "left").withColumn("starts", F.when(F.col("n") > above, F.coalesce("starts", F.lit(0))).otherwise(1))
+    packs = packs.select("f", "chunk", (F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("pack"))
+    rows = held.join(packs, ["f", "chunk"]).groupBy("f", "pack").agg(F.array_sort(F.collect_list(F.struct("chunk", "title", "page", "text"))).alias("cs"))
+    first, text = F.get("cs", F.lit(0)), F.array_join(F.transform("cs", lambda c: c["text"]), "\n")
+    return rows.select("f.file", F.col("pack").cast("long").alias("chunk"), first["title"].alias("title"), first["page"].alias("page"), text.alias("text"), F.size("cs").alias("parts"))
 
 
 def page_spans(toc: DataFrame) -> DataFrame:

@@ -181,6 +181,15 @@ SELECT * FROM new UNION ALL SELECT hash_id, min(conv_id), 0 FROM sn WHERE turn =
         "ct AS (SELECT file, chunk, coalesce(max(CASE WHEN is_title THEN line END), '无标题内容') AS title, max(page) AS page, string_agg(CASE WHEN is_title THEN '# ' ELSE '' END || line, chr(10) ORDER BY page, line_no) AS text FROM ck GROUP BY ALL)",
     )
     + "SELECT file, chunk, title, page, length(text) AS n_chars, md5(text) AS text_md5 FROM ct",
+    "merge_small_chunks": _with(
+        "RECURSIVE " + _PAGE,
+        "ck AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY file ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS chunk FROM ln)",
+        "ct AS (SELECT file, chunk, coalesce(max(CASE WHEN is_title THEN line END), '无标题内容') AS title, max(page) AS page, sum(length(line) + CASE WHEN is_title THEN 3 ELSE 1 END) - 1 AS size FROM ck GROUP BY ALL)",
+        "cn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file ORDER BY chunk) AS i, count(*) OVER (PARTITION BY file) > 10 AS packed FROM ct)",
+        """walk AS (SELECT file, i, size AS held, 0::BIGINT AS pack FROM cn WHERE i = 1
+  UNION ALL SELECT w.file, c.i, CASE WHEN packed AND held + size <= 2000 THEN held + 1 + size ELSE size END, CASE WHEN packed AND held + size <= 2000 THEN pack ELSE pack + 1 END FROM walk w JOIN cn c ON c.file = w.file AND c.i = w.i + 1)""",
+    )
+    + "SELECT file, pack AS chunk, arg_min(title, i) AS title, arg_min(page, i) AS page, count(*) AS parts, (sum(size) + count(*) - 1)::BIGINT AS n_chars FROM walk JOIN cn USING (file, i) GROUP BY file, pack",
     "toc_page_span": _with(_TOC) + "SELECT file::BIGINT AS file, ord, 2 * ord AS page, coalesce(2 * lead(ord) OVER (PARTITION BY file ORDER BY ord), 99) AS end_page, title FROM toc",
     "toc_parent_titles": _with(
         "RECURSIVE " + _TOC,

@@ -384,7 +384,7 @@ def chunk_by_title(c: Corpus) -> DataFrame:
 @_register
 def merge_small_chunks(c: Corpus) -> DataFrame:
     rows = chunking.merged_chunks(chunking.chunks_by_title(_page_lines(c)), above=10)
-    return rows.select("file", "chunk", "title", "page", "parts", F.length("text").cast("long").alias("n_chars"))
+    return rows.select("file", "chunk", "title", "page", _n("parts").alias("parts"), F.length("text").cast("long").alias("n_chars"))
 
 
 @_register

@@ -86,6 +86,9 @@ ln AS (SELECT *, length(line) BETWEEN 1 AND 20 AND NOT regexp_matches(line, '[^\
     AND (len(regexp_extract_all(line, '\\p{L}')) >= 0.5 * len(regexp_extract_all(line, '\\S')))
     AND NOT regexp_matches(line, '^[\\p{N}〇零一二三四五六七八九十百千万亿]+$') AND regexp_matches(left(line, 5), '[\\p{N}〇零一二三四五六七八九十百千万亿]') AS is_title
   FROM ln1 WHERE line <> '')"""
+_HTML = """hp AS (SELECT page_id AS file, url, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g'), '(?i)<(br|/p|/h[1-6]|/li|/tr|/div|/article|/nav|/title)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS text FROM pages)"""
 _TOC = """toc AS (SELECT n_regionkey AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ord, n_name AS title, 1 + n_nationkey % 3 AS level FROM nation)"""
 _REL = "rel AS (SELECT query_id, hash_id FROM q JOIN p ON contains(p.text, q.text))"
 _SNIP = "sn AS (SELECT conv_id, turn, role, role || '-' || md5(text) AS hash_id FROM conversations)"
@@ -181,6 +184,24 @@ SELECT * FROM new UNION ALL SELECT hash_id, min(conv_id), 0 FROM sn WHERE turn =
         "ct AS (SELECT file, chunk, coalesce(max(CASE WHEN is_title THEN line END), '无标题内容') AS title, max(page) AS page, string_agg(CASE WHEN is_title THEN '# ' ELSE '' END || line, chr(10) ORDER BY page, line_no) AS text FROM ck GROUP BY ALL)",
     )
     + "SELECT file, chunk, title, page, length(text) AS n_chars, md5(text) AS text_md5 FROM ct",
+    "bm25_multi_field": _with(
+        _HTML,
+        _Q,
+        "ws AS (SELECT file::VARCHAR AS hash_id, text, url FROM hp)",
+        "aq AS (SELECT query_id, concat_ws(' ', text, 'http org example page') AS text FROM q)",
+        _bm("a", 10, "ws", "text", "aq", cut=False),
+        _bm("b", 10, "ws", "url", "aq", cut=False),
+        _top("t", "SELECT query_id, hash_id, round(max(score), 12) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL", 10),
+    )
+    + _RANKED,
+    "page_chunks": _with(
+        _HTML,
+        "pg AS (SELECT file, 1::BIGINT AS page, text FROM hp)",
+        _PAGE[_PAGE.index("ln0 AS") :],
+        "ck AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY file ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS chunk FROM ln)",
+    )
+    + """SELECT file, row_number() OVER (PARTITION BY file ORDER BY chunk) AS segment_id, coalesce(max(CASE WHEN is_title THEN line END), '无标题内容') AS title,
+  (sum(length(line) + CASE WHEN is_title THEN 3 ELSE 1 END) - 1)::BIGINT AS n_chars FROM ck GROUP BY file, chunk""",
     "merge_small_chunks": _with(
         "RECURSIVE " + _PAGE,
         "ck AS (SELECT *, sum(is_title::INT) OVER (PARTITION BY file ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS chunk FROM ln)",

@@ -35,4 +35,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"bm25_multi_field", "entity_activation", "page_chunks", "retrieve_linear", "retrieve_linear_local", "vector_topk_candidates"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"entity_activation", "retrieve_linear", "retrieve_linear_local", "vector_topk_candidates"}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import is_title, strip
+from lodestone.operators.edits import first_near
 from lodestone.tables import cut
 
 #: Fixed value: the title of text before the first title.
@@ -85,10 +86,9 @@ def page_spans(toc: DataFrame) -> DataFrame:
 
 
 def title_lines(toc: DataFrame, lines: DataFrame, most: int = 2) -> DataFrame:
-    """(file, ord, title, line_no): the first line on an entry's pages within ``most`` edits of its title."""
-    near = lines.join(page_spans(toc).select("file", "ord", "title", F.col("page").alias("first"), "end_page"), "file")
-    near = near.filter(F.col("page").between(F.col("first"), F.col("end_page")) & F.levenshtein("line", "title", most).between(0, most))
-    return near.groupBy("file", "ord", "title").agg(F.min(F.struct("page", "line_no")).alias("x")).select("file", "ord", "title", "x.page", "x.line_no")
+    """(file, ord, title, page, line_no): the first line on an entry's pages within ``most`` edits of its title."""
+    spans = page_spans(toc).select("file", "ord", "title", F.col("page").alias("first"), F.col("end_page").alias("last"))
+    return first_near(spans, lines, most)
 
 
 def parent_titles(toc: DataFrame) -> DataFrame:

@@ -182,17 +182,52 @@ def test_question_prompt_stands_before_what_is_embedded(spark, tmp_path):
     assert e._questions(q, True, e.config.question_prompt).first().vector == [8.0] and e._questions(q, True).first().vector == [3.0]
 
 
-def test_two_writers_of_one_version_do_not_lose_an_update(spark, tmp_path):
-    s = store.NodeStore(spark, f"file://{tmp_path}/kb")
+def test_writers_of_one_bucket_conflict_and_writers_of_others_both_commit(spark, tmp_path):
+    def put(s, now, *names):
+        rows = spark.createDataFrame([("k", n, f"text {n}") for n in names], "kb string, hash_id string, text string")
+        touched = [r[0] for r in rows.select(s._bucket(now)).distinct().collect()]
+        s._upsert("k", now, rows, touched, None)
+        return set(touched)
+
+    s, late = (store.NodeStore(spark, f"file://{tmp_path}/kb", buckets=8) for _ in range(2))
     s.create("k")
-    held = s.read(["k"])
-    numbers = s._numbers("k")
-    s._write("k", held)
-    late = store.NodeStore(spark, f"file://{tmp_path}/kb")
-    late._numbers = lambda kb: numbers  # read before the other writer was done
-    with pytest.raises(Exception):  # noqa: B017
-        late._write("k", held)
+    held, now = s.read(["k"]), s._current("k")
+    mine = put(s, now, "a")
     assert held.count() == 0 and s.exists("k")  # the frame from the version before still runs
+    other = next(n for n in "bcdefghij" if not mine & {r[0] for r in spark.createDataFrame([(n,)], "hash_id string").select(s._bucket(now)).collect()})
+    put(late, now, other)  # from the same manifest, another bucket
+    assert {r.hash_id for r in s.read(["k"]).collect()} == {"a", other}
+    before = s.version("k")
+    with pytest.raises(store.Conflict):
+        put(late, now, "a", "zz")
+    assert s.version("k") == before and s.read(["k"]).count() == 2
+
+
+def test_a_write_replaces_its_buckets_only(spark, tmp_path):
+    s = store.NodeStore(spark, f"file://{tmp_path}/kb", buckets=8)
+    rows = spark.range(200).selectExpr("'k' AS kb", "cast(id AS string) AS hash_id", "IF(id % 3 = 0, 'passage', 'entity') AS type", "concat('t', id) AS text", "cast(id % 7 AS string) AS file_id", "cast(null AS string) AS entity_id")
+    s.upsert("k", rows)
+    first = s._current("k")["held"]
+    reader = s.read(["k"])
+    s.upsert("k", spark.createDataFrame([("17", "entity", "new", 5, None)], "hash_id string, type string, text string, extra int, entity_id string"))
+    second = s._current("k")["held"]
+    assert len(first) == 8 and sum(first[b] != second[b] for b in first) == 1
+    got = {r.hash_id: (r.text, r.extra) for r in s.read(["k"]).collect()}
+    assert len(got) == 200 and got["17"] == ("new", 5) and got["18"] == ("t18", None)
+    assert reader.filter("hash_id = '17'").first().text == "t17"  # a reader of the version before
+    passages = s.read(["k"]).filter("type = 'passage'")
+    assert passages.count() == 67
+    scan = passages._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(type" in scan
+    assert s.delete_ids("k", ["17", "none"]) == 1 and s.delete_ids("k", ["none"]) == 0
+    third = s._current("k")["held"]
+    assert sum(second[b] != third.get(b) for b in second) == 1
+    assert s.delete_files("k", list(range(7))) == 199 and s.read(["k"]).count() == 0 and "extra" in s.read(["k"]).columns
+    s.upsert("k", spark.createDataFrame([("x", 5, "passage", None)], "hash_id string, extra long, type string, entity_id string"))
+    assert s.read(["k"]).dtypes[-1] == ("extra", "bigint") and s.read(["k"]).count() == 1
+    kept = {b for b, _ in s._current("k")["held"].items()}
+    assert len(kept) == 1 and len(s._numbers("k")) == 2
+    assert not (tmp_path / "kb" / "k" / f"version={first['0']}" / "_bucket=0").exists()
 
 
 def test_small_functions(spark):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.text import is_title, strip
 from lodestone.operators.edits import first_near
+from lodestone.operators.scan import following, open_levels, running
 from lodestone.tables import cut
 
 #: Fixed value: the title of text before the first title.
@@ -27,8 +28,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def chunks_by_title(pages: DataFrame, title=is_title) -> DataFrame:
     """(file, chunk, title, page, text): a title starts a chunk; its page is that of its last line."""
     lines = page_lines(pages).withColumn("is_title", title(F.col("line")))
-    order = Window.partitionBy("file").orderBy("page", "line_no")
-    lines = lines.withColumn("chunk", F.sum(F.col("is_title").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = running(lines.withColumn("starts", F.col("is_title").cast("int")), "file", ["page", "line_no"], {"chunk": "starts"})
     lines = lines.withColumn("shown", F.when(F.col("is_title"), F.concat(F.lit("# "), "line")).otherwise(F.col("line")))
     rows = lines.groupBy("file", "chunk").agg(
         F.max(F.when(F.col("is_title"), F.col("line"))).alias("title"),
@@ -81,8 +81,7 @@ def merged_chunks(chunks: DataFrame, above: int = MERGE_ABOVE, target: int = MER
 
 def page_spans(toc: DataFrame) -> DataFrame:
     """Entries (file, ord, level, title, page, last_page) with ``end_page``: the page of the next entry, at the end the file's last."""
-    order = Window.partitionBy("file").orderBy("ord")
-    return toc.withColumn("end_page", F.coalesce(F.lead("page").over(order), F.col("last_page")))
+    return following(toc, "file", ["ord"], "page", "_next").withColumn("end_page", F.coalesce("_next", "last_page")).drop("_next")
 
 
 def title_lines(toc: DataFrame, lines: DataFrame, most: int = 2) -> DataFrame:
@@ -94,19 +93,9 @@ def title_lines(toc: DataFrame, lines: DataFrame, most: int = 2) -> DataFrame:
 def parent_titles(toc: DataFrame) -> DataFrame:
     """Entries with ``parents``: titles of the enclosing entries, outermost first.
 
-    An entry's parents are, level by level, the nearest earlier entries of lower level: the last
-    entry of each level since one of a still lower level, kept in one running array.
+    Order within a file is by ``ord``, which no two of its entries share.
     """
-    order = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("level", "title")).over(order)
-
-    def step(acc: Column, x: Column) -> Column:
-        lower = lambda y: y["level"] < x["level"]
-        return F.concat(F.filter(acc, lower), F.array(x))
-
-    stack = F.aggregate(before, F.array().cast("array<struct<level:int,title:string>>"), step)
-    rows = toc.withColumn("_stack", stack)
-    return rows.withColumn("parents", F.transform(F.filter("_stack", lambda y: y["level"] < F.col("level")), lambda y: y["title"])).drop("_stack")
+    return open_levels(toc, "file", "ord")
 
 
 def sections(toc: DataFrame, pages: DataFrame) -> DataFrame:
@@ -130,4 +119,4 @@ def sections(toc: DataFrame, pages: DataFrame) -> DataFrame:
 
 def numbered(chunks: DataFrame) -> DataFrame:
     """Chunks with ``segment_id`` from 1 within their file."""
-    return chunks.withColumn("segment_id", F.row_number().over(Window.partitionBy("file").orderBy("chunk")).cast("long"))
+    return running(chunks, "file", ["chunk"]).withColumn("segment_id", F.col("place") + 1).drop("place")

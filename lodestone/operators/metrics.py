@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.scan import running
+
 
 def recall_at(rankings: DataFrame, targets: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
     """(k, questions, any_at_k, passage_recall_at_k, all_at_k) over questions with targets (query_id, hash_id)."""
@@ -99,15 +101,19 @@ def backfilled(cases: DataFrame, passages: DataFrame, limit: int, lengths: tuple
 
 
 def percentiles(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Median, and the element at ``n * p`` of the sorted values, by rank and not by collecting them."""
-    order = Window.partitionBy(group).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(group))
-    rows = rows.filter(F.col(value).isNotNull()).select(group, value, (F.row_number().over(order) - 1).alias("i"), n.alias("n"))
-    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
-    mid = (F.col("i") == F.floor((F.col("n") - 1) / 2)) | (F.col("i") == F.floor(F.col("n") / 2))
-    out = rows.groupBy(group).agg(
+    """Median, and the element at ``n * p`` of the sorted values: exact, from running counts of distinct values.
+
+    Equal values are counted before they are sorted and a group's values lie in many ranges, so no task sorts a group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    upto = running(counts, group, [value], {"upto": "c"}).withColumn("_g", F.struct(F.col(group).alias("x")))
+    sizes = upto.groupBy("_g").agg(F.max("upto").alias("n"))
+    upto = upto.join(sizes, "_g")
+    at = lambda i: F.max(F.when((i >= F.col("upto") - F.col("c")) & (i < F.col("upto")), F.col(value)))
+    place = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    out = upto.groupBy(group).agg(
         F.max("n").alias("n"),
-        F.avg(F.when(mid, F.col(value))).alias("median"),
-        *[F.max(F.when(F.col("i") == at(p), F.col(value))).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)],
+        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"),
+        *[at(place(p)).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)],
     )
     return out.select(group, "n", *[F.round(c, 6).alias(c) for c in ("median", "p50", "p95", "p99")])

@@ -105,11 +105,14 @@ def sections(toc: DataFrame, pages: DataFrame) -> DataFrame:
     """
     lines = page_lines(pages)
     starts = title_lines(toc, lines).withColumnRenamed("page", "at_page").withColumnRenamed("line_no", "at_line")
-    order = Window.partitionBy("file").orderBy("ord")
-    starts = starts.withColumns({"to_page": F.lead("at_page").over(order), "to_line": F.lead("at_line").over(order)}).join(parent_titles(toc).select("file", "ord", "parents"), ["file", "ord"])
-    after = F.struct("page", "line_no") >= F.struct("at_page", "at_line")
-    until = F.col("to_page").isNull() | (F.struct("page", "line_no") < F.struct(F.col("to_page").alias("page"), F.col("to_line").alias("line_no")))
-    rows = lines.join(starts, "file").filter(after & until)
+    starts = following(starts.withColumn("at", F.struct("at_page", "at_line")), "file", ["ord"], "at", "to")
+    last = lines.groupBy("file").agg(F.max("page").alias("last"))
+    starts = starts.join(last, "file").join(parent_titles(toc).select("file", "ord", "parents"), ["file", "ord"])
+    until = F.coalesce(F.col("to.at_page"), F.col("last")).cast("long")
+    held = F.when(until >= F.col("at_page"), F.sequence(F.col("at_page").cast("long"), until))  # lines meet a section by page
+    parts = starts.select("file", "ord", "title", "parents", "at", "to", F.explode(held).alias("page"))
+    here = F.struct(F.col("page").cast("long").alias("at_page"), F.col("line_no").alias("at_line"))
+    rows = lines.withColumn("page", F.col("page").cast("long")).join(parts, ["file", "page"]).filter((here >= F.col("at")) & (F.col("to").isNull() | (here < F.col("to"))))
     rows = rows.groupBy("file", "ord", "title", "parents").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))).alias("all"))
     text = F.array_join(F.concat("parents", F.transform("all", lambda x: x["line"])), "\n")
     good = rows.select("file", "ord", "title", text.alias("text")).filter(F.length("text") > SHORT)

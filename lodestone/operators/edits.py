@@ -70,17 +70,18 @@ def near_texts(asked: DataFrame, held: DataFrame, group: str, most: int = 2) ->
 
 def _blocks(first: Column, last: Column) -> Column:
     """The pages from ``first`` to ``last`` as few whole blocks (level, block); none if that is before ``first``."""
-    lo, hi, out = first.cast("long"), last.cast("long") + 1, []
-    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-    for level in range(LEVELS):
-        tag = lambda bs, level=level: F.transform(bs, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
-        if level == LEVELS - 1:
-            out.append(tag(span(lo, hi)))
-            break
-        up, down = F.shiftright(lo + (2**BITS - 1), BITS), F.shiftright(hi, BITS)
-        inner = up < down
-        out += [tag(span(lo, F.when(inner, F.shiftleft(up, BITS)).otherwise(hi))), tag(F.when(inner, span(F.shiftleft(down, BITS), hi)).otherwise(F.array().cast("array<bigint>")))]
-        lo, hi = F.when(inner, up).otherwise(F.lit(0).cast("long")), F.when(inner, down).otherwise(F.lit(0).cast("long"))
+    none = F.array().cast("array<bigint>")
+    up = [F.shiftright(first.cast("long") + (2 ** (BITS * i) - 1), BITS * i) for i in range(LEVELS)]
+    down = [F.shiftright(last.cast("long") + 1, BITS * i) for i in range(LEVELS)]
+    span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    out = []
+    for i in range(LEVELS):
+        found = span(up[i], down[i])
+        if i + 1 < LEVELS:  # what whole blocks of the next level hold is left to it
+            edges = F.concat(span(up[i], F.shiftleft(up[i + 1], BITS)), span(F.shiftleft(down[i + 1], BITS), down[i]))
+            found = F.when(up[i + 1] < down[i + 1], edges).otherwise(found)
+        level = F.lit(i).alias("level")
+        out.append(F.transform(found, lambda b: F.struct(level, b.alias("block"))))  # noqa: B023  called at once
     return F.concat(*out)
 
 
@@ -96,6 +97,8 @@ def first_near(entries: DataFrame, lines: DataFrame, most: int = 2) -> DataFrame
     at = at.join(texts, ["file", "held"]).groupBy("file", F.col("asked").alias("title"), "page").agg(F.min("line_no").alias("line_no"))
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("page", BITS * i).alias("block")) for i in range(LEVELS)])
     least = at.select("file", "title", F.inline(levels), F.struct("page", "line_no").alias("x")).groupBy("file", "title", "level", "block").agg(F.min("x").alias("x"))
-    asked = entries.select("file", "ord", "title", F.inline(_blocks(F.col("first"), F.col("last"))))
+    ends = lines.groupBy("file").agg(F.min("page").cast("long").alias("_lo"), F.max("page").cast("long").alias("_hi"))  # pages without lines make no blocks
+    entries = entries.filter("first IS NOT NULL AND last IS NOT NULL").join(ends, "file").withColumns({"first": F.greatest("first", "_lo"), "last": F.least("last", "_hi")})
+    asked = entries.filter("first <= last").select("file", "ord", "title", F.inline(_blocks(F.col("first"), F.col("last"))))
     found = asked.join(least, ["file", "title", "level", "block"]).groupBy("file", "ord", "title").agg(F.min("x").alias("x"))
     return found.select("file", "ord", "title", "x.page", "x.line_no")

@@ -218,6 +218,23 @@ SELECT * FROM new UNION ALL SELECT hash_id, min(conv_id), 0 FROM sn WHERE turn =
         "walk AS (SELECT file, ord, ord AS at, '' AS parents FROM toc UNION ALL SELECT w.file, w.ord, up.above, t.title || CASE WHEN w.parents = '' THEN '' ELSE '/' || w.parents END FROM walk w JOIN up ON up.file = w.file AND up.ord = w.at JOIN toc t ON t.file = w.file AND t.ord = up.above)",
     )
     + "SELECT file::BIGINT AS file, ord, title, arg_max(parents, length(parents)) AS parents FROM walk JOIN toc USING (file, ord) GROUP BY ALL",
+    "toc_sections": _with(
+        "RECURSIVE " + _HTML,
+        "st AS (SELECT *, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site FROM pages)",
+        "pl AS (SELECT site AS file, file AS page, regexp_replace(text, '[^ -~\\n]', '?', 'g') AS text FROM hp JOIN st ON page_id = file)",
+        "l0 AS (SELECT file, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM pl)",
+        "ls AS MATERIALIZED (SELECT file, page, line_no, trim(raw, ' ') AS line FROM l0 WHERE trim(raw, ' ') <> '')",
+        "h AS (SELECT site AS file, page_id AS ord, 1 + page_id % 3 AS level, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)', 1), '&amp;', '&'), '[^ -~\\n]', '?', 'g'), ' ') AS t FROM st)",
+        "toc AS MATERIALIZED (SELECT file, ord, level, CASE WHEN ord % 2 = 0 THEN substr(t, 2) ELSE t END AS title, ord AS page, coalesce(lead(ord) OVER (PARTITION BY file ORDER BY ord), 1099511627776) AS end_page FROM h WHERE t <> '')",
+        "hit AS (SELECT c.file, c.ord, min(struct_pack(p := ls.page, n := ls.line_no)) AS pos FROM toc c JOIN ls ON ls.file = c.file AND ls.page BETWEEN c.page AND c.end_page AND levenshtein(ls.line, c.title) <= 2 GROUP BY ALL)",
+        "cut AS (SELECT *, lead(pos) OVER (PARTITION BY file ORDER BY ord) AS til FROM hit)",
+        "up AS (SELECT c.file, c.ord, max(a.ord) AS above FROM toc c JOIN toc a ON a.file = c.file AND a.ord < c.ord AND a.level < c.level GROUP BY ALL)",
+        "walk AS (SELECT file, ord, ord AS at, '' AS parents FROM toc UNION ALL SELECT w.file, w.ord, up.above, t.title || chr(10) || w.parents FROM walk w JOIN up ON up.file = w.file AND up.ord = w.at JOIN toc t ON t.file = w.file AND t.ord = up.above)",
+        "par AS (SELECT file, ord, arg_max(parents, length(parents)) AS parents FROM walk GROUP BY ALL)",
+        "sec AS (SELECT c.file, c.ord, string_agg(line, chr(10) ORDER BY ls.page, ls.line_no) AS body FROM cut c JOIN ls ON ls.file = c.file AND struct_pack(p := ls.page, n := ls.line_no) >= pos AND (til IS NULL OR struct_pack(p := ls.page, n := ls.line_no) < til) GROUP BY ALL)",
+        "full_text AS (SELECT file, ord, title, parents || body AS text FROM sec JOIN par USING (file, ord) JOIN toc USING (file, ord))",
+    )
+    + "SELECT file, ord, title, length(text) AS n_chars, md5(text) AS text_md5 FROM full_text WHERE length(text) > 30",
     "fuzzy_title_match": """WITH w AS (SELECT word, row_number() OVER (ORDER BY word) AS n FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part))
 SELECT a.n AS ord, a.word AS title, min(b.n) AS line_no FROM w a JOIN w b ON levenshtein(a.word, b.word) <= 2 GROUP BY ALL""",
     "recall_at_k": _with(_P, _Q, _bm("t", 10), _REL)

@@ -411,6 +411,20 @@ def toc_parent_titles(c: Corpus) -> DataFrame:
     return chunking.parent_titles(_toc(c)).select(_n("file").alias("file"), _n("ord").alias("ord"), "title", F.array_join("parents", "/").alias("parents"))
 
 
+@_register
+def toc_sections(c: Corpus) -> DataFrame:
+    # a site is a file and its pages are that file's; their headings are its table of contents, with one letter lost or not
+    pages, plain = c.table("pages"), lambda x: F.regexp_replace(x, "[^ -~\\n]", "?")
+    site = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    texts = html_pages(pages).drop("page").join(pages.select(F.col("page_id").alias("file"), site.alias("site")), "file")
+    texts = texts.select(F.col("site").alias("file"), F.col("file").alias("page"), plain(F.col("text")).alias("text"))
+    title = text.strip(plain(F.replace(F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit("&amp;"), F.lit("&"))))
+    toc = pages.select(site.alias("file"), F.col("page_id").alias("ord"), (1 + F.col("page_id") % 3).cast("int").alias("level"), title.alias("title"), F.col("page_id").alias("page"))
+    toc = toc.filter("title <> ''").withColumn("title", F.when(F.col("ord") % 2 == 0, F.expr("substr(title, 2)")).otherwise(F.col("title"))).withColumn("last_page", F.lit(1 << 40))
+    rows = chunking.sections(toc, texts)
+    return rows.select("file", _n("ord").alias("ord"), "title", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @_register
 def fuzzy_title_match(c: Corpus) -> DataFrame:
     # the distinct words of part names, as the entries of one file's table of contents and as the lines of its page

@@ -6,16 +6,16 @@ results are (query_id, hash_id, score, rank).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import terms
 from lodestone.operators.nearest import nearest
 from lodestone.operators.ranking import reciprocal, top_k
+from lodestone.operators.scoring import SENT_TERMS, asked_terms, blocks, counted, scored
 from lodestone.tables import cut
 
-K1, B = 1.2, 0.75
-
 
 def predicate(filters: dict, types: dict[str, str]) -> Column:
     """All of ``filters``: a scalar means equality, a list any of it; on array columns containment and overlap."""
@@ -42,44 +42,43 @@ def vector_topk(passages: DataFrame, questions: DataFrame, k: int, raw_dot: bool
     return nearest(passages, questions, k, raw_dot=raw_dot)
 
 
-def bm25_scores(passages: DataFrame, questions: DataFrame, field: str = "text", statistics: DataFrame | None = None) -> DataFrame:
-    """(query_id, hash_id, score) by BM25 over ``field``; ``statistics`` (default: the passages) gives N, df and the mean length.
-
-    Each question counts a term once for each time that it has it. Texts are cut into terms once: lengths and the
-    postings of the terms that are asked for become tables.
-    """
-    asked = cut(questions.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked-terms")
+def _bm25(passages: DataFrame, questions: DataFrame, k: int | None, field: str, statistics: DataFrame | None) -> DataFrame:
+    asked = cut(asked_terms(questions), "asked-terms")
     wanted = asked.select("term").distinct()
+    terms = [r["term"] for r in wanted.limit(SENT_TERMS + 1).collect()]
 
     def lists(rows: DataFrame) -> DataFrame:
-        """(hash_id, dl, term, tf) of a table: its asked terms, and a row without a term for each passage."""
-        # the length is taken before the words are exploded, or it would be found again for each word
-        split = rows.select("hash_id", terms(F.col(field)).alias("w")).select("hash_id", F.size("w").cast("long").alias("dl"), F.concat(F.array(F.lit("")), F.coalesce("w", F.array().cast("array<string>"))).alias("w"))
-        each = split.select("hash_id", "dl", F.explode("w").alias("term"))
-        some = wanted.unionByName(wanted.sparkSession.createDataFrame([("",)], "term string"))
-        return cut(each.join(some, "term", "left_semi").groupBy("hash_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+        """The counted terms of a table, those that are asked for if they are few enough to send."""
+        held = cut(counted(rows, field, terms if len(terms) <= SENT_TERMS else None), "postings")
+        if held.groupBy("hash_id").count().filter("count > 1").isEmpty():
+            return held
+        each = held.select("hash_id", "dl", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("t")).groupBy("hash_id", "dl", F.col("t.terms").alias("term")).agg(F.sum("t.tfs").cast("int").alias("tf"))
+        one = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))  # the terms of one id
+        return cut(each.groupBy("hash_id", "dl").agg(one.alias("t")).select("hash_id", "dl", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs")), "postings")
 
     rows = lists(passages)
     base = rows if statistics is None else lists(statistics)
-    sizes = base.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = rows.filter("term <> ''")
-    df = base.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(sizes))  # sizes is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(weights.withColumn("idf", idf), "term")
-    saturation = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return postings.join(weighted, "term").groupBy("query_id", "hash_id").agg(F.sum(F.col("qtf") * F.col("idf") * saturation).alias("score"))
+    n, mean = base.agg(F.count("*"), F.avg("dl")).first()
+    df = cut(base.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi"), "frequencies")
+    return reduce(DataFrame.unionByName, [scored(rows, block, questions, k) for block in blocks(asked, df, n, mean)])
+
+
+def bm25_scores(passages: DataFrame, questions: DataFrame, field: str = "text", statistics: DataFrame | None = None) -> DataFrame:
+    """(query_id, hash_id, score) by BM25 over ``field``; ``statistics`` (default: the passages) gives N, df and the mean length.
+
+    Each question counts a term once for each time that it has it. Texts are cut into terms once: lengths and the
+    counts of the terms that are asked for become a table, a row a passage.
+    """
+    return _bm25(passages, questions, None, field, statistics)
 
 
 def bm25_topk(passages: DataFrame, questions: DataFrame, k: int, fields: tuple[str, ...] = ("text",), statistics: DataFrame | None = None) -> DataFrame:
     """The best field counts."""
-    scored = None
-    for f in fields:
-        one = bm25_scores(passages, questions, f, statistics)
-        scored = one if scored is None else scored.unionByName(one)
+    # a passage among the best has its greatest score in a field in which it is among the best
+    rows = reduce(DataFrame.unionByName, [_bm25(passages, questions, k, f, statistics) for f in fields])
     if len(fields) > 1:
-        scored = scored.groupBy("query_id", "hash_id").agg(F.max("score").alias("score"))
-    return top_k(scored, k).select("query_id", "hash_id", "score", "rank")
+        rows = rows.groupBy("query_id", "hash_id").agg(F.max("score").alias("score"))
+    return top_k(rows, k).select("query_id", "hash_id", "score", "rank")
 
 
 def hybrid(passages: DataFrame, questions: DataFrame, k: int, constant: int = 60, fields: tuple[str, ...] = ("text",), statistics: DataFrame | None = None) -> DataFrame:

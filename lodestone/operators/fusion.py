@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.operators.ranking import ordered_distinct, reciprocal, top_k
+from lodestone.operators.ranking import exact_sum, ordered_distinct, reciprocal, top_k
 from lodestone.operators.search import primary
 from lodestone.schema import Config
 from lodestone.tables import cut
@@ -23,7 +23,7 @@ def expansion_entities(hits: DataFrame, passages: DataFrame, most: int = 20) ->
     pairs = F.when(full, F.transform("entities", lambda e: F.struct(e["id"].alias("id"), F.coalesce(F.nullif(e["importance"], F.lit(0.0)), F.lit(1.0)).alias("w"))))
     pairs = pairs.otherwise(F.transform("entity_ids", lambda e: F.struct(e.alias("id"), F.lit(1.0).alias("w"))))
     each = rows.select("query_id", "rank", F.explode(pairs).alias("e")).select("query_id", F.col("e.id").alias("entity_id"), (F.col("e.w") / F.col("rank")).alias("w"))
-    total = each.groupBy("query_id", "entity_id").agg(F.sum("w").alias("score"))
+    total = each.groupBy("query_id", "entity_id").agg(exact_sum(F.col("w")).alias("score"))
     return top_k(total, most, tie="entity_id").select("query_id", "entity_id", "score", "rank")
 
 
@@ -66,7 +66,7 @@ def fuse(first: DataFrame, by_entity: DataFrame | None, by_neighbor: DataFrame |
         order = Window.partitionBy("query_id").orderBy("ord")
         ranked = by_neighbor.withColumn("rank", F.row_number().over(order))
         lists = lists.unionByName(ranked.select("query_id", "hash_id", reciprocal("rank", config.rrf_constant, w[2]).alias("s"), empty.alias("base"), empty.alias("entity")))
-    fused = lists.groupBy("query_id", "hash_id").agg(F.sum("s").alias("score"), F.max("base").alias("base_score"), F.max("entity").alias("entity_expansion_score"))
+    fused = lists.groupBy("query_id", "hash_id").agg(exact_sum(F.col("s")).alias("score"), F.max("base").alias("base_score"), F.max("entity").alias("entity_expansion_score"))
     return top_k(fused, k).select("query_id", "rank", "hash_id", "score", "base_score", "entity_expansion_score")
 
 

@@ -18,6 +18,13 @@ def top_k(rows: DataFrame, k: int, by: str | list[str] = "query_id", score: str
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles below 2^40, to 2^-56 each, that no order of summation changes: the whole and the fractional parts are summed as integers."""
+    high = F.floor(x * F.lit(float(1 << 16)))
+    low = F.floor((x * F.lit(float(1 << 16)) - high.cast("double")) * F.lit(float(1 << 40)))
+    return F.sum(high) / F.lit(float(1 << 16)) + F.sum(low) / F.lit(float(1 << 56))
+
+
 def ordered_distinct(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Each key once, with ``ord``: its first place."""
     return rows.groupBy(*keys).agg(F.min(order).alias("ord"))

@@ -153,12 +153,12 @@ def dense_fallback(c: Corpus) -> DataFrame:
 
 def _postings(c: Corpus) -> Postings:
     """Postings of the folder's texts; built by the query that asks first, as an index is, and then read."""
-    return Postings(c.spark, c.stored("postings", lambda path: Postings.build(c.embedded.select("hash_id", "text"), path)))
+    return Postings(c.spark, c.stored("postings", lambda path: Postings.build(c.texts.select("hash_id", "text"), path)))
 
 
 @_register
 def bm25_topk(c: Corpus) -> DataFrame:
-    return search.bm25_topk(c.embedded, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
+    return search.bm25_topk(c.texts, c.questions, 10).select("query_id", "hash_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
@@ -181,21 +181,21 @@ def hybrid_retrieve(c: Corpus) -> DataFrame:
 @_register
 def neighbor_expand(c: Corpus) -> DataFrame:
     rows = cut(ingest.with_entities(c.passages.select("hash_id", "previous_passage_id", "next_passage_id"), c.mentions), "passages")
-    hits = cut(search.bm25_topk(c.embedded, c.questions, 20), "hits")
+    hits = cut(search.bm25_topk(c.texts, c.questions, 20), "hits")
     by_entity = cut(fusion.entity_passages(fusion.expansion_entities(hits, rows), rows), "entity-hits")
     return fusion.neighbors(hits, by_entity, rows).select("query_id", "hash_id", _n("ord").alias("ord"))
 
 
 @_register
 def select_expansion_entities(c: Corpus) -> DataFrame:
-    rows = cut(ingest.with_entities(c.embedded.select("hash_id"), c.mentions), "passages")
-    return fusion.expansion_entities(search.bm25_topk(c.embedded, c.questions, 20), rows).select("query_id", "entity_id", _r("score").alias("score"), _n("rank").alias("rank"))
+    rows = cut(ingest.with_entities(c.texts.select("hash_id"), c.mentions), "passages")
+    return fusion.expansion_entities(search.bm25_topk(c.texts, c.questions, 20), rows).select("query_id", "entity_id", _r("score").alias("score"), _n("rank").alias("rank"))
 
 
 @_register
 def expand_entity_passages(c: Corpus) -> DataFrame:
-    rows = cut(ingest.with_entities(c.embedded.select("hash_id"), c.mentions), "passages")
-    chosen = fusion.expansion_entities(search.bm25_topk(c.embedded, c.questions, 20), rows)
+    rows = cut(ingest.with_entities(c.texts.select("hash_id"), c.mentions), "passages")
+    chosen = fusion.expansion_entities(search.bm25_topk(c.texts, c.questions, 20), rows)
     return fusion.entity_passages(chosen, rows).select("query_id", "hash_id", _n("rank").alias("rank"))
 
 
@@ -273,7 +273,7 @@ def seed_match_local(c: Corpus) -> DataFrame:
 
 @_register
 def candidate_merge(c: Corpus) -> DataFrame:
-    linked = search.bm25_topk(c.embedded, c.questions, 8).withColumnRenamed("rank", "ord")
+    linked = search.bm25_topk(c.texts, c.questions, 8).withColumnRenamed("rank", "ord")
     nearest = search.vector_topk(c.embedded, c.questions, 8)
     return graph.candidates(linked, nearest, 12).select("query_id", "hash_id", _n("ord").alias("ord"))
 
@@ -438,18 +438,18 @@ def fuzzy_title_match(c: Corpus) -> DataFrame:
 def _relevant(c: Corpus) -> DataFrame:
     """Passages that hold a benchmark item word for word."""
     asked = c.questions.select("query_id", F.col("text").alias("name"))
-    return occurrences(c.embedded.filter("text IS NOT NULL").select("hash_id", "text"), asked).join(asked, "name").select("query_id", "hash_id")
+    return occurrences(c.texts.filter("text IS NOT NULL").select("hash_id", "text"), asked).join(asked, "name").select("query_id", "hash_id")
 
 
 @_register
 def recall_at_k(c: Corpus) -> DataFrame:
-    found = search.bm25_topk(c.embedded, c.questions, 10)
+    found = search.bm25_topk(c.texts, c.questions, 10)
     return metrics.recall_at(found, _relevant(c), (1, 3, 5, 10)).select(_n("k").alias("k"), "questions", "any_at_k", "passage_recall_at_k", "all_at_k")
 
 
 @_register
 def target_positions(c: Corpus) -> DataFrame:
-    found = search.bm25_topk(c.embedded, c.questions, 10)
+    found = search.bm25_topk(c.texts, c.questions, 10)
     return metrics.target_positions(found, _relevant(c)).select("query_id", "hash_id", _n("rank").alias("rank"))
 
 

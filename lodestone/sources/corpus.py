@@ -64,11 +64,15 @@ class Corpus:
         rows = ingest.with_entities(self.passages, self.mentions)
         return rows.join(self.vectors, "doc_id", "left")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Ids and texts alone; all that search by words reads."""
+        return self.segments.select("doc_id", "lang", "text", ids.passage_id(ids.source_key(F.col("bucket_name"), F.col("file_path"), F.col("file_name"), F.col("file_id")), F.col("segment_id"), F.col("text")).alias("hash_id"))
+
     @cached_property
     def embedded(self) -> DataFrame:
-        """Ids, texts and vectors alone; all that search without expansion reads."""
-        rows = self.segments.select("doc_id", "lang", "text", ids.passage_id(ids.source_key(F.col("bucket_name"), F.col("file_path"), F.col("file_name"), F.col("file_id")), F.col("segment_id"), F.col("text")).alias("hash_id"))
-        return rows.join(self.vectors, "doc_id", "left")
+        """The same with vectors; all that search without expansion reads."""
+        return self.texts.join(self.vectors, "doc_id", "left")
 
     @cached_property
     def sentences(self) -> DataFrame:

@@ -1,17 +1,16 @@
 """License scans with a trained paragraph classifier.
 
-A paragraph is a line of a document. Its features are the hashed 1-, 2- and 3-word runs of its
-lower-case words; sparse multinomial logistic regression over license families and an unknown class
+A paragraph is a line of a document. Its features are those 1-, 2- and 3-word runs of its
+lower-case words that the fixed texts below hold; sparse multinomial logistic regression over license families and an unknown class
 tells what it is. The model is trained on the driver from the templates below (in full, and
 in excerpts of every length) and, as the unknown class, from near misses and a bounded sample of the table's
 own paragraphs; an L1 penalty leaves few weights. The unknown class is calibrated on wordings that are not trained
 on: a temperature is fitted to their likelihood, and a family needs a probability of ``LEAST_PROBABILITY``.
 
-Scanning is DataFrame expressions over every whole text. A paragraph without any of the fixed ``CUES`` is
-unknown, whatever the table holds, and runs of words without a cue are no features, so the filter drops
-nothing that the model could accept; the features of the others meet the
-model's non-zero weights in one join, whose small side is bounded by the number of hash
-buckets. The family found is then confirmed by comparison with the templates: the share of the
+Scanning is DataFrame expressions over every whole text, and the model scores every paragraph: the hashes
+(64 bits) of all its runs meet the features in one broadcast join, whose small side the fixed texts
+bound. A paragraph that holds no feature is unknown, as the bias of that class is the greatest. Weights are multiples
+of 2^-20, so that no order of summation changes a score. The family found is then confirmed by comparison with the templates: the share of the
 paragraph's word pairs that stand in its own, if no other family's have more of them and one
 pair stands in no other family's. Text that families share confirms none of them.
 
@@ -25,21 +24,18 @@ from __future__ import annotations
 import math
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.llm.draw import least
-from lodestone.tables import cut
 
-BUCKETS = 1 << 16
 SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 2000, 2000
 LEAST_PROBABILITY, LEAST_SHARED = 0.5, 0.6
 STEPS, L1, SEED = 12, 3e-4, 11
+#: Weights are multiples of 1 / GRAIN; of a sum over pairs, the part below HALF counts a family's pairs and the rest those that no other has.
+GRAIN, HALF = 1 << 20, 1 << 20
 _NOT_WORD = "[^a-z0-9]+"
 
 #: Public wordings of licenses, by family.
@@ -195,36 +191,29 @@ NEAR_MISSES = [
     "The fishing license is valid for any purpose at the lake.", "The work is licensed to the theatre for one season.", "A public license office opened in the town.", "The terms of the license are secret.",
     "The version of the contract was changed.", "The bsd meeting was moved to Monday.", "Rights of way are reserved for farmers.", "Permission was hereby refused to every person in the room.",
 ]
-#: Words of which a paragraph must hold one to be looked at, and each feature of the model, too. "mit" is a German word; in capitals it is a cue (``_MIT``).
-CUES = sorted(
-    "agpl apache apl boost bsd bsl cc cc0 commons contributors copies copyright creative creativecommons derivatives disclaimer disclaims eclipse endorse epl fsf gnu gpl isc lgpl liable licence licenced "
-    "license licensed licenses licensing merchantability misrepresented mozilla mpl noderivatives noncommercial noninfringement permission permitted redistribute redistribution redistributions reserved rights "
-    "sharealike spdx sublicense unencumbered unlicense waived warranties warranty zlib".split()
-)
-_MIT = r"(?<![A-Za-z0-9])MIT(?![A-Za-z0-9])|(?i:(?<![a-z0-9])the[^a-z0-9]+mit(?![a-z0-9]))"
-
-
-#: Words that tell families apart beside a cue but are common ones by themselves.
-BESIDE = {"mit", "nc", "nd", "sa"}
-
 
 def tokens(text: str) -> list[str]:
     """The lower-case words of a paragraph; letters beyond ASCII separate."""
     return [w for w in re.split(_NOT_WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
 
 
-def grams(words: list[str]) -> set[int]:
-    """The buckets of the runs of one to three words."""
-    return {zlib.crc32(" ".join(words[i : i + n]).encode()) % BUCKETS for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+def grams(words: list[str]) -> set[str]:
+    """The runs of one to three words."""
+    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
 
+#: The runs that may be features: those of the fixed texts. A table's own runs are none, so it cannot make the model grow.
+FEATURES = frozenset().union(*(grams(tokens(t)) for ts in [*TEMPLATES.values(), *HELD_OUT.values(), NEAR_MISSES] for t in ts))
+#: The words of the features: a paragraph without any of them holds no feature. "mit" in capitals needs no rule of its own.
+CUES, _MIT = sorted(f for f in FEATURES if " " not in f), r"(?<![A-Za-z0-9])MIT(?![A-Za-z0-9])"
 
-def _idle() -> set[int]:
-    """The buckets of the templates' runs without a cue."""
-    cue, names = set(CUES), BESIDE
-    return {x for ts in TEMPLATES.values() for t in ts for w in [tokens(t)] for n in (1, 2, 3) for i in range(len(w) - n + 1) if not (cue | names) & set(w[i : i + n]) for x in grams(w[i : i + n])}
 
+def _idle() -> set[str]:
+    """The templates' runs that the model does not use: none."""
+    return {x for ts in TEMPLATES.values() for t in ts for x in grams(tokens(t))} - FEATURES
 
-def _examples() -> list[tuple[set[int], str]]:
+
+def _examples() -> list[tuple[set[str], str]]:
     """Templates and their excerpts of five words or more, and the first half of the near misses."""
     chance, out = random.Random(SEED), []
     for family, texts in TEMPLATES.items():
@@ -239,12 +228,12 @@ def _examples() -> list[tuple[set[int], str]]:
 
 
 class Model:
-    """Weights by bucket, biases, and the temperature that calibrates both."""
+    """Weights by run, biases, and the temperature that calibrates both."""
 
     def __init__(self, families: list[str]):
         self.families, self.weights, self.bias, self.temperature = families, defaultdict(lambda: [0.0] * len(families)), [0.0] * len(families), 1.0
 
-    def scores(self, x: set[int]) -> list[float]:
+    def scores(self, x: set[str]) -> list[float]:
         out = list(self.bias)
         for f in x:
             if f in self.weights:
@@ -252,7 +241,7 @@ class Model:
                     out[k] += w
         return out
 
-    def chances(self, x: set[int], temperature: float | None = None) -> list[float]:
+    def chances(self, x: set[str], temperature: float | None = None) -> list[float]:
         s = [v / (temperature or self.temperature) for v in self.scores(x)]
         e = [math.exp(v - max(s)) for v in s]
         return [v / sum(e) for v in e]
@@ -262,11 +251,11 @@ def train(background: list[str]) -> Model:
     """Stochastic AdaGrad with an L1 penalty on templates and nine tenths of the background; the temperature from wordings that are not trained on."""
     model = Model([*TEMPLATES, UNKNOWN])
     number = {f: i for i, f in enumerate(model.families)}
-    idle, known = _idle(), [(grams(w), UNKNOWN) for w in map(tokens, background) if w]
+    known = [(grams(w), UNKNOWN) for w in map(tokens, background) if w]
     unseen = known[::10] + [(grams(tokens(t)), UNKNOWN) for t in NEAR_MISSES[len(NEAR_MISSES) // 2 :]]
     unseen += [(grams(tokens(t)), f) for f, ts in HELD_OUT.items() for t in ts]
     rows = _examples() + [x for i, x in enumerate(known) if i % 10]
-    fit, held = ([(x - idle, number[f]) for x, f in part if x - idle or f == UNKNOWN] for part in (rows, unseen))
+    fit, held = ([(sorted(x & FEATURES), number[f]) for x, f in part] for part in (rows, unseen))
     sums: dict = defaultdict(lambda: [1e-6] * len(number))
     for turn in range(STEPS):
         random.Random(SEED + turn).shuffle(fit)
@@ -284,6 +273,9 @@ def train(background: list[str]) -> Model:
                     model.weights[f][k] = math.copysign(max(0.0, abs(w) - rate * L1), w)
     for f in [f for f, w in model.weights.items() if max(map(abs, w)) < 1e-3]:
         del model.weights[f]
+    for w in [*model.weights.values(), model.bias]:
+        w[:] = [round(v * GRAIN) / GRAIN for v in w]
+    model.bias[number[UNKNOWN]] = max(model.bias) + 1 / GRAIN  # without features nothing speaks for a family
     loss = lambda t: -sum(math.log(max(1e-12, model.chances(x, t)[y])) for x, y in held)
     model.temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss)
     return model
@@ -315,38 +307,39 @@ def unlike_templates(sample: list[str]) -> list[str]:
 def scan(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, shared, confirmed): every paragraph that ``model`` (by default one trained beside the table) gives to a family."""
     spark = documents.sparkSession
-    model, cue = model or train(unlike_templates(background(documents))), F.array(*map(F.lit, CUES))
-    cued = lambda text, w: F.arrays_overlap(w, cue) | text.rlike(_MIT)
-    rows = documents.filter("text IS NOT NULL").filter(cued(F.col("text"), _words(F.col("text"))))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("ls"))
-    lines = rows.select("doc_id", "th", F.posexplode("ls").alias("paragraph", "line"))
-    lines = lines.withColumn("w", _words(F.col("line"))).filter(cued(F.col("line"), F.col("w"))).dropDuplicates(["doc_id", "th", "paragraph"])
-    lines = lines.select("doc_id", "paragraph", "w").withColumn("row", F.monotonically_increasing_id())
-    lines = cut(lines, "license-paragraphs").withColumn("n", F.size("w"))
-    run = lambda n: F.when(F.col("n") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    key = ["row"]
-    held = lines.withColumn("all", F.array_distinct(F.concat(run(1), run(2), run(3)))).withColumn("pairs", F.array_distinct(F.when(F.col("n") > 1, run(2)).otherwise(run(1))))
-    buckets = F.array_distinct(F.transform("all", lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(BUCKETS)).cast("int")))
-
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    weights = spark.createDataFrame([(f, list(map(float, w))) for f, w in sorted(model.weights.items())], schema)
-    count = len(model.families)
-    met = held.select(*key, F.explode(buckets).alias("bucket")).join(F.broadcast(weights), "bucket")  # at most BUCKETS rows
-    sums = met.groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(count)])
-    scores = F.array(*[(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + model.bias[k]) / model.temperature for k in range(count)])
-    total = held.join(sums, key).withColumn("s", scores)
+    model = model or train(unlike_templates(background(documents)))
+    known = {f: set().union(*(_pairs(tokens(t)) for t in texts)) for f, texts in TEMPLATES.items()}
+    holders, families = Counter(p for pairs in known.values() for p in pairs), list(known)
+    none = [0.0] * len(model.families)
+    runs = [(r, r.count(" ") + 1, list(map(float, model.weights.get(r, none))), [(r in known[f]) + HALF * (r in known[f] and holders[r] == 1) for f in families]) for r in sorted(model.weights.keys() | holders.keys())]
+    features = spark.createDataFrame(runs, "run string, size int, weights array<double>, held array<long>")
+    word = [F.get(F.split("run", " "), F.lit(i)) for i in range(3)]
+    features = features.withColumn("h", F.when(F.col("size") == 1, F.xxhash64(word[0])).when(F.col("size") == 2, F.xxhash64(*word[:2])).otherwise(F.xxhash64(*word))).drop("run")
+
+    rows = documents.filter("text IS NOT NULL").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("ls"))
+    lines = rows.select("row", "doc_id", "th", F.posexplode("ls").alias("paragraph", "line"))
+    lines = lines.select("row", "doc_id", "th", "paragraph", F.explode(F.array(_words(F.col("line")))).alias("w"))  # what a generator gives out is not computed anew for each run
+    at, n = lambda i: F.get("w", i), F.size("w")
+    ends = lambda x, i: F.array(F.xxhash64(x), F.when(i + 1 < n, F.xxhash64(x, at(i + 1))), F.when(i + 2 < n, F.xxhash64(x, at(i + 1), at(i + 2))))
+    every = F.array_distinct(F.flatten(F.transform("w", ends)))
+    two = F.array_distinct(F.transform(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), lambda x, i: F.xxhash64(x, at(i + 1))))
+    of = F.when(n > 1, F.size(two)).otherwise(n)
+    key = ["row", "paragraph", "doc_id", "th", "own_pairs"]
+    lines = lines.select(*key[:4], F.inline(F.array(F.struct(every.alias("every"), of.alias("own_pairs"), n.alias("n")))))
+    met = lines.select(*key, "n", F.explode("every").alias("h")).join(F.broadcast(features), "h")  # the fixed texts bound it
+    count, counts = len(model.families), F.col("size") == F.least(F.col("n"), F.lit(2))  # pairs, of a single word the word
+    sums = met.groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(count)], *[F.sum(F.when(counts, F.col("held")[k])).alias(f"p{k}") for k in range(len(families))])
+    scores = F.array(*[(F.col(f"s{k}") + model.bias[k]) / model.temperature for k in range(count)])
+    total = sums.withColumn("s", scores)
     top = F.array_max("s")
     total = total.withColumn("best", F.array_position("s", top).cast("int")).withColumn("probability", 1 / F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("s"))))
     family = F.element_at(F.array(*map(F.lit, model.families)), F.col("best"))
-    total = total.withColumn("family", family).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
-
-    known = {f: set().union(*(_pairs(tokens(t)) for t in texts)) for f, texts in TEMPLATES.items()}
-    holders = Counter(p for pairs in known.values() for p in pairs)
-    listed = lambda pairs: F.array(*map(F.lit, sorted(pairs)))
-    of_family = lambda value: reduce(lambda c, f: c.when(F.col("family") == f, value(f)), known, F.when(F.lit(False), value(model.families[0])))
-    common = lambda f: F.size(F.array_intersect("pairs", listed(known[f])))
-    own, most = of_family(common), F.greatest(*map(common, known))
-    named = of_family(lambda f: F.arrays_overlap("pairs", listed(p for p in known[f] if holders[p] == 1)))
-    shared = own / F.size("pairs")
-    total = total.withColumn("shared", F.round(shared, 6)).withColumn("confirmed", (F.col("shared") >= LEAST_SHARED) & (own == most) & named)
+    total = total.withColumn("family", family).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY)).dropDuplicates(["doc_id", "th", "paragraph"])
+
+    pairs = [F.coalesce(F.col(f"p{k}"), F.lit(0)) for k in range(len(families))]
+    common = F.transform(F.array(*pairs), lambda x: x % HALF)
+    number = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("int")
+    own, named = F.element_at(common, number), F.element_at(F.array(*pairs), number) >= HALF
+    shared = own / F.col("own_pairs")
+    total = total.withColumn("shared", F.round(shared, 6)).withColumn("confirmed", (F.col("shared") >= LEAST_SHARED) & (own == F.array_max(common)) & named)
     return total.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), "shared", "confirmed")

@@ -434,6 +434,12 @@ def test_license_scan_is_that_of_brute_force(spark):
     assert not any(len(UNSEEN) <= i < len(UNSEEN) + len(NO_LICENSE) for i, _ in confirmed if i is not None)
 
 
+def test_license_scan_scores_paragraphs_without_a_word_of_licenses(spark):
+    rows = [(1, prose(30) + "\n" + license_scan.TEMPLATES["Unlicense"][1]), (2, prose(30)), (3, "\u6587\u5b57")]  # "Anyone is free to copy ...", for which there was no cue
+    d = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    assert [(r.doc_id, r.paragraph, r.family, r.shared, r.confirmed) for r in license_scan.scan(d).collect()] == [(1, 1, "Unlicense", 1.0, True)]
+
+
 # --- 8
 
 

@@ -33,3 +33,11 @@ def test_names_of_lines_are_found_once(spark):
     found = spark.createDataFrame([("h", "Cdefgh")], "hash_id string, name string")
     rows = spark.createDataFrame([("h", "k", "f")], "hash_id string, source_key string, file_id string")
     assert {r.name for r in ingest.entity_nodes(found, rows, lines).collect()} == {"Abcdef", "Bcdefg", "Cdefgh"} and n.value == 2
+
+
+def test_edges_count_names_once(spark):
+    rows = spark.createDataFrame([("p", "a b a", [("e1", "a", 1, 1.0), ("e2", "b", 1, 1.0)], "q"), ("q", "x", [], None)], f"hash_id string, text string, entities {ENTITY}, next_passage_id string")
+    got = graph.edges(rows)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1
+    one = {("p", "e1", 2 / 3), ("p", "e2", 1 / 3), ("p", "q", 1.0)}
+    assert set(map(tuple, got.collect())) == one | {(b, a, w) for a, b, w in one}

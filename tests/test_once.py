@@ -41,3 +41,14 @@ def test_edges_count_names_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1
     one = {("p", "e1", 2 / 3), ("p", "e2", 1 / 3), ("p", "q", 1.0)}
     assert set(map(tuple, got.collect())) == one | {(b, a, w) for a, b, w in one}
+
+
+def test_a_word_is_hashed_once(spark):
+    ports._hashed_word.cache_clear()
+    assert ports._hashed_word("w", 64) == ports._hashed_word("w", 64) and ports._hashed_word.cache_info().misses == 1
+    v = np.zeros(64)
+    for w in "one two one three".split():
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        v[h % 64] += 1.0 if h >> 63 else -1.0
+    rows = spark.createDataFrame([(0, "One two one three"), (1, None)], "i int, t string").withColumn("v", ports.HashingEmbedder().encode("t")).orderBy("i").collect()
+    assert rows[0].v == (v / np.linalg.norm(v)).astype(np.float32).tolist() and rows[1].v == [0.0] * 64

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.text import is_title, strip
 from lodestone.operators.edits import first_near
 from lodestone.operators.scan import following, open_levels, running
-from lodestone.tables import cut
+from lodestone.tables import cut, release
 
 #: Fixed value: the title of text before the first title.
 NO_TITLE = "无标题内容"
@@ -27,7 +27,12 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 def chunks_by_title(pages: DataFrame, title=is_title) -> DataFrame:
     """(file, chunk, title, page, text): a title starts a chunk; its page is that of its last line."""
-    lines = page_lines(pages).withColumn("is_title", title(F.col("line")))
+    return _line_chunks(page_lines(pages), title)
+
+
+def _line_chunks(lines: DataFrame, title=is_title) -> DataFrame:
+    """The chunks of :func:`chunks_by_title` from lines (file, page, line_no, line)."""
+    lines = lines.withColumn("is_title", title(F.col("line")))
     lines = running(lines.withColumn("starts", F.col("is_title").cast("int")), "file", ["page", "line_no"], {"chunk": "starts"})
     lines = lines.withColumn("shown", F.when(F.col("is_title"), F.concat(F.lit("# "), "line")).otherwise(F.col("line")))
     rows = lines.groupBy("file", "chunk").agg(
@@ -102,8 +107,9 @@ def sections(toc: DataFrame, pages: DataFrame) -> DataFrame:
     """(file, ord, title, text): entries' text between their title's line and the next one's, under their parents' headings.
 
     Chunks of at most ``SHORT`` characters are dropped; files of which nothing is left are cut by titles instead.
+    Pages are parsed once, into a table of lines that goes when the sections and chunks are tables, too.
     """
-    lines = page_lines(pages)
+    lines = cut(page_lines(pages), "page-lines")
     starts = title_lines(toc, lines).withColumnRenamed("page", "at_page").withColumnRenamed("line_no", "at_line")
     starts = following(starts.withColumn("at", F.struct("at_page", "at_line")), "file", ["ord"], "at", "to")
     last = lines.groupBy("file").agg(F.max("page").alias("last"))
@@ -115,8 +121,9 @@ def sections(toc: DataFrame, pages: DataFrame) -> DataFrame:
     rows = lines.withColumn("page", F.col("page").cast("long")).join(parts, ["file", "page"]).filter((here >= F.col("at")) & (F.col("to").isNull() | (here < F.col("to"))))
     rows = rows.groupBy("file", "ord", "title", "parents").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))).alias("all"))
     text = F.array_join(F.concat("parents", F.transform("all", lambda x: x["line"])), "\n")
-    good = rows.select("file", "ord", "title", text.alias("text")).filter(F.length("text") > SHORT)
-    plain = chunks_by_title(pages.join(good.select("file").distinct(), "file", "left_anti"))
+    good = cut(rows.select("file", "ord", "title", text.alias("text")).filter(F.length("text") > SHORT), "sections")
+    plain = _line_chunks(lines.join(good.select("file").distinct(), "file", "left_anti"))  # dealt to ranges, and so a table, here
+    release(lines)
     return good.unionByName(plain.select("file", F.col("chunk").cast("int").alias("ord"), "title", "text"))
 
 

@@ -90,10 +90,14 @@ def first_near(entries: DataFrame, lines: DataFrame, most: int = 2) -> DataFrame
     ``first`` to ``last`` within ``most`` edits of the title; entries without one are left out.
 
     Distinct titles meet distinct lines; first lines are then kept by blocks of pages, and an entry looks up the few
-    blocks its pages consist of: no join on a range, and no window or group over a file.
+    blocks its pages consist of: no join on a range, and no window or group over a file. Lines of a length that is not within
+    ``most`` of any title's are near none and drop out first; of lengths there are no more than the longest title has characters.
     """
-    texts = near_texts(entries.select("file", F.col("title").alias("asked")), lines.select("file", F.col("line").alias("held")), "file", most)
-    at = lines.groupBy("file", F.col("line").alias("held"), F.col("page").cast("long").alias("page")).agg(F.min("line_no").alias("line_no"))
+    n = F.length("title")
+    lengths = entries.select(F.explode(F.sequence(n - most, n + most)).alias("_n")).distinct()
+    some = lines.join(F.broadcast(lengths), F.length("line") == F.col("_n"), "left_semi")
+    texts = near_texts(entries.select("file", F.col("title").alias("asked")), some.select("file", F.col("line").alias("held")), "file", most)
+    at = some.groupBy("file", F.col("line").alias("held"), F.col("page").cast("long").alias("page")).agg(F.min("line_no").alias("line_no"))
     at = at.join(texts, ["file", "held"]).groupBy("file", F.col("asked").alias("title"), "page").agg(F.min("line_no").alias("line_no"))
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.shiftright("page", BITS * i).alias("block")) for i in range(LEVELS)])
     least = at.select("file", "title", F.inline(levels), F.struct("page", "line_no").alias("x")).groupBy("file", "title", "level", "block").agg(F.min("x").alias("x"))

@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 
 from lodestone.functions import ports
-from lodestone.operators import graph, ingest
+from lodestone.operators import chunking, edits, graph, ingest
 from lodestone.operators.names import occurrences
 
 ENTITY = "array<struct<id:string,name:string,count:int,importance:double>>"
@@ -52,3 +52,18 @@ def test_a_word_is_hashed_once(spark):
         v[h % 64] += 1.0 if h >> 63 else -1.0
     rows = spark.createDataFrame([(0, "One two one three"), (1, None)], "i int, t string").withColumn("v", ports.HashingEmbedder().encode("t")).orderBy("i").collect()
     assert rows[0].v == (v / np.linalg.norm(v)).astype(np.float32).tolist() and rows[1].v == [0.0] * 64
+
+
+def test_pages_are_parsed_once(spark):
+    pages, n = _seen(spark, spark.createDataFrame([("f", 1, "Alpha\nsome text that is long enough to stay here"), ("g", 1, "no title")], "file string, page long, text string"))
+    toc = spark.createDataFrame([("f", 1, 1, "Alpha", 1, 2)], "file string, ord int, level int, title string, page int, last_page int")
+    got = chunking.sections(toc, pages).orderBy("file").collect()
+    assert [(r.file, r.text) for r in got] == [("f", "Alpha\nsome text that is long enough to stay here"), ("g", "no title")] and n.value == 2
+
+
+def test_lines_of_no_titles_length_get_no_keys(spark, monkeypatch):
+    held, near = [], edits.near_texts
+    monkeypatch.setattr(edits, "near_texts", lambda a, h, *rest: held.extend(r.held for r in h.collect()) or near(a, h, *rest))
+    lines = [("f", 1, i, "x" * n) for i, n in enumerate((2, 3, 5, 7, 8, 300))]
+    found = chunking.title_lines(spark.createDataFrame([("f", 1, "xxxxx", 1, 2), ("f", 2, None, 2, 2)], "file string, ord int, title string, page int, last_page int"), spark.createDataFrame(lines, "file string, page int, line_no int, line string"))
+    assert sorted(map(len, held)) == [3, 5, 7] and [(r["ord"], r.line_no) for r in found.collect()] == [(1, 1)]

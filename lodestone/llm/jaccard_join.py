@@ -422,11 +422,27 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, that with the least id; documents with the empty set stay, rows that are alike count once."""
-    rows = grouped(docs)
-    first = rows.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "key", "th")).alias("x"))
-    keep = first.select("x.doc_id", "x.th").unionByName(rows.filter("n_shingles = 0").select("doc_id", "th")).distinct()
-    keep = keep.select(F.col("doc_id").alias("_id"), F.col("th").alias("_kept"))
+    """``docs`` with one document of each group, that with the least id; documents with the empty set stay, rows that are alike count once.
+
+    Where at most ``SENT_ROWS`` documents go or have rows that are alike, their ids are sent to all tasks and the other texts stay where they are;
+    beyond that texts are shuffled, once.
+    """
+    keep: list[DataFrame] = []
+    with owned(keep):
+        rows = cut(grouped(docs), "grouped")
+        first = rows.filter("n_shingles > 0 AND doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "key", "th")).alias("x"))
+        stays = first.select("x.doc_id", "x.th").unionByName(rows.filter("n_shingles = 0").select("doc_id", "th"))
+        both = rows.select("doc_id", "th", F.lit(1).alias("rows"), F.lit(False).alias("stays")).unionByName(stays.withColumns({"rows": F.lit(0), "stays": F.lit(True)}))
+        facts = cut(both.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_ih")).agg(F.sum("rows").alias("rows"), F.max("stays").alias("stays")), "row-facts")
+        keep.append(facts)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_th"))
-    packed = packed.join(keep, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept")), "left_semi").dropDuplicates(["_own", "_th"])
-    return packed.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    met = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_ih"))
+    odd = facts.filter("rows > 1 OR NOT stays").select("_id", "_ih")
+    alike = facts.filter("rows > 1 AND stays").select("_id", "_ih")
+    if odd.count() > SENT_ROWS:
+        out = packed.join(facts.filter("stays").select("_id", "_ih"), met, "left_semi").dropDuplicates(["_own", "_th"])
+    else:
+        out = packed.join(F.broadcast(odd), met, "left_anti")
+        if not alike.isEmpty():
+            out = out.unionByName(packed.join(F.broadcast(alike), met, "left_semi").dropDuplicates(["_own", "_th"]))
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

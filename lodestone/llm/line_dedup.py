@@ -42,6 +42,8 @@ MIN_LINES, MIN_CHARS = 2, 40
 MIN_WORDS, MIN_DOCS = 2, 3
 #: Suffixes up to which those that a round looks up are sent to all executors (some 2 MB); beyond it both sides are shuffled.
 SENT_ROWS = 100_000
+#: Documents and places of their lines up to which a table of removals is sent to all executors (some 10 MB); beyond it texts are shuffled.
+SENT_PLACES = 1_000_000
 
 
 def _text_hash(text: Column) -> Column:
@@ -182,7 +184,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated lines; a document that loses lines and has no word left is dropped."""
     names = docs.columns
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    rows = _applied(rows, removals(docs)).withColumn("_text", F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")))
+    found = removals(docs).filter(F.size("removed") > 0)
+    places = found.agg(F.sum(F.size("removed") + 1).alias("n")).first()["n"] or 0
+    rows = _applied(rows, F.broadcast(found) if places <= SENT_PLACES else found).withColumn("_text", F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n")))
     stays = (F.size("_kept") == F.size("_all")) | (F.translate("_text", GAP_CHARS, "") != "")
     # the generated id keeps the filter above this projection; below it the lines would be cut anew for each use
     rows = rows.select("_row", "_text", stays.alias("_stays"), F.monotonically_increasing_id().alias("_at")).filter("_stays AND _at >= 0")

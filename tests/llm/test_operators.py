@@ -521,6 +521,30 @@ def test_one_document_of_each_group(docs):
     assert jaccard_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_few_removals_leave_texts_where_they_are(spark, monkeypatch):
+    F = line_dedup.F
+    rows = [(0, "a b\nc"), (1, "a b\nc"), (2, ""), (3, "x y\nc"), (None, None)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = own.union(own.filter("doc_id IN (1, 3)"))
+    comp = F.when(F.col("doc_id") == 1, 0).otherwise(F.col("doc_id"))
+    monkeypatch.setattr(jaccard_join, "grouped", lambda d: d.select("doc_id", F.xxhash64("text").alias("th"), F.length(F.coalesce("text", F.lit(""))).alias("n_shingles"), F.col("text").alias("key"), comp.alias("group"), comp.alias("component_id")))
+    gone = own.filter("doc_id IN (1, 3)").select("doc_id", line_dedup._text_hash(F.col("text")).alias("th"), F.array(F.lit(1)).alias("removed"), F.lit(1).alias("longest"))
+    monkeypatch.setattr(line_dedup, "removals", lambda d: gone)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for step in (line_dedup.without_repeats, jaccard_join.one_of_each):
+            assert "Exchange hashpartitioning" not in step(own)._jdf.queryExecution().executedPlan().toString(), step
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for most in (1000, 0):  # 0: the ways for tables of any size
+        monkeypatch.setattr(line_dedup, "SENT_PLACES", most)
+        monkeypatch.setattr(jaccard_join, "SENT_ROWS", most)
+        cut = sorted(((r.doc_id, r.text) for r in line_dedup.without_repeats(docs).collect()), key=repr)
+        assert cut == sorted([(0, "a b\nc"), (1, "a b"), (1, "a b"), (2, ""), (3, "x y"), (3, "x y"), (None, None)], key=repr), most
+        one = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=repr)
+        assert one == sorted([(0, "a b\nc"), (2, ""), (3, "x y\nc"), (None, None)], key=repr), most
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(links, "a long, b long")).collect())

@@ -8,7 +8,8 @@ words that share a key differ from it by one inserted character at most, so a ke
 each word gets its form, and roots follow by pointer doubling along the forms, whose counts at least double at each step.
 
 Counts cover all documents; occurrences are summed before they are shuffled. Everything is a DataFrame
-expression, with no Python in tasks.
+expression, with no Python in tasks. Tables of words and of keys always meet by a shuffle (``merge``): Spark sizes them by their
+compressed files and does not see that a word has some ten keys, so it would send tables of hundreds of MB to the driver.
 
 Defined results: null texts have no words; a null ``doc_id`` counts as an empty one in the hash; repeated rows
 count each; words are compared by code point; extra columns are ignored; an empty table gives no rows.
@@ -58,7 +59,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     emitted = keys(vocabulary)
     a = emitted.select("key", F.col("word").alias("a"), F.col("n").alias("an"))
     b = emitted.select("key", F.col("word").alias("b"), F.col("n").alias("bn"))
-    met = a.join(b, "key").filter("a < b").filter(F.levenshtein("a", "b", 1) == 1).select("a", "an", "b", "bn").distinct()
+    met = a.join(b.hint("merge"), "key").filter("a < b").filter(F.levenshtein("a", "b", 1) == 1).select("a", "an", "b", "bn").distinct()
     ways = F.array(F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("other"), F.col("bn").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("bn").alias("n"), F.col("a").alias("other"), F.col("an").alias("other_n")))
     return met.select(F.inline(ways))
 
@@ -68,7 +69,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = cut(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while not now.filter("moved").isEmpty():
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        old, now = now, cut(now.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        old, now = now, cut(now.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         release(old)
     return now.select("word", "root")
 
@@ -80,11 +81,11 @@ def groups(vocabulary: DataFrame, times: int = TIMES) -> DataFrame:
     """
     vocabulary = cut(vocabulary, "vocabulary")
     best = near_pairs(vocabulary).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), F.col("other").alias("form"))).alias("best"))
-    rows = vocabulary.join(best, "word", "left")
+    rows = vocabulary.join(best.hint("merge"), "word", "left")
     taken = -F.col("best.minus") >= times * F.col("n")
     rows = cut(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, F.col("best.form")).alias("form"), F.when(taken, -F.col("best.minus")).alias("form_n")), "forms")
     release(vocabulary)
-    out = rows.join(roots(rows.filter("form IS NOT NULL").select("word", "form")), "word", "left")
+    out = rows.join(roots(rows.filter("form IS NOT NULL").select("word", "form")).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -180,3 +180,12 @@ def test_a_key_holds_few_words(spark):
 def test_spelling_of_nothing(spark):
     d = spark.createDataFrame([(1, None), (None, None), (2, "")], "doc_id long, text string")
     assert spelling.digest(d).count() == 0 and spelling.digest(d.limit(0)).count() == 0
+
+
+def test_no_table_of_words_or_keys_is_sent_to_the_driver(spark, monkeypatch):
+    d = spark.createDataFrame([("bench", 20), ("batch", 10), ("beach", 3), ("bach", 5)], "word string, n long")
+    met = []
+    monkeypatch.setattr(spelling, "cut", lambda df, label, f=spelling.cut: (met.append(df), f(df, label))[1])
+    met.append(spelling.groups(d))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in met]
+    assert sum("Join" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.vectors import present
-from lodestone.operators.nearest import best, blocks, in_order, matrix, scores, sized
+from lodestone.operators.nearest import blocks, in_order, matrix, scored, sized
 from lodestone.operators.ranking import top_k
 
 #: Cells at most, sampled vectors for each of them, rounds of training.
@@ -118,9 +118,8 @@ class VectorCells:
                 x, cell, found = matrix(b.column("vector"), dim), b.column("cell").to_numpy(), defaultdict(list)
                 for c in np.unique(cell).tolist():
                     own, who = np.flatnonzero(cell == c), asking[c]
-                    s = scores(x[own], q[who], True)
-                    i, j = best(s, k)
-                    for name, values in (("row", own[i]), ("who", who[j]), ("score", s[i, j])):
+                    i, j, s = scored(x[own], q[who], k, True)
+                    for name, values in (("row", own[i]), ("who", who[j]), ("score", s)):
                         found[name].append(values)
                 row, who, score = (np.concatenate(found[n]) for n in ("row", "who", "score"))
                 yield pa.RecordBatch.from_arrays([pa.array([names[w][0] for w in who.tolist()], kind), b.column(key).take(pa.array(row)), pa.array(score)], [query, key, "score"])

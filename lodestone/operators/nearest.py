@@ -24,6 +24,8 @@ from lodestone.tables import cut
 SENT_NUMBERS = 4_000_000
 #: Asked vectors that meet a batch at once.
 COLUMNS = 256
+#: What two orders of summation may differ in, of the lengths of both vectors, and more than places that tie.
+SLACK = 1e-10
 
 
 def sized(column: pa.Array, dim: int) -> np.ndarray:
@@ -54,12 +56,12 @@ def blocks(asked: DataFrame, keys: list[str]) -> Iterator[tuple[list[tuple], np.
 
 
 def scores(x: np.ndarray, q: np.ndarray, cosine: bool) -> np.ndarray:
-    """The score of each row of ``x`` for each row of ``q``: the inner product, or (1 + cosine) / 2; NaN without a cosine."""
+    """The score of each row of ``x`` for each row of ``q``, not rounded: the inner product, or (1 + cosine) / 2; NaN without a cosine."""
     s = x @ q.T
     if cosine:
         size = np.sqrt((x**2).sum(1))[:, None] * np.sqrt((q**2).sum(1))[None, :]
         s = (1 + np.divide(s, size, out=np.full_like(s, np.nan), where=size > 0)) / 2
-    return np.round(s, TIES)
+    return s
 
 
 def best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +78,32 @@ def best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def scored(x: np.ndarray, q: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``x``, rows of ``q``, scores) of the ``k`` best for each row of ``q``, of equal ones the first.
+
+    The last bits of a matrix product hang on the shape of the batch. It picks those that can be among the best, and
+    their scores are summed anew, row by row, so that equal vectors have equal scores whatever stands beside them.
+    """
+    s = scores(x, q, cosine)
+    s = np.where(np.isnan(s), -np.inf, s)
+    wide = np.ones(len(q)) if cosine else np.sqrt((x**2).sum(1)).max(initial=0) * np.sqrt((q**2).sum(1))
+    bar = np.partition(s, max(0, len(s) - k), axis=0)[max(0, len(s) - k)] - np.where(np.isfinite(wide), SLACK * wide, 0)
+    rows, columns, found = [], [], []
+    for j in range(len(q)):
+        i = np.flatnonzero((s[:, j] >= bar[j]) & (s[:, j] > -np.inf))
+        own = (x[i] * q[j]).sum(1)
+        if cosine:
+            own = (1 + own / (np.sqrt((x[i] ** 2).sum(1)) * np.sqrt((q[j] ** 2).sum()))) / 2
+        own = np.round(own, TIES)
+        if len(i) > k:
+            first = np.argsort(-own, kind="stable")[:k]
+            i, own = i[first], own[first]
+        rows.append(i)
+        columns.append(np.full(len(i), j))
+        found.append(own)
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(found)
+
+
 def in_order(b: pa.RecordBatch, name: str) -> pa.RecordBatch:
     return b.take(pa.array(np.argsort(b.column(name).to_numpy(zero_copy_only=False), kind="stable")))
 
@@ -101,11 +129,10 @@ def nearest(points: DataFrame, asked: DataFrame, k: int, keys: tuple[str, ...] =
                 b = in_order(b, ids[-1])
                 x, rows, at, found = matrix(b.column("vector"), q.shape[1]), [], [], []
                 for first in range(0, len(q), COLUMNS):
-                    s = scores(x, q[first : first + COLUMNS], not raw_dot)
-                    i, j = best(s, k)
+                    i, j, s = scored(x, q[first : first + COLUMNS], k, not raw_dot)
                     rows.append(i)
                     at.append(first + j)
-                    found.append(s[i, j])
+                    found.append(s)
                 take, who = np.concatenate(rows), np.concatenate(at)
                 arrays = [pa.array([names[w][n] for w in who.tolist()], kinds[n]) for n in range(len(keys))]
                 arrays += [b.column(c).take(pa.array(take)) for c in ids] + [pa.array(np.concatenate(found))]

@@ -60,6 +60,21 @@ def test_scores_that_differ_in_the_seventh_place_are_no_tie(spark):
     assert [r.hash_id for r in search.vector_topk(points, asked, 2, raw_dot=True).orderBy("rank").collect()] == ["b", "a"]
 
 
+def test_copies_of_a_vector_tie_whatever_batch_they_stand_in(spark):
+    chance = np.random.default_rng(1)
+    one, asked = chance.normal(size=64).tolist(), 100 * chance.normal(size=(200, 64))
+    points = spark.createDataFrame([(f"p{i:02d}", one) for i in range(31)], "hash_id string, vector array<double>").coalesce(1)
+    questions = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(asked)], "query_id long, vector array<double>")
+    rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(rows, "5")  # six batches of five and one of one
+    try:
+        got = nearest.nearest(points, questions, 31, raw_dot=True).collect()
+    finally:
+        spark.conf.set(rows, before)
+    assert len({(r.query_id, r.score) for r in got}) == 200
+    assert all(r.hash_id == f"p{r.rank - 1:02d}" for r in got) and len(got) == 200 * 31
+
+
 @pytest.mark.parametrize("raw", [True, False])
 def test_nearest_in_blocks_is_that_of_a_join(spark, monkeypatch, raw):
     chance = np.random.default_rng(3)

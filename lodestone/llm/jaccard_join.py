@@ -231,47 +231,66 @@ def _octaves(n: int, percent: int) -> list[int]:
     return list(range(max(1, -(-n * percent // 100)).bit_length(), (n * 100 // percent).bit_length() + 1))
 
 
-def _signatures(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """The index entries of a set (sorted hashes) when ``often`` are frequent; combinations are negative."""
-    tokens, p = (s >> np.uint64(16)).view(np.int64), prefix_length(len(s), percent)
-    common = np.isin(tokens, often)
-    rare, frequent = tokens[~common], tokens[common]
-    parts = [rare[:p]]
-    for octave in _octaves(len(s), percent) if len(rare) < p else []:
+def _since(tokens: np.ndarray, often: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """Since which turn each token is frequent, 0 for rare ones; ``often`` (sorted) are the frequent ones, ``since`` their turns.
+
+    Work is a search a token, not a pass over ``often`` a set: the frequent tokens of a table grow with it.
+    """
+    if not len(often):
+        return np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
+    return np.where(often[at] == tokens, since[at], 0)
+
+
+def _pairs_of(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``tokens`` with one class of ``at``, the earlier token first."""
+    order = np.argsort(at, kind="stable")
+    tokens, at = tokens[order], at[order]
+    left, right = [tokens[:0]], [tokens[:0]]
+    for d in range(1, len(at)):
+        same = np.flatnonzero(at[d:] == at[:-d])
+        if not len(same):
+            break
+        left.append(tokens[same])
+        right.append(tokens[same + d])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _combinations(frequent: np.ndarray, rare: int, p: int, n: int, percent: int) -> list[np.ndarray]:
+    """The combinations of a set of ``n`` tokens with ``rare`` rare ones and these ``frequent`` ones, in order; they are negative."""
+    parts = []
+    for octave in _octaves(n, percent):
         classes = max(1, (1 << octave) * (100 - percent) // 100 // CLASS_TOKENS)
         at = (mix(frequent.view(np.uint64)) % np.uint64(classes)).view(np.int64)
-        seen, gain, use = set(), len(rare), 0
-        for x in at.tolist():
-            if gain >= p:
-                break
-            gain += x in seen
-            seen.add(x)
-            use += 1
-        order = np.argsort(at[:use], kind="stable")
-        for own in np.split(frequent[:use][order], np.flatnonzero(np.diff(at[:use][order])) + 1):
-            i, j = np.triu_indices(len(own), 1)
-            two = mix(mix(own[i].view(np.uint64) + np.uint64(octave << 48)) + own[j].view(np.uint64))
-            parts.append(two.view(np.int64) | np.int64(-(1 << 63)))
-    return np.unique(np.concatenate(parts))
-
-
-def _fresh(s: np.ndarray, before: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
-    """The index entries of a set when ``often`` are frequent, without the single tokens that it had when ``before`` were."""
-    new, old = _signatures(s, often, percent), _signatures(s, before, percent)
-    return new[(new < 0) | ~np.isin(new, old)]
+        again = np.ones(len(at), np.int64)  # each token but the first of its class makes the prefix one longer
+        again[np.unique(at, return_index=True)[1]] = 0
+        use = int(np.searchsorted(rare + np.cumsum(again), p)) + 1
+        one, two = _pairs_of(frequent[:use], at[:use])
+        two = mix(mix(one.view(np.uint64) + np.uint64(octave << 48)) + two.view(np.uint64))
+        parts.append(two.view(np.int64) | np.int64(-(1 << 63)))
+    return parts
+
+
+def _fresh(tokens: np.ndarray, since: np.ndarray, turn: int, percent: int) -> np.ndarray:
+    """The index entries of a set (its tokens in order, and :func:`_since`) at ``turn``, without the single tokens that it had at the turn before; combinations are negative."""
+    p = prefix_length(len(tokens), percent)
+    rare = tokens[since == 0]
+    new = np.setdiff1d(rare[:p], tokens[(since == 0) | (since == turn)][:p])
+    more = _combinations(tokens[since > 0], len(rare), p, len(tokens), percent) if len(rare) < p else []
+    return np.unique(np.concatenate([new, *more]))
 
 
 def _entries(docs: DataFrame, classes: DataFrame, frequent: DataFrame, turn: int, concerned: DataFrame, k: int, percent: int) -> DataFrame:
     """(tok, c, n): the new index entries of the classes concerned; ``frequent`` (tok, turn) tells since which turn a token is."""
     columns = ["c", "n", "t"]
     if frequent.count() <= SENT_ROWS:
-        rows = frequent.collect()
-        often, before = (np.sort(np.array([r["tok"] for r in rows if r["turn"] < t], np.int64)) for t in (turn + 1, turn))
+        rows = frequent.orderBy("tok").collect()
+        often, turns = (np.array([r[c] for r in rows], np.int64) for c in ("tok", "turn"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                sets = list(_sets(_binary(b.column("text")), k))
-                yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([len(s) for s in sets], pa.int64()), _lists([_fresh(s, before, often, percent) for s in sets])], columns)
+                sets = [(s >> np.uint64(16)).view(np.int64) for s in _sets(_binary(b.column("text")), k)]
+                yield pa.RecordBatch.from_arrays([b.column("c"), pa.array([len(s) for s in sets], pa.int64()), _lists([_fresh(s, _since(s, often, turns), turn, percent) for s in sets])], columns)
 
         found = _members(docs, classes, concerned).mapInArrow(run, "c long, n long, t array<long>")
     else:
@@ -283,8 +302,9 @@ def _entries(docs: DataFrame, classes: DataFrame, frequent: DataFrame, turn: int
             for b in batches:
                 out = []
                 for s, f, t in zip(b.column("s"), b.column("f"), b.column("since"), strict=True):
-                    own, since = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int64) for x in (f, t))
-                    out.append(_fresh(s.values.to_numpy(zero_copy_only=False).view(np.uint64), own[since < turn], own, percent))
+                    own, since = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else np.empty(0, np.int64) for x in (f, t))
+                    tokens, order = (s.values.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(16)).view(np.int64), np.argsort(own)
+                    out.append(_fresh(tokens, _since(tokens, own[order], since[order]), turn, percent))
                 yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), _lists(out)], columns)
 
         found = sets.join(held, "c", "left").select("c", "n", "s", "f", "since").mapInArrow(run_held, "c long, n long, t array<long>")

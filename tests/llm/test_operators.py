@@ -3,6 +3,7 @@
 import hashlib
 import io
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -496,6 +497,47 @@ def test_jaccard_join(docs, monkeypatch, most):
     assert listed(jaccard_join.digest(docs)) == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def plain_entries(tokens, since, turn, percent=80):
+    """The new index entries of a set, token by token."""
+    n = len(tokens)
+    p = n - -(-n * percent // 100) + 1
+    rare, frequent = [t for t, s in zip(tokens, since, strict=True) if s == 0], [t for t, s in zip(tokens, since, strict=True) if s]
+    out = set(rare[:p]) - set([t for t, s in zip(tokens, since, strict=True) if s in (0, turn)][:p])
+    hashed = lambda x: int(wordhash.mix(np.array([x % 2**64], np.uint64))[0])
+    for octave in jaccard_join._octaves(n, percent) if len(rare) < p else []:
+        of, length = defaultdict(list), len(rare)
+        for t in frequent:
+            if length >= p:
+                break
+            own = of[hashed(t) % max(1, 2**octave * (100 - percent) // 100 // jaccard_join.CLASS_TOKENS)]
+            length += bool(own)
+            out |= {(hashed(hashed(x + (octave << 48)) + t) | 1 << 63) - (1 << 64) for x in own}
+            own.append(t)
+    return sorted(out)
+
+
+def test_index_entries_take_no_longer_where_many_tokens_are_frequent():
+    random = np.random.default_rng(2)
+
+    def run(m):
+        """Seconds for sets of which some tokens are among ``m`` frequent ones; the entries must be right."""
+        often = np.unique(random.integers(0, 1 << 47, m))
+        turns, took = random.integers(1, 3, len(often)), 0.0
+        for i in range(200):
+            tokens = np.unique(np.concatenate([random.integers(0, 1 << 47, 5 + i % 60), random.choice(often, (0, 8, 90)[i % 3])]))
+            start = time.perf_counter()
+            got = jaccard_join._fresh(tokens, since := jaccard_join._since(tokens, often, turns), 2, 80)
+            took += time.perf_counter() - start
+            held = dict(zip(often.tolist(), turns.tolist(), strict=True)) if i < 30 else None
+            if held is not None:
+                assert since.tolist() == [held.get(t, 0) for t in tokens.tolist()] and got.tolist() == plain_entries(tokens.tolist(), since.tolist(), 2)
+        return took
+
+    run(100)
+    assert run(300_000) < 20 * run(100)  # a pass over all frequent tokens for each set is some hundred times as long
+    assert jaccard_join._since(np.array([3, 4]), np.empty(0, np.int64), np.empty(0, np.int64)).tolist() == [0, 0]
+
+
 def test_jaccard_join_of_a_family_near_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_PAIRS", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)

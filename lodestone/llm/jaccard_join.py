@@ -284,7 +284,7 @@ def _entries(docs: DataFrame, classes: DataFrame, frequent: DataFrame, turn: int
     """(tok, c, n): the new index entries of the classes concerned; ``frequent`` (tok, turn) tells since which turn a token is."""
     columns = ["c", "n", "t"]
     if frequent.count() <= SENT_ROWS:
-        rows = frequent.orderBy("tok").collect()
+        rows = sorted(frequent.collect())
         often, turns = (np.array([r[c] for r in rows], np.int64) for c in ("tok", "turn"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
